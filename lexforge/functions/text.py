@@ -138,5 +138,6 @@ def normalize(col) -> Column:
     rows with non-ASCII characters cross into the Arrow UDF.
     """
     c = _c(col)
-    native = F.trim(F.lower(F.translate(c, "\n", " ")), " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    native = F.trim(F.lower(F.translate(c, "\n", " ")),
+                    F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"))
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), native).otherwise(_normalize_udf(c))

@@ -33,11 +33,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hash_order_positions(df: DataFrame, key: str, tie: str, pos_col: str = "pos",
+def hash_order_positions(df: DataFrame, key: str, tie, pos_col: str = "pos",
                          partition: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """0-based dense position of each row in ``(key, tie)`` order, per group.
 
-    ``key`` must be an md5 hex column; ``tie`` breaks equal hashes.  The
+    ``key`` must be an md5 hex column; ``tie`` (a column name or a list of
+    names) breaks equal hashes.  The
     bucket is the first ``digits`` hex digits, a contiguous slice of the
     order, so the within-bucket rank plus the count of all smaller buckets is
     the global rank.
@@ -51,7 +52,8 @@ def hash_order_positions(df: DataFrame, key: str, tie: str, pos_col: str = "pos"
     if not part:
         # at most 16**digits rows: a proven bound for the broadcast
         carry = F.broadcast(carry)
-    rank_w = Window.partitionBy(*part, b).orderBy(F.col(key), F.col(tie))
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    rank_w = Window.partitionBy(*part, b).orderBy(F.col(key), *[F.col(t) for t in ties])
     ranked = with_b.withColumn("_rn", F.row_number().over(rank_w))
     return (ranked.join(carry, [*part, b])
             .withColumn(pos_col, (F.col("_start") + F.col("_rn") - 1).cast("long"))

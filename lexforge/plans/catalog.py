@@ -75,3 +75,241 @@ WHERE n_before * 1000000 < 900000 * total""")
 def g1_coverage_cut(spark, sf):
     """G1: smallest most-common-first word list covering 90% of occurrences."""
     return vocab.coverage_cut(vocab.word_counts(docs(spark, sf)))
+
+
+# =========================== E: text functions ============================
+from lexforge.operators import sampling, sentences  # noqa: E402
+
+SQL_SENT_PARTS = r"""string_split(regexp_replace(text, '([.!?]+["'')\]]*)[\t\n\x0B\f\r ]+', '\1' || chr(1), 'g'), chr(1))"""
+SQL_NOT_BLANK = r"NOT regexp_full_match(parts[i], '[\t\n\x0B\f\r ]*')"
+SQL_PRETOKEN = (r"regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[!-/:-@\[-`{-~\p{P}]"
+                r"|[^\p{L}\p{N}\p{M}\p{P}\s!-/:-@\[-`{-~]+')")
+
+
+@query("e1_newline_fold", "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents")
+def e1_newline_fold(spark, sf):
+    """Newlines folded to spaces (one document per line)."""
+    return docs(spark, sf).select("doc_id", tx.fold_newlines("text").alias("text"))
+
+
+@query("e2_sentence_split", f"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS sent_idx, parts[i] AS sentence
+FROM (SELECT doc_id, {SQL_SENT_PARTS} AS parts FROM documents) s,
+     unnest(generate_series(1, len(s.parts))) AS t(i)
+WHERE {SQL_NOT_BLANK}""")
+def e2_sentence_split(spark, sf):
+    """Rule-based sentence split of every document, order kept."""
+    return sentences.split_sentences(docs(spark, sf))
+
+
+@query("e3_normalize")
+def e3_normalize(spark, sf):
+    """NFKD, newline->space, lowercase, strip accents, strip (Arrow UDF
+    only for non-ASCII rows)."""
+    return docs(spark, sf).select("doc_id", tx.normalize("text").alias("text"))
+
+
+@query("e4_pretokenize", f"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_idx, toks[i] AS token
+FROM (SELECT doc_id, {SQL_PRETOKEN} AS toks FROM documents) s,
+     unnest(generate_series(1, len(s.toks))) AS t(i)""")
+def e4_pretokenize(spark, sf):
+    """whitespace/punctuation pre-tokens of every document."""
+    return sentences.pretokens(docs(spark, sf))
+
+
+@query("e5_ascii_fold", r"SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM documents")
+def e5_ascii_fold(spark, sf):
+    """E5: non-ASCII characters dropped."""
+    return docs(spark, sf).select("doc_id", tx.ascii_fold("text").alias("text"))
+
+
+@query("e6_punct_to_space", r"SELECT doc_id, regexp_replace(text, '[!-/:-@\[-`{-~]', ' ', 'g') AS text FROM documents")
+def e6_punct_to_space(spark, sf):
+    """ASCII punctuation replaced by spaces."""
+    return docs(spark, sf).select("doc_id", tx.punct_to_space("text").alias("text"))
+
+
+@query("e7_whitespace_fold", r"SELECT doc_id, regexp_replace(text, '[ \t\n\r\x0B\f]+', ' ', 'g') AS text FROM documents")
+def e7_whitespace_fold(spark, sf):
+    """Whitespace runs folded to one space."""
+    return docs(spark, sf).select("doc_id", tx.whitespace_fold("text").alias("text"))
+
+
+@query("e8_word_split", r"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS word_idx, ws[i] AS word
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(
+        regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'),
+        '[!-/:-@\[-`{-~]', ' ', 'g'), '[ \t\n\r\x0B\f]+', ' ', 'g')),
+        '[\t\n\x0B\f\r\x1C-\x1F ]+'), lambda w: w <> '') AS ws FROM documents) s,
+     unnest(generate_series(1, len(s.ws))) AS t(i)""")
+def e8_word_split(spark, sf):
+    """Cleaned text (E5-E7) split into words, case kept."""
+    words = tx.split_words(tx.clean_ascii("text"))
+    return (docs(spark, sf).select("doc_id", F.posexplode(words).alias("word_idx", "word"))
+            .withColumn("word_idx", F.col("word_idx").cast("int")))
+
+
+@query("e9_end_of_word", f"""
+SELECT word,
+       array_to_string(list_transform(regexp_extract_all(word, '(?s).'),
+           lambda c, i: CASE WHEN i = length(word) THEN c || '</w>' ELSE c END), '|') AS lib_symbols,
+       array_to_string(list_concat(regexp_extract_all(word, '(?s).'), [' ']), '|') AS space_symbols
+FROM ({SQL_WC})""")
+def e9_end_of_word(spark, sf):
+    """Initial BPE symbols of every distinct word, both end-of-word modes."""
+    wc = vocab.word_counts(docs(spark, sf))
+    return wc.select("word",
+                     F.array_join(tx.end_of_word_symbols("word", "</w>"), "|").alias("lib_symbols"),
+                     F.array_join(tx.end_of_word_symbols("word", " "), "|").alias("space_symbols"))
+
+
+SQL_RUNLOG_ELAPSED = """
+SELECT event_id, user_id,
+       epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS secs
+FROM events"""
+
+
+@query("e10_mm_ss", f"""
+SELECT event_id, printf('%02d:%02d', CAST(floor(secs / 60) AS BIGINT),
+                        CAST(floor(secs - 60 * floor(secs / 60)) AS BIGINT)) AS elapsed
+FROM ({SQL_RUNLOG_ELAPSED})""")
+def e10_mm_ss(spark, sf):
+    """Elapsed time since the run's first record, as mm:ss."""
+    ev = read_table(spark, sf, "events").select(
+        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    # per-run minimum via aggregate + join (partial aggregation, skew-safe)
+    start = ev.groupBy("user_id").agg(F.min("us").alias("us0"))
+    secs = (F.col("us") / 1e6) - (F.col("us0") / 1e6)
+    return ev.join(start, "user_id").select("event_id", tx.seconds_to_mmss(secs).alias("elapsed"))
+
+
+# =========================== C / D: sampling, shards, chunks ===============
+SEED = 0
+
+
+def sql_md5(seed, *cols):
+    inner = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"md5('{seed}:' || {inner})"
+
+
+SQL_DOC_SHUFFLE = f"""
+SELECT doc_id, text,
+       CAST(row_number() OVER (ORDER BY {sql_md5(SEED, 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos,
+       count(*) OVER () AS total
+FROM documents"""
+
+
+def sql_contiguous_shard(pos, total, n):
+    div, mod = f"({total} // {n})", f"({total} % {n})"
+    big = f"(({div} + 1) * {mod})"
+    return (f"CAST(CASE WHEN {pos} < {big} THEN {pos} // ({div} + 1) "
+            f"ELSE {mod} + ({pos} - {big}) // greatest({div}, 1) END AS INTEGER)")
+
+
+N_SHARDS = 8
+FILE_SIZE = 1000
+
+
+def shuffled_docs(spark, sf, seed=SEED):
+    return sampling.shuffle_positions(read_table(spark, sf, "documents").select("doc_id", "text"),
+                                      "doc_id", seed)
+
+
+@query("a1_corpus_scan", "SELECT doc_id, text FROM documents")
+def a1_corpus_scan(spark, sf):
+    """A1: corpus scan projected to (doc_id, text) - pruned at the parquet reader."""
+    return docs(spark, sf)
+
+
+@query("d1_seeded_shuffle", f"SELECT doc_id, pos FROM ({SQL_DOC_SHUFFLE})")
+def d1_seeded_shuffle(spark, sf):
+    """Seeded, reproducible document order (md5 of seed:doc_id)."""
+    return shuffled_docs(spark, sf).select("doc_id", "pos")
+
+
+@query("c1_prefix_select", """
+SELECT doc_id, pos FROM (
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pos FROM documents)
+WHERE pos < 500""")
+def c1_prefix_select(spark, sf):
+    """The first 500 documents in dataset (doc_id) order."""
+    d = sampling.stable_positions(docs(spark, sf).select("doc_id"), ["doc_id"])
+    return sampling.prefix_select(d, "pos", 500)
+
+
+@query("d2_exact_sample", f"""
+SELECT doc_id, sample_pos FROM (
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY {sql_md5(1, 'doc_id')}, doc_id) - 1 AS BIGINT)
+         AS sample_pos FROM documents)
+WHERE sample_pos < 300""")
+def d2_exact_sample(spark, sf):
+    """Exact sample of 300 documents without replacement (seed 1)."""
+    return sampling.exact_sample(docs(spark, sf).select("doc_id"), "doc_id", 300, 1)
+
+
+@query("d3_shard_contiguous", f"""
+SELECT doc_id, pos, {sql_contiguous_shard('pos', 'total', N_SHARDS)} AS shard
+FROM ({SQL_DOC_SHUFFLE})""")
+def d3_shard_contiguous(spark, sf):
+    """D3: contiguous shards over the shuffled order (first N % n shards +1 row)."""
+    d = shuffled_docs(spark, sf).select("doc_id", "pos")
+    return sampling.assign_shards(d, "pos", N_SHARDS, "contiguous")
+
+
+@query("d3_shard_strided", f"""
+SELECT doc_id, pos, CAST(pos % {N_SHARDS} AS INTEGER) AS shard FROM ({SQL_DOC_SHUFFLE})""")
+def d3_shard_strided(spark, sf):
+    """D3: strided shards (pos mod n) over the shuffled order."""
+    d = shuffled_docs(spark, sf).select("doc_id", "pos")
+    return sampling.assign_shards(d, "pos", N_SHARDS, "strided")
+
+
+@query("c3_shard_prefix", f"""
+SELECT doc_id, shard FROM (
+  SELECT doc_id, {sql_contiguous_shard('pos', 'total', N_SHARDS)} AS shard FROM ({SQL_DOC_SHUFFLE}))
+WHERE shard <= 2""")
+def c3_shard_prefix(spark, sf):
+    """Keep shards 0..2 only."""
+    d = sampling.assign_shards(shuffled_docs(spark, sf).select("doc_id", "pos"), "pos", N_SHARDS)
+    return sampling.shard_prefix(d, 2).select("doc_id", "shard")
+
+
+SQL_SHARD_SENTENCES = f"""
+SELECT doc_id, shard, CAST(i - 1 AS INTEGER) AS sent_idx, parts[i] AS sentence
+FROM (SELECT doc_id, {sql_contiguous_shard('pos', 'total', N_SHARDS)} AS shard,
+             {SQL_SENT_PARTS} AS parts FROM ({SQL_DOC_SHUFFLE})) s,
+     unnest(generate_series(1, len(s.parts))) AS t(i)
+WHERE {SQL_NOT_BLANK}"""
+SQL_SHARD_SHUFFLED = f"""
+SELECT doc_id, shard, sent_idx, sentence,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY {sql_md5(SEED, 'doc_id', 'sent_idx')},
+            doc_id, sent_idx) - 1 AS BIGINT) AS pos
+FROM ({SQL_SHARD_SENTENCES})"""
+
+
+def shard_sentences(spark, sf):
+    """Shuffled documents -> contiguous shards -> sentences (P1 steps 3-7)."""
+    d = sampling.assign_shards(shuffled_docs(spark, sf), "pos", N_SHARDS).drop("pos")
+    return sentences.split_sentences(d)
+
+
+def shuffled_shard_sentences(spark, sf):
+    """... -> in-shard seeded sentence shuffle (P1 step 8)."""
+    return sampling.shuffle_positions(shard_sentences(spark, sf), ["doc_id", "sent_idx"], SEED,
+                                      partition=["shard"])
+
+
+@query("d4_in_shard_shuffle", f"SELECT doc_id, shard, sent_idx, pos FROM ({SQL_SHARD_SHUFFLED})")
+def d4_in_shard_shuffle(spark, sf):
+    """Seeded sentence order within each shard."""
+    return shuffled_shard_sentences(spark, sf).select("doc_id", "shard", "sent_idx", "pos")
+
+
+@query("d7_chunk_files", f"""
+SELECT shard, CAST(pos // {FILE_SIZE} AS INTEGER) AS file_idx, CAST(count(*) AS BIGINT) AS n_rows
+FROM ({SQL_SHARD_SHUFFLED}) GROUP BY 1, 2""")
+def d7_chunk_files(spark, sf):
+    """Sentences per (shard, file) when files hold 1000 rows (last short)."""
+    s = sampling.chunk(shuffled_shard_sentences(spark, sf), "pos", FILE_SIZE)
+    return s.groupBy("shard", "file_idx").agg(F.count(F.lit(1)).alias("n_rows"))
