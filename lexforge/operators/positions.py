@@ -62,17 +62,32 @@ def hash_order_positions(df: DataFrame, key: str, tie, pos_col: str = "pos",
 
 def ordered_running(df: DataFrame, order: Sequence, partition: Sequence[str] = (),
                     pos_col: str | None = "pos", sums: dict | None = None,
-                    maxes: dict | None = None, checkpoint: bool = True) -> DataFrame:
+                    maxes: dict | None = None, checkpoint: bool = True,
+                    small: bool = False) -> DataFrame:
     """Dense position plus exclusive running sums/maxes, in ``order`` per group.
 
     ``sums``/``maxes`` map output name -> input column; the output is the
     aggregate over all *earlier* rows of the same group (sum 0 / max NULL
     when there are none).  ``order`` must be a total order within a group
     (include a unique tie-breaker).
+
+    ``small=True`` is for tables whose size is bounded by a parameter (e.g.
+    one row per shard): a plain window, no sort job, no checkpoint.
     """
     sums = dict(sums or {})
     maxes = dict(maxes or {})
     part = list(partition)
+    if small:
+        w = Window.partitionBy(*part).orderBy(*[_col(o) for o in order])
+        prev = w.rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        if pos_col:
+            out = out.withColumn(pos_col, (F.row_number().over(w) - 1).cast("long"))
+        for o, c in sums.items():
+            out = out.withColumn(o, F.coalesce(F.sum(_col(c)).over(prev), F.lit(0)))
+        for o, c in maxes.items():
+            out = out.withColumn(o, F.max(_col(c)).over(prev))
+        return out
     keys = [*(F.col(p) for p in part), *(_col(o) for o in order)]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     if checkpoint:

@@ -52,18 +52,22 @@ def exact_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 
 
 def assign_shards(df: DataFrame, pos_col: str, n_shards: int,
-                  mode: str = "contiguous", shard_col: str = "shard") -> DataFrame:
+                  mode: str = "contiguous", shard_col: str = "shard",
+                  total=None) -> DataFrame:
     """D3: shard index of each positioned row.
 
     ``strided``: ``pos % n``.  ``contiguous``: consecutive blocks where the
-    first ``N % n`` shards hold one extra row (N from a scalar subquery).
+    first ``N % n`` shards hold one extra row (N from a scalar subquery;
+    pass ``total`` - e.g. a count of the unpositioned source - to avoid
+    evaluating the positioning plan twice).
     """
     pos = F.col(pos_col)
     if mode == "strided":
         return df.withColumn(shard_col, (pos % n_shards).cast("int"))
     if mode != "contiguous":
         raise ValueError(f"unknown shard mode {mode!r}")
-    total = df.agg(F.count(F.lit(1))).scalar()
+    if total is None:
+        total = df.agg(F.count(F.lit(1))).scalar()
     div = F.floor(total / n_shards)
     mod = total % n_shards
     big = (div + 1) * mod

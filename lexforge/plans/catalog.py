@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.operators import vocab
-from lexforge.sources.tables import read_table
+from lexforge.session import reliable_checkpoint
+from lexforge.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", "text")
+    """A1: corpus scan, pruned to (doc_id, text), spread over the cluster."""
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 # --- SQL building blocks (same rules as lexforge.functions.text) -----------
@@ -212,8 +214,7 @@ FILE_SIZE = 1000
 
 
 def shuffled_docs(spark, sf, seed=SEED):
-    return sampling.shuffle_positions(read_table(spark, sf, "documents").select("doc_id", "text"),
-                                      "doc_id", seed)
+    return sampling.shuffle_positions(docs(spark, sf), "doc_id", seed)
 
 
 @query("a1_corpus_scan", "SELECT doc_id, text FROM documents")
@@ -313,3 +314,250 @@ def d7_chunk_files(spark, sf):
     """Sentences per (shard, file) when files hold 1000 rows (last short)."""
     s = sampling.chunk(shuffled_shard_sentences(spark, sf), "pos", FILE_SIZE)
     return s.groupBy("shard", "file_idx").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# =========================== H6-H9, K, C2, M: encode, batch, mask ==========
+from lexforge.operators import batching, encode, masking  # noqa: E402
+from lexforge.plans import corpus_shards as P1  # noqa: E402
+
+VOCAB = 2000
+SEQ_LEN = 64
+BATCH = 512
+SQL_LOWER_PRETOKEN = SQL_PRETOKEN.replace("regexp_extract_all(text,", "regexp_extract_all(lower({x}),")
+
+
+def sql_pretok_lower(x):
+    return SQL_LOWER_PRETOKEN.replace("{x}", x)
+
+
+def with_ctes(ctes, final):
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + final
+
+
+CTE_TOKENS = [
+    ("s", SQL_SHARD_SHUFFLED),
+    ("shard_off", """SELECT shard, coalesce(sum(cnt) OVER (ORDER BY shard
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM (SELECT shard, count(*) AS cnt FROM s GROUP BY shard)"""),
+    ("vocab", f"""SELECT piece, token_id FROM (
+        SELECT token AS piece, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INTEGER) AS token_id
+        FROM (SELECT token, count(*) AS n FROM (SELECT unnest({sql_pretok_lower('text')}) AS token
+              FROM documents) GROUP BY token)) WHERE token_id < {VOCAB}"""),
+    ("tk", f"""SELECT doc_id, sent_idx, k, toks[k] AS tok FROM (
+        SELECT doc_id, sent_idx, {sql_pretok_lower('sentence')} AS toks FROM s) x,
+        unnest(generate_series(1, len(x.toks))) AS g(k)"""),
+    ("enc", """SELECT tk.doc_id, tk.sent_idx, list(coalesce(v.token_id, 0) ORDER BY tk.k) AS raw_ids
+        FROM tk LEFT JOIN vocab v ON v.piece = tk.tok GROUP BY tk.doc_id, tk.sent_idx"""),
+    ("tokens", f"""SELECT s.shard, CAST(s.pos // {FILE_SIZE} AS INTEGER) AS file_idx,
+        CAST(s.pos % {FILE_SIZE} AS BIGINT) AS row, CAST(o.off + s.pos AS BIGINT) AS example_id,
+        CAST(s.shard AS VARCHAR) || '/' || CAST(s.pos // {FILE_SIZE} AS VARCHAR) AS rel_path,
+        e.raw_ids, list_resize(e.raw_ids, {SEQ_LEN}, 1) AS ids
+        FROM s JOIN shard_off o USING (shard) JOIN enc e USING (doc_id, sent_idx)"""),
+]
+CTE_FILES = CTE_TOKENS + [
+    ("manifest", "SELECT rel_path, count(*) AS n_rows FROM tokens GROUP BY rel_path"),
+    ("files", f"""SELECT rel_path, n_rows,
+        CAST(row_number() OVER (ORDER BY {sql_md5(SEED, 'rel_path')}, rel_path) - 1 AS BIGINT) AS file_rank,
+        CAST(coalesce(sum(n_rows) OVER (ORDER BY {sql_md5(SEED, 'rel_path')}, rel_path
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_offset
+        FROM manifest"""),
+]
+
+
+def cte_positions(n_epochs):
+    return CTE_FILES + [
+        ("ep", f"SELECT t.*, e.epoch FROM tokens t, unnest(range({n_epochs})) AS e(epoch)"),
+        ("ranked", f"""SELECT ep.*, CAST(row_number() OVER (PARTITION BY epoch, rel_path
+             ORDER BY {sql_md5(SEED, 'epoch', 'rel_path', 'row')}, rel_path, row) - 1 AS BIGINT) AS rank_in_file
+             FROM ep"""),
+        ("positioned", """SELECT r.*, f.file_offset + r.rank_in_file AS pos
+             FROM ranked r JOIN files f USING (rel_path)"""),
+    ]
+
+
+def cte_batches(n_epochs, drop_last=True):
+    cond = (f"WHERE p.pos // {BATCH} < n.n_epoch // {BATCH}" if drop_last else "")
+    return cte_positions(n_epochs) + [
+        ("batches", f"""SELECT p.*, CAST(p.pos // {BATCH} AS BIGINT) AS batch_id,
+             CAST(p.pos % {BATCH} AS INTEGER) AS batch_pos
+             FROM positioned p JOIN (SELECT epoch, count(*) AS n_epoch FROM positioned GROUP BY epoch) n
+             USING (epoch) {cond}"""),
+    ]
+
+
+def sql_ids(col):
+    return f"array_to_string({col}, ',')"
+
+
+def ids_str(col):
+    return F.array_join(F.col(col), ",")
+
+
+def p1_sentences(spark, sf):
+    return P1.with_example_ids(P1.shard_sentences(docs(spark, sf), P1.ShardParams(
+        n_shards=N_SHARDS, file_size=FILE_SIZE, seq_len=SEQ_LEN)))
+
+
+def p1_vocab(spark, sf):
+    return P1.word_vocab(docs(spark, sf), VOCAB)
+
+
+def p1_tokens(spark, sf, keep_raw=False):
+    """P1 output, materialised once in the checkpoint folder (the token files
+    that P3 reads), so the downstream queries do not re-run the encoder."""
+    p = P1.ShardParams(n_shards=N_SHARDS, file_size=FILE_SIZE, seq_len=SEQ_LEN)
+    enc = P1.encode_sentences(p1_sentences(spark, sf), p1_vocab(spark, sf), p, keep_raw=keep_raw)
+    cols = ["shard", "file_idx", "row", "example_id", "rel_path", "ids"] + (["raw_ids"] if keep_raw else [])
+    return reliable_checkpoint(enc.select(*cols))
+
+
+@query("h6_unknown_mapping", with_ctes(CTE_TOKENS, f"SELECT example_id, {sql_ids('raw_ids')} AS raw_ids FROM tokens"))
+def h6_unknown_mapping(spark, sf):
+    """H6: sentence pre-tokens -> ids through the vocabulary; unknowns -> [UNK]=0."""
+    return p1_tokens(spark, sf, keep_raw=True).select("example_id", ids_str("raw_ids").alias("raw_ids"))
+
+
+@query("h7_truncate", with_ctes(CTE_TOKENS, f"SELECT example_id, {sql_ids(f'raw_ids[1:{SEQ_LEN}]')} AS ids FROM tokens"))
+def h7_truncate(spark, sf):
+    """H7: right truncation to the sequence length."""
+    t = p1_tokens(spark, sf, keep_raw=True)
+    return t.select("example_id", F.array_join(encode.truncate(F.col("raw_ids"), SEQ_LEN), ",").alias("ids"))
+
+
+@query("h8_pad", with_ctes(CTE_TOKENS, f"SELECT example_id, {sql_ids('ids')} AS ids FROM tokens"))
+def h8_pad(spark, sf):
+    """H8: truncate then right-pad with [PAD]=1 to exactly 64 ids (the token table)."""
+    return p1_tokens(spark, sf).select("example_id", ids_str("ids").alias("ids"))
+
+
+@query("h9_decode", with_ctes(CTE_TOKENS, """
+SELECT t.example_id, coalesce(d.text, '') AS text FROM tokens t LEFT JOIN (
+  SELECT x.example_id, string_agg(v.piece, ' ' ORDER BY x.k) AS text
+  FROM (SELECT example_id, k, ids[k] AS id FROM tokens, unnest(generate_series(1, len(ids))) AS g(k)) x
+  JOIN vocab v ON v.token_id = x.id WHERE x.id >= 3 GROUP BY x.example_id) d USING (example_id)"""))
+def h9_decode(spark, sf):
+    """H9: ids -> text through the id->piece map (specials skipped)."""
+    to_pieces = encode.id_lookup(p1_vocab(spark, sf))
+    return p1_tokens(spark, sf).select("example_id", encode.decode(F.col("ids"), to_pieces, sep=" ").alias("text"))
+
+
+@query("k1_validate_tokens", with_ctes(CTE_TOKENS, f"""
+SELECT example_id, reason FROM (
+  SELECT example_id, CASE
+    WHEN len(raw_ids) <> {SEQ_LEN} AND list_bool_or(list_transform(raw_ids, lambda x: x < 0 OR x >= 1000)) THEN 'width,id_range'
+    WHEN len(raw_ids) <> {SEQ_LEN} THEN 'width'
+    WHEN list_bool_or(list_transform(raw_ids, lambda x: x < 0 OR x >= 1000)) THEN 'id_range' END AS reason
+  FROM tokens) WHERE reason IS NOT NULL"""))
+def k1_validate_tokens(spark, sf):
+    """K1: untruncated rows checked against width 64 and a 1000-id model vocabulary."""
+    t = p1_tokens(spark, sf, keep_raw=True)
+    return encode.validate_tokens(t, SEQ_LEN, 1000, "raw_ids").select("example_id", "reason")
+
+
+@query("d5_file_order", with_ctes(CTE_FILES, "SELECT rel_path, CAST(n_rows AS BIGINT) AS n_rows, file_rank, file_offset FROM files"))
+def d5_file_order(spark, sf):
+    """Seeded file order of the token files and each file's first position."""
+    m = batching.file_manifest(p1_tokens(spark, sf))
+    return batching.file_order(m, SEED).select("rel_path", "n_rows", "file_rank", "file_offset")
+
+
+@query("d6_in_file_shuffle", with_ctes(cte_positions(1), "SELECT example_id, rel_path, rank_in_file, pos FROM positioned"))
+def d6_in_file_shuffle(spark, sf):
+    """Seeded in-file example order (epoch 0) and the resulting loader position."""
+    return batching.epoch_positions(p1_tokens(spark, sf), 1, SEED).select(
+        "example_id", "rel_path", "rank_in_file", "pos")
+
+
+def batches_df(spark, sf, n_epochs=1, drop_last=True):
+    pos = batching.epoch_positions(p1_tokens(spark, sf), n_epochs, SEED)
+    return batching.assign_batches(pos, BATCH, drop_last)
+
+
+@query("k2_batches_drop_last", with_ctes(cte_batches(1), "SELECT epoch, batch_id, batch_pos, example_id FROM batches"))
+def k2_batches_drop_last(spark, sf):
+    """K2: 512-example batches across file borders, trailing partial batch dropped."""
+    return batches_df(spark, sf).select("epoch", "batch_id", "batch_pos", "example_id")
+
+
+@query("k3_batches_keep_last", with_ctes(cte_batches(1, False), "SELECT epoch, batch_id, batch_pos, example_id FROM batches"))
+def k3_batches_keep_last(spark, sf):
+    """K3: the same batches with the final short batch kept."""
+    return batches_df(spark, sf, drop_last=False).select("epoch", "batch_id", "batch_pos", "example_id")
+
+
+@query("k6_epoch_repeat", with_ctes(cte_batches(2), "SELECT epoch, batch_id, batch_pos, example_id FROM batches"))
+def k6_epoch_repeat(spark, sf):
+    """K6: two epochs; same file order, fresh in-file order, batch ids restart."""
+    return batches_df(spark, sf, 2).select("epoch", "batch_id", "batch_pos", "example_id")
+
+
+@query("c2_drop_all_pad", with_ctes(cte_batches(1), """
+SELECT epoch, batch_id, batch_pos, example_id FROM batches WHERE list_bool_or(list_transform(ids, lambda x: x <> 1))"""))
+def c2_drop_all_pad(spark, sf):
+    """Batches with all-[PAD] examples removed after batching."""
+    return batching.drop_all_pad(batches_df(spark, sf)).select("epoch", "batch_id", "batch_pos", "example_id")
+
+
+@query("g3_loader_counters", with_ctes(cte_batches(2) + [
+    ("per", "SELECT epoch, batch_id, count(*) AS n_examples FROM batches GROUP BY epoch, batch_id")], """
+SELECT epoch, batch_id, CAST(n_examples AS BIGINT) AS n_examples,
+  CAST(row_number() OVER (PARTITION BY epoch ORDER BY batch_id) AS BIGINT) AS epoch_batches,
+  CAST(sum(n_examples) OVER (PARTITION BY epoch ORDER BY batch_id) AS BIGINT) AS epoch_examples,
+  CAST(row_number() OVER (ORDER BY epoch, batch_id) AS BIGINT) AS global_batches,
+  CAST(sum(n_examples) OVER (ORDER BY epoch, batch_id) AS BIGINT) AS global_examples
+FROM per"""))
+def g3_loader_counters(spark, sf):
+    """Per-batch loader counters (epoch and all-iteration totals) over 2 epochs."""
+    return batching.batch_counters(batches_df(spark, sf, 2))
+
+
+@query("k7_missing_files", with_ctes(CTE_FILES, """
+SELECT rel_path FROM manifest WHERE rel_path NOT IN (SELECT rel_path FROM manifest WHERE NOT starts_with(rel_path, '0/'))"""))
+def k7_missing_files(spark, sf):
+    """K7: saved-state files absent from the current listing (listing = token
+    files outside shard 0, i.e. shard 0 was removed)."""
+    m = batching.file_manifest(p1_tokens(spark, sf))
+    listing = m.where(~F.col("rel_path").startswith("0/"))
+    return batching.missing_files(m, listing).select("rel_path")
+
+
+def sql_mask(cfg: masking.MaskConfig, vocab_high: int):
+    use_random = not (cfg.prop_random == 0 or cfg.prop_mask == 1)
+    pr = cfg.prop_random / (1 - cfg.prop_mask) if use_random else 0.0
+    h = f"md5(concat_ws(':', '{cfg.seed}', CAST(epoch AS VARCHAR), CAST(example_id AS VARCHAR), CAST(i - 1 AS VARCHAR)))"
+
+    def u(k):
+        return f"(CAST(('0x' || substr({h}, {8 * (k - 1) + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    sel = f"(x <> {cfg.pad_id} AND {u(1)} < {cfg.mask_prob}::DOUBLE)"
+    to_mask = f"({sel} AND {u(2)} < {cfg.prop_mask}::DOUBLE)"
+    rnd = (f"WHEN {sel} AND NOT {to_mask} AND {u(3)} < {pr!r}::DOUBLE "
+           f"THEN CAST({cfg.vocab_low} + floor({u(4)} * {vocab_high - cfg.vocab_low}) AS INTEGER) "
+           if use_random else "")
+    masked = f"list_transform(ids, lambda x, i: CASE WHEN {to_mask} THEN {cfg.mask_id} {rnd}ELSE x END)"
+    selected = f"list_transform(ids, lambda x, i: CASE WHEN {sel} THEN 1 ELSE 0 END)"
+    att = f"list_transform(ids, lambda x: CASE WHEN x <> {cfg.pad_id} THEN 1 ELSE 0 END)"
+    return with_ctes(cte_batches(1), f"""
+SELECT epoch, batch_id, batch_pos, example_id, {sql_ids(masked)} AS masked_ids,
+       {sql_ids(selected)} AS selected, {sql_ids(att)} AS attention_mask FROM batches""")
+
+
+def mask_query(cfg: masking.MaskConfig):
+    def run(spark, sf):
+        m = masking.mask_batches(batches_df(spark, sf), cfg)
+        return m.select("epoch", "batch_id", "batch_pos", "example_id",
+                        ids_str("masked_ids").alias("masked_ids"),
+                        F.array_join(F.transform("selected", lambda b: b.cast("int")), ",").alias("selected"),
+                        ids_str("attention_mask").alias("attention_mask"))
+    return run
+
+
+MASK_CONFIGS = {
+    "m6_mask_batches": masking.MaskConfig(vocab_high=VOCAB),                        # 0.15 / 0.8 / 0.1
+    "m1_select_only": masking.MaskConfig(prop_mask=0.0, prop_random=0.0, vocab_high=VOCAB),
+    "m2_replace_with_mask": masking.MaskConfig(mask_prob=0.5, prop_mask=1.0, prop_random=0.0, vocab_high=VOCAB),
+    "m3_replace_random": masking.MaskConfig(mask_prob=0.5, prop_mask=0.5, prop_random=0.5, vocab_high=VOCAB),
+    "m4_keep_unchanged": masking.MaskConfig(mask_prob=1.0, prop_mask=0.0, prop_random=0.0, vocab_high=VOCAB),
+    "m5_attention_only": masking.MaskConfig(mask_prob=0.0, vocab_high=VOCAB),
+}
+for _name, _cfg in MASK_CONFIGS.items():
+    query(_name, sql_mask(_cfg, VOCAB))(mask_query(_cfg))
