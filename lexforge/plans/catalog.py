@@ -561,3 +561,221 @@ MASK_CONFIGS = {
 }
 for _name, _cfg in MASK_CONFIGS.items():
     query(_name, sql_mask(_cfg, VOCAB))(mask_query(_cfg))
+
+
+# =========================== I, F6, F7: evaluation on embeddings ===========
+from lexforge.operators import evaluate, runlog  # noqa: E402
+
+
+def predictions(spark, sf):
+    """embeddings as a prediction table: embedding = logits, label = truth,
+    every row scored."""
+    return read_table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").alias("logits"), "label", F.lit(True).alias("selected"))
+
+
+SQL_CE_ROWS = """SELECT list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label + 1] AS ce
+  FROM (SELECT CAST(embedding AS DOUBLE[]) AS l, label FROM embeddings)"""
+
+
+@query("i1_masked_cross_entropy", f"""
+SELECT round(avg(ce), 6) AS cross_entropy, CAST(count(*) AS BIGINT) AS n_scored FROM ({SQL_CE_ROWS})""")
+def i1_masked_cross_entropy(spark, sf):
+    """Mean cross-entropy over selected positions (max-shifted logsumexp)."""
+    r = evaluate.masked_cross_entropy(predictions(spark, sf))
+    return r.select(F.round("cross_entropy", 6).alias("cross_entropy"), "n_scored")
+
+
+@query("i2_masked_nll", """
+SELECT round(avg(-ln(exp(l[label + 1]) / list_sum(list_transform(l, lambda x: exp(x))))), 6) AS nll
+FROM (SELECT CAST(embedding AS DOUBLE[]) AS l, label FROM embeddings)""")
+def i2_masked_nll(spark, sf):
+    """Mean negative log-likelihood through an explicit softmax."""
+    return evaluate.masked_nll(predictions(spark, sf)).select(F.round("nll", 6).alias("nll"))
+
+
+@query("i3_mean_probability", f"SELECT round(exp(-avg(ce)), 6) AS probability FROM ({SQL_CE_ROWS})")
+def i3_mean_probability(spark, sf):
+    """exp(-loss), the logged mean token probability."""
+    r = evaluate.masked_cross_entropy(predictions(spark, sf))
+    return r.select(F.round("probability", 6).alias("probability"))
+
+
+@query("f6_vector_stats", """
+SELECT 'class_' || CAST(label AS VARCHAR) AS name, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std,
+       round(sqrt(sum(x * x)), 6) AS l2_norm
+FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label""")
+def f6_vector_stats(spark, sf):
+    """mean, sample std and L2 norm per named vector group (prefix-filtered)."""
+    v = read_table(spark, sf, "embeddings").select(
+        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("name"), "embedding")
+    r = evaluate.vector_stats(v, "name", "embedding", prefixes=["class_"])
+    return r.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "std", "l2_norm")])
+
+
+@query("f7_nan_audit", """
+SELECT 'class_' || CAST(label AS VARCHAR) AS name,
+       CAST(sum(len(list_filter(embedding, lambda x: isnan(x)))) AS BIGINT) AS n_nan,
+       CAST(sum(len(embedding)) AS BIGINT) AS n_total,
+       round(sum(len(list_filter(embedding, lambda x: isnan(x)))) / sum(len(embedding)), 6) AS nan_ratio,
+       sum(len(list_filter(embedding, lambda x: isnan(x)))) > 0 AS has_nan
+FROM embeddings GROUP BY label""")
+def f7_nan_audit(spark, sf):
+    """NaN count, total, ratio and any-flag per named vector group."""
+    v = read_table(spark, sf, "embeddings").select(
+        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("name"), "embedding")
+    r = evaluate.nan_audit(v, "name", "embedding")
+    return r.select("name", "n_nan", "n_total", F.round("nan_ratio", 6).alias("nan_ratio"), "has_nan")
+
+
+# =========================== G2, G4, C5, C6, F8, J: run logs ===============
+EXAMPLES_PER_STEP = 512
+STEPS_PER_EPOCH = 50
+
+
+def run_log(spark, sf):
+    """events as a run log: run = user, loss = value, checkpoint = purchase,
+    512 examples per step; step/epoch come from the library's running ranks."""
+    ev = read_table(spark, sf, "events").select(
+        F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run"), "event_id", "ts",
+        F.col("value").alias("loss"), (F.col("event_type") == "purchase").alias("is_checkpoint"),
+        F.lit(EXAMPLES_PER_STEP).cast("long").alias("examples"))
+    return runlog.steps(ev, "run", steps_per_epoch=STEPS_PER_EPOCH)
+
+
+CTE_RUNLOG = [
+    ("rl", f"""SELECT 'run_' || CAST(user_id AS VARCHAR) AS run, event_id, ts, value AS loss,
+        event_type = 'purchase' AS is_checkpoint, CAST({EXAMPLES_PER_STEP} AS BIGINT) AS examples,
+        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS step
+        FROM events"""),
+    ("rl2", f"SELECT *, CAST(floor(step / {STEPS_PER_EPOCH}) AS INTEGER) AS epoch FROM rl"),
+    ("g", """SELECT *, CAST(row_number() OVER (PARTITION BY run, epoch ORDER BY step) AS BIGINT) AS epoch_batches,
+        CAST(sum(examples) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch_examples,
+        CAST(step + 1 AS BIGINT) AS global_batches,
+        CAST(sum(examples) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS global_examples
+        FROM rl2"""),
+]
+
+
+@query("g2_running_counters", with_ctes(CTE_RUNLOG, """
+SELECT run, step, epoch, epoch_batches, epoch_examples, global_batches, global_examples FROM g"""))
+def g2_running_counters(spark, sf):
+    """epoch/global batch and example counters after every step."""
+    r = runlog.running_counters(run_log(spark, sf))
+    return r.select("run", "step", "epoch", "epoch_batches", "epoch_examples", "global_batches", "global_examples")
+
+
+@query("g4_checkpoint_deltas", with_ctes(CTE_RUNLOG + [
+    ("x", """SELECT *, coalesce(sum(examples) OVER (PARTITION BY run ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ex_before FROM rl2"""),
+    ("y", """SELECT *, max(CASE WHEN is_checkpoint THEN step + 1 END) OVER (PARTITION BY run ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_b,
+        max(CASE WHEN is_checkpoint THEN ex_before + examples END) OVER (PARTITION BY run ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_e FROM x""")], """
+SELECT run, step, CAST(step AS BIGINT) AS session_batches, CAST(ex_before AS BIGINT) AS session_examples,
+       CAST(step - coalesce(last_b, 0) AS BIGINT) AS checkpoint_batches,
+       CAST(ex_before - coalesce(last_e, 0) AS BIGINT) AS checkpoint_examples FROM y"""))
+def g4_checkpoint_deltas(spark, sf):
+    """batches/examples this session and since the last checkpoint."""
+    r = runlog.checkpoint_deltas(run_log(spark, sf))
+    return r.select("run", "step", "session_batches", "session_examples", "checkpoint_batches",
+                    "checkpoint_examples")
+
+
+@query("c5_log_every_n", with_ctes(CTE_RUNLOG, "SELECT run, step FROM rl2 WHERE step % 10 = 0"))
+def c5_log_every_n(spark, sf):
+    """Steps that are logged when logging every 10 batches."""
+    return runlog.log_due(run_log(spark, sf), 10).select("run", "step")
+
+
+@query("c6_checkpoint_due", with_ctes(CTE_RUNLOG, "SELECT run, step FROM rl2 WHERE (step + 1) % 20 = 0 AND step + 1 > 0"))
+def c6_checkpoint_due(spark, sf):
+    """Steps after which a checkpoint is due (every 20 batches)."""
+    return runlog.checkpoint_due(run_log(spark, sf), 20).select("run", "step")
+
+
+@query("j1_lr_schedule", with_ctes(CTE_RUNLOG, """
+SELECT run, step, round(pow(512.0, -0.5) * least(pow(step + 1, -0.5), (step + 1) * pow(10000.0, -1.5)), 12) AS lr
+FROM rl2"""))
+def j1_lr_schedule(spark, sf):
+    """Learning-rate column (d_model 512, 10,000 warm-up steps)."""
+    r = run_log(spark, sf)
+    return r.select("run", "step", F.round(runlog.learning_rate("step"), 12).alias("lr"))
+
+
+@query("f8_throughput", with_ctes(CTE_RUNLOG + [
+    ("u", "SELECT run, epoch_us(ts) AS us, examples, is_checkpoint FROM rl2"),
+    ("b", "SELECT run, min(us) AS t0, max(us) AS t1, max(CASE WHEN is_checkpoint THEN us END) AS ck FROM u GROUP BY run"),
+    ("sc", """SELECT u.run, 'session' AS scope, count(*) AS batches, sum(examples) AS n_examples,
+        (max(b.t1) - max(b.t0)) / 1e6 AS el FROM u JOIN b USING (run) GROUP BY u.run
+        UNION ALL
+        SELECT u.run, 'since_checkpoint' AS scope, count(*) AS batches, sum(examples) AS n_examples,
+        (max(b.t1) - max(b.ck)) / 1e6 AS el FROM u JOIN b USING (run)
+        WHERE b.ck IS NOT NULL AND u.us > b.ck GROUP BY u.run""")], """
+SELECT run, scope, CAST(batches AS BIGINT) AS batches, CAST(n_examples AS BIGINT) AS n_examples,
+       round(el, 6) AS elapsed_s,
+       round(CASE WHEN el = 0 THEN NULL ELSE batches / el END, 6) AS batches_per_s,
+       CAST(trunc(CASE WHEN el = 0 THEN NULL ELSE n_examples / el END) AS BIGINT) AS examples_per_s,
+       round(CASE WHEN batches = 0 THEN NULL ELSE el / batches END, 6) AS s_per_batch FROM sc"""))
+def f8_throughput(spark, sf):
+    """F8: batches/s, examples/s, s/batch per run, whole session and since checkpoint."""
+    r = runlog.throughput(run_log(spark, sf))
+    return r.select("run", "scope", "batches", "n_examples",
+                    *[F.round(c, 6).alias(c) for c in ("elapsed_s", "batches_per_s")],
+                    "examples_per_s", F.round("s_per_batch", 6).alias("s_per_batch"))
+
+
+def checkpoint_files(spark, sf):
+    """Checkpoint files a run would have written: one per checkpoint step
+    (``ckpt/``) and one per finished epoch (``ckpt/epoch/``, epoch + 1, batch 0)."""
+    g = runlog.running_counters(run_log(spark, sf))
+    step_ck = g.where("is_checkpoint").select(
+        "run", F.concat(F.lit("ckpt/"), runlog.checkpoint_name(F.col("run"), F.col("epoch"),
+                                                                F.col("epoch_batches"))).alias("path"),
+        F.col("ts").alias("ctime"))
+    ep = g.groupBy("run", "epoch").agg(F.max("ts").alias("ctime"))
+    ep_ck = ep.select("run", F.concat(F.lit("ckpt/epoch/"), runlog.checkpoint_name(
+        F.col("run"), F.col("epoch") + 1, F.lit(0))).alias("path"), "ctime")
+    return step_ck.unionByName(ep_ck)
+
+
+SQL_CKPT_RE = r"^(?:(.*)/)?([^/]+)_epoch(\d+)_batch(\d+)\.pt$"
+CTE_CKPT = CTE_RUNLOG + [
+    ("files", """SELECT run, 'ckpt/' || run || '_epoch' || CAST(epoch AS VARCHAR) || '_batch'
+            || CAST(epoch_batches AS VARCHAR) || '.pt' AS path, ts AS ctime FROM g WHERE is_checkpoint
+        UNION ALL
+        SELECT run, 'ckpt/epoch/' || run || '_epoch' || CAST(epoch + 1 AS VARCHAR) || '_batch0.pt' AS path,
+            max(ts) AS ctime FROM g GROUP BY run, epoch"""),
+    ("manifest", f"""SELECT path, ctime, regexp_extract(path, '{SQL_CKPT_RE}', 2) AS ckpt_run,
+        CAST(regexp_extract(path, '{SQL_CKPT_RE}', 3) AS INTEGER) AS ckpt_epoch,
+        CAST(regexp_extract(path, '{SQL_CKPT_RE}', 4) AS BIGINT) AS ckpt_batch,
+        CASE WHEN regexp_matches(path, '(^|/)epoch/[^/]+$') THEN 'epoch' ELSE 'step' END AS kind
+        FROM files"""),
+]
+
+
+def ckpt_manifest(spark, sf):
+    return runlog.parse_checkpoint_paths(checkpoint_files(spark, sf))
+
+
+@query("j4_checkpoint_manifest", with_ctes(CTE_CKPT, "SELECT path, ckpt_run, ckpt_epoch, ckpt_batch, kind FROM manifest"))
+def j4_checkpoint_manifest(spark, sf):
+    """Run, epoch, batch and kind parsed from checkpoint file paths."""
+    return ckpt_manifest(spark, sf).select("path", "ckpt_run", "ckpt_epoch", "ckpt_batch", "kind")
+
+
+@query("j6_resume_point", with_ctes(CTE_CKPT, """
+SELECT ckpt_run, path, ckpt_epoch AS epoch, ckpt_batch AS batch FROM (
+  SELECT *, row_number() OVER (PARTITION BY ckpt_run ORDER BY ckpt_epoch DESC, ckpt_batch DESC, path DESC) AS r
+  FROM manifest) WHERE r = 1"""))
+def j6_resume_point(spark, sf):
+    """The checkpoint each run resumes from (latest epoch, then batch)."""
+    return runlog.resume_point(ckpt_manifest(spark, sf))
+
+
+@query("j7_retention", with_ctes(CTE_CKPT, """
+SELECT path, CASE WHEN row_number() OVER (PARTITION BY ckpt_run ORDER BY ctime DESC, path DESC) - 1 < 5
+                  THEN 'keep' ELSE 'expire' END AS action FROM manifest"""))
+def j7_retention(spark, sf):
+    """keep/expire flags when at most 5 checkpoints are retained per run."""
+    return runlog.retention(ckpt_manifest(spark, sf), 5).select("path", "action")
