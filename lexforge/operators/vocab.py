@@ -56,3 +56,23 @@ def coverage_cut(counts: DataFrame, coverage: float = COVERAGE,
     # scalar subquery: the total is computed once and inlined, no join
     total = counts.agg(F.sum("n")).scalar()
     return ranked.where(F.col("n_before") * scale < F.lit(num) * total)
+
+
+def alphabet(words: DataFrame, initial: str, limit: int, word_col: str = "word",
+             freq_col: str | None = None) -> DataFrame:
+    """character counts (weighted by word frequency) plus the fixed initial
+    alphabet; the initial characters always rank first (even when absent from
+    the data), then by count.  ``kept`` marks the first ``limit`` characters.
+    Output ``(ch, n, in_alphabet, kept)`` - one row per distinct character."""
+    from pyspark.sql import Window
+    spark = words.sparkSession
+    w = F.col(freq_col) if freq_col else F.lit(1)
+    counts = (words.select(F.explode(tx.chars(word_col)).alias("ch"), w.alias("_w"))
+              .groupBy("ch").agg(F.sum("_w").cast("long").alias("n")))
+    init = spark.createDataFrame([(c, True) for c in sorted(set(initial))], "ch string, in_alphabet boolean")
+    allc = (counts.join(init, "ch", "full_outer")
+            .withColumn("in_alphabet", F.coalesce(F.col("in_alphabet"), F.lit(False)))
+            .withColumn("n", F.coalesce(F.col("n"), F.lit(0).cast("long"))))
+    # one row per distinct character: bounded by the size of Unicode
+    order = Window.orderBy(F.col("in_alphabet").desc(), F.col("n").desc(), F.col("ch"))
+    return allc.withColumn("kept", F.row_number().over(order) <= limit)

@@ -779,3 +779,119 @@ SELECT path, CASE WHEN row_number() OVER (PARTITION BY ckpt_run ORDER BY ctime D
 def j7_retention(spark, sf):
     """keep/expire flags when at most 5 checkpoints are retained per run."""
     return runlog.retention(ckpt_manifest(spark, sf), 5).select("path", "action")
+
+
+# =========================== F3, D9, H1-H5, F4: BPE ========================
+from lexforge.operators import bpe  # noqa: E402
+
+SQL_COVERAGE = f"SELECT word, n FROM ({SQL_RANKED}) WHERE n_before * 1000000 < 900000 * total"
+CTE_PAIRS = [
+    ("cov", SQL_COVERAGE),
+    ("sy", "SELECT word, n, list_concat(regexp_extract_all(word, '(?s).'), [' ']) AS s FROM cov"),
+    ("pr", "SELECT n, s[i] AS l, s[i + 1] AS r FROM sy, unnest(generate_series(1, len(s) - 1)) AS g(i)"),
+    ("pc", "SELECT l, r, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY l, r"),
+]
+
+
+def coverage_words(spark, sf):
+    """G1 output as the BPE word table ``(word, freq)``."""
+    return vocab.coverage_cut(vocab.word_counts(docs(spark, sf))).select("word", F.col("n").alias("freq"))
+
+
+def coverage_symbol_pairs(spark, sf):
+    w = coverage_words(spark, sf).withColumn("sym", tx.end_of_word_symbols("word", " "))
+    return bpe.pair_counts(w).select(F.col("a").alias("left_sym"), F.col("b").alias("right_sym"), "n")
+
+
+@query("f3_pair_counts", with_ctes(CTE_PAIRS, "SELECT l AS left_sym, r AS right_sym, n FROM pc"))
+def f3_pair_counts(spark, sf):
+    """adjacent symbol pairs of the 90%-coverage words, weighted by count."""
+    return coverage_symbol_pairs(spark, sf)
+
+
+@query("d9_top_pairs", with_ctes(CTE_PAIRS, "SELECT l AS left_sym, r AS right_sym, n FROM pc ORDER BY n DESC, l, r LIMIT 10"))
+def d9_top_pairs(spark, sf):
+    """The 10 most frequent pairs (ties by symbols) - distributed top-k."""
+    p = coverage_symbol_pairs(spark, sf)
+    return p.orderBy(F.col("n").desc(), "left_sym", "right_sym").limit(10)
+
+
+@query("h3_apply_merge", with_ctes(CTE_PAIRS + [
+    ("t", "SELECT l, r FROM pc ORDER BY n DESC, l, r LIMIT 1"),
+    ("st", """SELECT word, s, list_transform(s, lambda x, i: coalesce(i < len(s) AND x = t.l AND s[i + 1] = t.r, false))
+              AS starts FROM sy, t""")], """
+SELECT word, array_to_string(list_filter(list_transform(s, lambda x, i:
+         CASE WHEN starts[i] THEN x || t.r WHEN i > 1 AND starts[i - 1] THEN NULL ELSE x END),
+         lambda y: y IS NOT NULL), '|') AS symbols
+FROM st, t"""))
+def h3_apply_merge(spark, sf):
+    """H3: the most frequent pair merged left to right in every coverage word."""
+    top = d9_top_pairs(spark, sf).first()           # one pair (top-1)
+    w = coverage_words(spark, sf).withColumn("sym", tx.end_of_word_symbols("word", " "))
+    merged = bpe.apply_merges(F.col("sym"), [(top.left_sym, top.right_sym, top.left_sym + top.right_sym)])
+    return w.select("word", F.array_join(merged, "|").alias("symbols"))
+
+
+def _alphabet_values():
+    return ", ".join(f"(chr({ord(c)}))" for c in sorted(set(tx.ALPHABET)))
+
+
+@query("f4_alphabet", f"""
+WITH c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(tok, '(?s).')) AS ch
+             FROM (SELECT unnest({sql_pretok_lower('text')}) AS tok FROM documents)) GROUP BY ch),
+     a AS (SELECT col0 AS ch, true AS in_alphabet FROM (VALUES {_alphabet_values()})),
+     u AS (SELECT coalesce(c.ch, a.ch) AS ch, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+                  coalesce(a.in_alphabet, false) AS in_alphabet FROM c FULL OUTER JOIN a ON c.ch = a.ch)
+SELECT ch, n, in_alphabet, row_number() OVER (ORDER BY in_alphabet DESC, n DESC, ch) <= 74 AS kept FROM u""")
+def f4_alphabet(spark, sf):
+    """character counts of the lower-cased pre-tokens plus the fixed
+    74-character alphabet; the first 74 (alphabet first) are kept."""
+    toks = docs(spark, sf).select(F.explode(P1.word_tokens("text")).alias("word"))
+    return vocab.alphabet(toks, tx.ALPHABET, 74)
+
+
+H2_MERGES = 200
+H1_VOCAB = 300
+_MODELS: dict = {}
+
+
+def library_words(spark, sf):
+    """E3 -> E4 -> F1: normalised, pre-tokenised word counts of all documents."""
+    toks = tx.pretokenize(tx.normalize("text"))
+    return vocab.word_counts(docs(spark, sf), words=toks).select("word", F.col("n").alias("freq"))
+
+
+def library_model(spark, sf):
+    """H1 model, trained once per session and scale (a tokenizer artifact)."""
+    key = (id(spark), sf, H1_VOCAB)
+    if key not in _MODELS:
+        _MODELS[key] = bpe.train_library(library_words(spark, sf), H1_VOCAB, min_frequency=5)
+    return _MODELS[key]
+
+
+@query("h2_bpe_train_handwritten")
+def h2_bpe_train_handwritten(spark, sf):
+    """H2: 200 exact BPE merges on the 90%-coverage words (space end marker)."""
+    m = bpe.train_space(coverage_words(spark, sf), H2_MERGES)
+    return bpe.merges_frame(spark, m)
+
+
+@query("h1_bpe_train_library")
+def h1_bpe_train_library(spark, sf):
+    """H1: library-style BPE (74-char alphabet, </w>, min pair count 5, vocab 300)."""
+    return bpe.merges_frame(spark, library_model(spark, sf))
+
+
+@query("h4_vocab_assembly")
+def h4_vocab_assembly(spark, sf):
+    """H4: specials, alphabet, suffixed characters and merges with their ids."""
+    return bpe.vocab_frame(spark, library_model(spark, sf), H1_VOCAB)
+
+
+@query("h5_encode_bpe")
+def h5_encode_bpe(spark, sf):
+    """H5-H8: sentences encoded with the trained BPE model, truncated and padded to 64."""
+    enc = bpe.word_encoder(library_model(spark, sf))
+    s = sentences.split_sentences(docs(spark, sf))
+    ids = enc(tx.pretokenize(tx.normalize("sentence")))
+    return s.select("doc_id", "sent_idx", F.array_join(encode.fixed_length(ids, SEQ_LEN), ",").alias("ids"))

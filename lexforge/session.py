@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 _DEFAULT_CONF = {
@@ -14,6 +15,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # remove checkpoint files once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -65,4 +68,10 @@ def reliable_checkpoint(df):
     see exactly the same rows per partition.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # without a persisted input, writing the checkpoint files re-runs the
+    # whole plan after the materialising job; the cache is dropped right after
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
