@@ -895,3 +895,38 @@ def h5_encode_bpe(spark, sf):
     s = sentences.split_sentences(docs(spark, sf))
     ids = enc(tx.pretokenize(tx.normalize("sentence")))
     return s.select("doc_id", "sent_idx", F.array_join(encode.fixed_length(ids, SEQ_LEN), ",").alias("ids"))
+
+
+# =========================== L: streaming batch assembly ===================
+import uuid  # noqa: E402
+
+from lexforge.session import checkpoint_dir  # noqa: E402
+from lexforge.sources import files  # noqa: E402
+from lexforge.streaming import batches as streaming  # noqa: E402
+
+
+def _scratch(spark, tag):
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("l1_stream_batches")
+def l1_stream_batches(spark, sf):
+    """L1-L4: the P1 token files written to a folder, then assembled into
+    512-row batches by a Structured Streaming query (3 files per trigger,
+    carry-over in state, availableNow) - returns the emitted batches."""
+    base = _scratch(spark, "stream")
+    files.write_token_shards(p1_tokens(spark, sf), f"{base}/tokens")
+    stream = streaming.token_stream(spark, f"{base}/tokens", max_files_per_trigger=3)
+    streaming.run_available(streaming.assemble_batches(stream, BATCH, n_lanes=4),
+                            f"{base}/batches", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/batches").select(
+        "lane", "batch_id", "batch_pos", "example_id", ids_str("ids").alias("ids"))
+
+
+@query("l5_stream_masking")
+def l5_stream_masking(spark, sf):
+    """Masking applied to the streamed batches (stateless, deterministic)."""
+    b = l1_stream_batches(spark, sf).withColumn("ids", F.split("ids", ",").cast("array<int>"))
+    m = masking.mask_batches(b.withColumn("epoch", F.lit(0)), MASK_CONFIGS["m6_mask_batches"])
+    return m.select("lane", "batch_id", "batch_pos", "example_id", ids_str("masked_ids").alias("masked_ids"))
