@@ -46,36 +46,35 @@ def _cell_hash(cfg: MaskConfig, epoch: Column, example: Column, i: Column) -> Co
                              example.cast("string"), i.cast("string")))
 
 
-def mask_columns(ids: Column, epoch: Column, example: Column, cfg: MaskConfig) -> dict[str, Column]:
-    """M1-M5 as three array columns: masked ids, selected flags, attention."""
+def mask_batches(df: DataFrame, cfg: MaskConfig = MaskConfig(), ids_col: str = "ids",
+                 epoch_col: str = "epoch", example_col: str = "example_id") -> DataFrame:
+    """M6: the combined masking stage on a batch table (M1-M5).
+
+    Cost control: one md5 per cell (materialised once), ``u1`` once per
+    cell, and ``u2..u4`` only for the selected cells (``CASE`` evaluates
+    lazily).  Intermediate arrays are separate projections, so Catalyst does
+    not inline (and repeat) the hashing into every consumer."""
     cfg.validate()
     use_random = not (cfg.prop_random == 0 or cfg.prop_mask == 1)
     p_random = cfg.prop_random / (1 - cfg.prop_mask) if use_random else 0.0
     span = cfg.vocab_high - cfg.vocab_low
-
-    cells = F.transform(ids, lambda x, i: F.struct(x.alias("x"), _cell_hash(cfg, epoch, example, i).alias("h")))
-
-    def selected(c):                              # M1
-        return (c["x"] != cfg.pad_id) & (hex_uniform(c["h"], 1) < cfg.mask_prob)
-
-    def masked(c):
-        sel = selected(c)
-        to_mask = sel & (hex_uniform(c["h"], 2) < cfg.prop_mask)          # M2
-        out = F.when(to_mask, F.lit(cfg.mask_id))
-        if use_random:                                                   # M3
-            rnd = sel & ~to_mask & (hex_uniform(c["h"], 3) < p_random)
-            out = out.when(rnd, (F.lit(cfg.vocab_low) + F.floor(hex_uniform(c["h"], 4) * span)).cast("int"))
-        return out.otherwise(c["x"])                                      # M4
-
-    return {
-        "masked_ids": F.transform(cells, masked),
-        "selected": F.transform(cells, selected),
-        "attention_mask": F.transform(ids, lambda x: F.when(x != cfg.pad_id, 1).otherwise(0)),  # M5
-    }
-
-
-def mask_batches(df: DataFrame, cfg: MaskConfig = MaskConfig(), ids_col: str = "ids",
-                 epoch_col: str = "epoch", example_col: str = "example_id") -> DataFrame:
-    """M6: the combined masking stage on a batch table."""
-    cols = mask_columns(F.col(ids_col), F.col(epoch_col), F.col(example_col), cfg)
-    return df.select("*", *[c.alias(n) for n, c in cols.items()])
+    ids = F.col(ids_col)
+    epoch, example = F.col(epoch_col), F.col(example_col)
+    out = df.withColumn("_h", F.transform(ids, lambda x, i: _cell_hash(cfg, epoch, example, i)))
+    out = out.withColumn("selected", F.zip_with(                                          # M1
+        ids, F.transform("_h", lambda h: hex_uniform(h, 1)),
+        lambda x, u: (x != cfg.pad_id) & (u < cfg.mask_prob)))
+
+    def replace(x, h):
+        r = F.when(hex_uniform(h, 2) < cfg.prop_mask, F.lit(cfg.mask_id))                 # M2
+        if use_random:                                                                    # M3
+            r = r.when(hex_uniform(h, 3) < p_random,
+                       (F.lit(cfg.vocab_low) + F.floor(hex_uniform(h, 4) * span)).cast("int"))
+        return r.otherwise(x)                                                             # M4
+
+    out = out.withColumn("masked_ids", F.transform(
+        ids, lambda x, i: F.when(F.element_at("selected", i + 1),
+                                 replace(x, F.element_at("_h", i + 1))).otherwise(x)))
+    out = out.withColumn("attention_mask",                                                # M5
+                         F.transform(ids, lambda x: F.when(x != cfg.pad_id, 1).otherwise(0)))
+    return out.drop("_h").select(*df.columns, "masked_ids", "selected", "attention_mask")
