@@ -63,21 +63,32 @@ def epoch_positions(tokens: DataFrame, n_epochs: int = 1, seed: int = 0,
         ranked = ordered_running(ep, [F.col(row_col)], ["epoch", file_col], pos_col="rank_in_file")
     # the manifest is one row per file; AQE broadcasts it when it is small
     joined = ranked.join(files.select(file_col, "file_offset"), file_col)
-    return joined.withColumn("pos", F.col("file_offset") + F.col("rank_in_file")).drop("file_offset")
+    # every epoch holds the whole table: its size is one scalar subquery
+    n_rows = tokens.agg(F.count(F.lit(1))).scalar()
+    return (joined.withColumn("pos", F.col("file_offset") + F.col("rank_in_file"))
+            .withColumn("n_in_epoch", n_rows).drop("file_offset"))
 
 
 def assign_batches(positioned: DataFrame, batch_size: int, drop_last: bool = True,
-                   pos_col: str = "pos", part=("epoch",)) -> DataFrame:
+                   pos_col: str = "pos", part=("epoch",), size_col: str = "n_in_epoch") -> DataFrame:
     """K2 (drop_last) / K3 (keep_last): ``batch_id = pos // B``; with
-    ``drop_last`` the trailing partial batch of each epoch is removed."""
+    ``drop_last`` the trailing partial batch of each epoch is removed.
+
+    The epoch size comes from ``size_col`` when present (set by
+    :func:`epoch_positions`); otherwise from a per-epoch count that is
+    broadcast (one row per epoch).  Never a join keyed on the epoch alone,
+    which would send a whole epoch to one task."""
     out = (positioned.withColumn("batch_id", F.floor(F.col(pos_col) / batch_size).cast("long"))
            .withColumn("batch_pos", (F.col(pos_col) % batch_size).cast("int")))
     if drop_last:
-        sizes = positioned.groupBy(*part).agg(F.count(F.lit(1)).alias("_n_epoch"))
-        out = (out.join(sizes, list(part))
-               .where(F.col("batch_id") < F.floor(F.col("_n_epoch") / batch_size))
-               .drop("_n_epoch"))
-    return out
+        if size_col in positioned.columns:
+            n = F.col(size_col)
+        else:
+            sizes = positioned.groupBy(*part).agg(F.count(F.lit(1)).alias("_n_epoch"))
+            out = out.join(F.broadcast(sizes), list(part))
+            n = F.col("_n_epoch")
+        out = out.where(F.col("batch_id") < F.floor(n / batch_size)).drop("_n_epoch")
+    return out.drop(size_col) if size_col in out.columns else out
 
 
 def drop_all_pad(df: DataFrame, ids_col: str = "ids", pad_id: int = PAD_ID) -> DataFrame:

@@ -45,8 +45,10 @@ def hash_order_positions(df: DataFrame, key: str, tie, pos_col: str = "pos",
     """
     part = list(partition)
     b = "_bucket"
-    with_b = df.withColumn(b, hex_bucket(F.col(key), digits))
-    counts = with_b.groupBy(*part, b).agg(F.count(F.lit(1)).alias("_n"))
+    # one hash exchange on the bucket feeds both the counts and the ranking
+    # (the exchange is reused), so the upstream plan runs once
+    shuffled = df.withColumn(b, hex_bucket(F.col(key), digits)).repartition(*part, b)
+    counts = shuffled.groupBy(*part, b).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     carry = counts.select(*part, b, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
     if not part:
@@ -54,7 +56,7 @@ def hash_order_positions(df: DataFrame, key: str, tie, pos_col: str = "pos",
         carry = F.broadcast(carry)
     ties = [tie] if isinstance(tie, str) else list(tie)
     rank_w = Window.partitionBy(*part, b).orderBy(F.col(key), *[F.col(t) for t in ties])
-    ranked = with_b.withColumn("_rn", F.row_number().over(rank_w))
+    ranked = shuffled.withColumn("_rn", F.row_number().over(rank_w))
     return (ranked.join(carry, [*part, b])
             .withColumn(pos_col, (F.col("_start") + F.col("_rn") - 1).cast("long"))
             .drop(b, "_rn", "_start"))

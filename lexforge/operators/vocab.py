@@ -53,8 +53,9 @@ def coverage_cut(counts: DataFrame, coverage: float = COVERAGE,
     scale = 1_000_000
     num = int(round(coverage * scale))
     ranked = most_common(counts, checkpoint=checkpoint)
-    # scalar subquery: the total is computed once and inlined, no join
-    total = counts.agg(F.sum("n")).scalar()
+    # scalar subquery over the checkpointed ranking: computed once, inlined,
+    # no join and no second pass over the corpus
+    total = ranked.agg(F.sum("n")).scalar()
     return ranked.where(F.col("n_before") * scale < F.lit(num) * total)
 
 
