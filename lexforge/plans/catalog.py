@@ -930,3 +930,107 @@ def l5_stream_masking(spark, sf):
     b = l1_stream_batches(spark, sf).withColumn("ids", F.split("ids", ",").cast("array<int>"))
     m = masking.mask_batches(b.withColumn("epoch", F.lit(0)), MASK_CONFIGS["m6_mask_batches"])
     return m.select("lane", "batch_id", "batch_pos", "example_id", ids_str("masked_ids").alias("masked_ids"))
+
+
+# =========================== A / B / J2: sources and sinks (round trips) ===
+DOCS_PER_FILE = 300
+
+
+@query("a2_line_scan", f"""
+SELECT shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS BIGINT) AS line_no,
+       replace(text, chr(10), ' ') AS value
+FROM (SELECT text, pos, {sql_contiguous_shard('pos', 'total', N_SHARDS)} AS shard FROM ({SQL_DOC_SHUFFLE}))""")
+def a2_line_scan(spark, sf):
+    """B2 + A2: documents written as one-line-per-document shard files, read
+    back line by line with their file and dense line number."""
+    base = _scratch(spark, "lines")
+    d = sampling.assign_shards(shuffled_docs(spark, sf), "pos", N_SHARDS)
+    files.write_document_lines(d, base)
+    lines = files.read_lines(spark, base)
+    return lines.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("int").alias("shard"),
+                        "line_no", "value")
+
+
+@query("b3_sentence_files", f"""
+SELECT CAST(doc_pos // {DOCS_PER_FILE} AS INTEGER) AS file_idx,
+       CAST(row_number() OVER (PARTITION BY doc_pos // {DOCS_PER_FILE} ORDER BY doc_pos, i) - 1 AS BIGINT) AS line_no,
+       replace(parts[i], chr(10), ' ') AS value
+FROM (SELECT pos AS doc_pos, {SQL_SENT_PARTS} AS parts FROM ({SQL_DOC_SHUFFLE})) s,
+     unnest(generate_series(1, len(s.parts))) AS t(i)
+WHERE {SQL_NOT_BLANK}""")
+def b3_sentence_files(spark, sf):
+    """Sentences of the shuffled corpus written 300 documents per file
+    (one sentence per line), read back line by line."""
+    base = _scratch(spark, "sents")
+    s = sentences.split_sentences(shuffled_docs(spark, sf).withColumnRenamed("pos", "doc_pos"))
+    files.write_sentence_files(s, base, DOCS_PER_FILE)
+    lines = files.read_lines(spark, base)
+    return lines.select(F.regexp_extract("file", r"file_idx=(\d+)", 1).cast("int").alias("file_idx"),
+                        "line_no", "value")
+
+
+def _written_tokens(spark, sf):
+    base = _scratch(spark, "tokens")
+    files.write_token_shards(p1_tokens(spark, sf), base)
+    return base
+
+
+@query("a4_token_shard_scan", with_ctes(CTE_TOKENS, f"""
+SELECT shard, file_idx, row, example_id, {sql_ids('ids')} AS ids FROM tokens"""))
+def a4_token_shard_scan(spark, sf):
+    """B4 + A4: token files written partitioned by shard/file and scanned back."""
+    t = files.read_token_shards(spark, _written_tokens(spark, sf))
+    return t.select("shard", "file_idx", "row", "example_id", ids_str("ids").alias("ids"))
+
+
+@query("a3_file_listing", with_ctes(CTE_TOKENS, """
+SELECT DISTINCT shard, file_idx FROM tokens"""))
+def a3_file_listing(spark, sf):
+    """A3: recursive listing of the written token files (contents not read);
+    one parquet file per (shard, file) folder."""
+    lst = files.list_files(spark, _written_tokens(spark, sf), ".parquet")
+    return lst.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("int").alias("shard"),
+                      F.regexp_extract("path", r"file_idx=(\d+)", 1).cast("int").alias("file_idx"))
+
+
+@query("a6_coverage_reload", f"""
+SELECT word, n, rank FROM ({SQL_RANKED}) WHERE n_before * 1000000 < 900000 * total""")
+def a6_coverage_reload(spark, sf):
+    """B5 + A6: the 90% coverage list written as JSON and reloaded with a schema."""
+    base = _scratch(spark, "coverage")
+    files.write_word_counts(vocab.coverage_cut(vocab.word_counts(docs(spark, sf))), base)
+    return files.read_word_counts(spark, base)
+
+
+@query("j2_run_log_scan", with_ctes(CTE_RUNLOG, f"""
+SELECT run, step, epoch, round(loss, 6) AS loss,
+       round(pow(512.0, -0.5) * least(pow(step + 1, -0.5), (step + 1) * pow(10000.0, -1.5)), 12) AS lr,
+       CAST(json_extract(e.props, '$.k') AS DOUBLE) AS k_stat
+FROM rl2 JOIN events e USING (event_id)"""))
+def j2_run_log_scan(spark, sf):
+    """Run-log records (11 fields, two map columns) written as JSON and
+    read back with the explicit schema."""
+    base = _scratch(spark, "runlog")
+    ev = read_table(spark, sf, "events").select("event_id", "props")
+    r = run_log(spark, sf).join(ev, "event_id")
+    recs = r.select("run", "epoch", "step", "examples", "loss",
+                    runlog.learning_rate("step").alias("lr"), F.col("ts").cast("timestamp").alias("ts"),
+                    F.from_json("props", "map<string,double>").alias("weight_stats"),
+                    F.map_from_arrays(F.array(F.lit("loss")), F.array(F.col("loss"))).alias("grad_norms"),
+                    "is_checkpoint", "event_id")
+    recs.write.mode("overwrite").json(base)
+    back = spark.read.schema(runlog.RUN_LOG_SCHEMA).json(base)
+    return back.select("run", "step", "epoch", F.round("loss", 6).alias("loss"), F.round("lr", 12).alias("lr"),
+                       F.col("weight_stats")["k"].alias("k_stat"))
+
+
+@query("b7_tokenizer_artifact")
+def b7_tokenizer_artifact(spark, sf):
+    """B6 + B7 + A5: the trained tokenizer saved (vocab, merges in blocks of
+    100 with the tail, metadata) and loaded back; returns the loaded vocab."""
+    base = _scratch(spark, "tokenizer")
+    model = library_model(spark, sf)
+    files.save_tokenizer(spark, model, base, SEQ_LEN, H1_VOCAB)
+    files.write_merges(spark, model, f"{base}/merge_blocks", every=100)
+    loaded, meta = files.load_tokenizer(spark, base)
+    return bpe.vocab_frame(spark, loaded).withColumn("seq_len", F.lit(meta.seq_len))
