@@ -68,12 +68,12 @@ def assign_shards(df: DataFrame, pos_col: str, n_shards: int,
         raise ValueError(f"unknown shard mode {mode!r}")
     if total is None:
         total = df.agg(F.count(F.lit(1))).scalar()
-    div = F.floor(total / n_shards)
-    mod = total % n_shards
-    big = (div + 1) * mod
-    shard = F.when(pos < big, F.floor(pos / (div + 1))).otherwise(
-        mod + F.floor((pos - big) / F.greatest(div, F.lit(1))))
-    return df.withColumn(shard_col, shard.cast("int"))
+    # bind the total once (one subquery), derive block sizes from it
+    t = df.withColumn("_div", F.floor(total / n_shards)).withColumn("_mod", total % n_shards)
+    big = (F.col("_div") + 1) * F.col("_mod")
+    shard = F.when(pos < big, F.floor(pos / (F.col("_div") + 1))).otherwise(
+        F.col("_mod") + F.floor((pos - big) / F.greatest(F.col("_div"), F.lit(1))))
+    return t.withColumn(shard_col, shard.cast("int")).drop("_div", "_mod")
 
 
 def shard_prefix(df: DataFrame, max_shard: int, shard_col: str = "shard") -> DataFrame:

@@ -213,6 +213,11 @@ N_SHARDS = 8
 FILE_SIZE = 1000
 
 
+def doc_total(spark, sf):
+    """Document count as a scalar subquery over the source scan."""
+    return read_table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
+
+
 def shuffled_docs(spark, sf, seed=SEED):
     return sampling.shuffle_positions(docs(spark, sf), "doc_id", seed)
 
@@ -255,7 +260,7 @@ FROM ({SQL_DOC_SHUFFLE})""")
 def d3_shard_contiguous(spark, sf):
     """D3: contiguous shards over the shuffled order (first N % n shards +1 row)."""
     d = shuffled_docs(spark, sf).select("doc_id", "pos")
-    return sampling.assign_shards(d, "pos", N_SHARDS, "contiguous")
+    return sampling.assign_shards(d, "pos", N_SHARDS, "contiguous", total=doc_total(spark, sf))
 
 
 @query("d3_shard_strided", f"""
@@ -272,7 +277,8 @@ SELECT doc_id, shard FROM (
 WHERE shard <= 2""")
 def c3_shard_prefix(spark, sf):
     """Keep shards 0..2 only."""
-    d = sampling.assign_shards(shuffled_docs(spark, sf).select("doc_id", "pos"), "pos", N_SHARDS)
+    d = sampling.assign_shards(shuffled_docs(spark, sf).select("doc_id", "pos"), "pos", N_SHARDS,
+                               total=doc_total(spark, sf))
     return sampling.shard_prefix(d, 2).select("doc_id", "shard")
 
 
@@ -291,7 +297,8 @@ FROM ({SQL_SHARD_SENTENCES})"""
 
 def shard_sentences(spark, sf):
     """Shuffled documents -> contiguous shards -> sentences (P1 steps 3-7)."""
-    d = sampling.assign_shards(shuffled_docs(spark, sf), "pos", N_SHARDS).drop("pos")
+    d = sampling.assign_shards(shuffled_docs(spark, sf), "pos", N_SHARDS,
+                               total=doc_total(spark, sf)).drop("pos")
     return sentences.split_sentences(d)
 
 
@@ -955,7 +962,7 @@ def a2_line_scan(spark, sf):
     """B2 + A2: documents written as one-line-per-document shard files, read
     back line by line with their file and dense line number."""
     base = _scratch(spark, "lines")
-    d = sampling.assign_shards(shuffled_docs(spark, sf), "pos", N_SHARDS)
+    d = sampling.assign_shards(shuffled_docs(spark, sf), "pos", N_SHARDS, total=doc_total(spark, sf))
     files.write_document_lines(d, base)
     lines = files.read_lines(spark, base)
     return lines.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("int").alias("shard"),
