@@ -36,6 +36,10 @@ SENTENCE_END_RE = r"([.!?]+[\"')\]]*)[\t\n\x0B\f\r ]+"
 SENTENCE_MARK = "\u0001"
 # End-of-word suffix of the library tokenizer path.
 EOW_SUFFIX = "</w>"
+# Characters with the Unicode White_Space property (what the normaliser's
+# strip removes; \x1c-\x1f are not among them).
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # ---------------------------------------------------------------------------
 
 
@@ -123,7 +127,7 @@ def _normalize_py(s: str | None) -> str | None:
         return None
     s = unicodedata.normalize("NFKD", s).replace("\n", " ").lower()
     s = "".join(ch for ch in s if unicodedata.category(ch) != "Mn")
-    return s.strip()
+    return s.strip(WHITE_SPACE)
 
 
 @F.pandas_udf(T.StringType())
@@ -131,13 +135,27 @@ def _normalize_udf(s: pd.Series) -> pd.Series:
     return s.map(_normalize_py)
 
 
-def normalize(col) -> Column:
-    """NFKD -> newline to space -> lowercase -> strip accents -> strip.
+ASCII_ONLY = r"^[\x00-\x7F]*$"
 
-    Pure-ASCII values (no decomposition possible) take the native path; only
-    rows with non-ASCII characters cross into the Arrow UDF.
-    """
-    c = _c(col)
-    native = F.trim(F.lower(F.translate(c, "\n", " ")),
-                    F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"))
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), native).otherwise(_normalize_udf(c))
+
+def normalize_native(col) -> Column:
+    """E3 for pure-ASCII text (NFKD and accent stripping are no-ops there)."""
+    return F.trim(F.lower(F.translate(_c(col), "\n", " ")), F.lit(" \t\n\r\x0b\x0c"))
+
+
+def normalize(col) -> Column:
+    """E3 as one column expression: NFKD -> newline to space -> lowercase ->
+    strip accents -> strip.  Spark evaluates a Python UDF for every row even
+    inside ``CASE``, so every row crosses the Arrow boundary here; use
+    :func:`normalize_rows` to keep ASCII rows in the JVM."""
+    return _normalize_udf(_c(col))
+
+
+def normalize_rows(df, col: str, out: str):
+    """E3 on a DataFrame: ASCII rows take the native expression, only rows
+    with non-ASCII characters go through the Arrow UDF (two filtered
+    branches of the same input, then a union)."""
+    ascii_rows = df.where(F.col(col).rlike(ASCII_ONLY)).withColumn(out, normalize_native(col))
+    other = df.where(~F.col(col).rlike(ASCII_ONLY) | F.col(col).isNull()) \
+        .withColumn(out, _normalize_udf(F.col(col)))
+    return ascii_rows.unionByName(other)

@@ -108,7 +108,7 @@ def e2_sentence_split(spark, sf):
 def e3_normalize(spark, sf):
     """NFKD, newline->space, lowercase, strip accents, strip (Arrow UDF
     only for non-ASCII rows)."""
-    return docs(spark, sf).select("doc_id", tx.normalize("text").alias("text"))
+    return tx.normalize_rows(docs(spark, sf), "text", "norm").select("doc_id", F.col("norm").alias("text"))
 
 
 @query("e4_pretokenize", f"""
@@ -871,8 +871,8 @@ _MODELS: dict = {}
 
 def library_words(spark, sf):
     """E3 -> E4 -> F1: normalised, pre-tokenised word counts of all documents."""
-    toks = tx.pretokenize(tx.normalize("text"))
-    return vocab.word_counts(docs(spark, sf), words=toks).select("word", F.col("n").alias("freq"))
+    normed = tx.normalize_rows(docs(spark, sf), "text", "norm")
+    return vocab.word_counts(normed, words=tx.pretokenize("norm")).select("word", F.col("n").alias("freq"))
 
 
 def library_model(spark, sf):
@@ -906,8 +906,8 @@ def h4_vocab_assembly(spark, sf):
 def h5_encode_bpe(spark, sf):
     """H5-H8: sentences encoded with the trained BPE model, truncated and padded to 64."""
     enc = bpe.word_encoder(library_model(spark, sf))
-    s = sentences.split_sentences(docs(spark, sf))
-    ids = enc(tx.pretokenize(tx.normalize("sentence")))
+    s = tx.normalize_rows(sentences.split_sentences(docs(spark, sf)), "sentence", "norm")
+    ids = enc(tx.pretokenize("norm"))
     return s.select("doc_id", "sent_idx", F.array_join(encode.fixed_length(ids, SEQ_LEN), ",").alias("ids"))
 
 

@@ -18,8 +18,8 @@ def training_words(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     """``(word, freq)`` of the first ``n_docs`` documents (all when None)."""
     if n_docs is not None:
         docs = sampling.prefix_select(sampling.stable_positions(docs, ["doc_id"]), "pos", n_docs)
-    toks = tx.pretokenize(tx.normalize("text"))
-    return vocab.word_counts(docs, words=toks).select("word", F.col("n").alias("freq"))
+    normed = tx.normalize_rows(docs, "text", "norm")
+    return vocab.word_counts(normed, words=tx.pretokenize("norm")).select("word", F.col("n").alias("freq"))
 
 
 def build_tokenizer(docs: DataFrame, vocab_size: int, seq_len: int, out_path: str | None = None,

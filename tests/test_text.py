@@ -68,3 +68,16 @@ def test_fold_newlines_and_ascii(spark):
     d = {x.doc_id: x for x in r}
     assert d[2].a == " " and d[4].b == "Caf dj vu" and d[3].c == "3 5 U S ok Yes "
     assert F is not None
+
+
+def test_normalize_rows_native_and_udf_paths(spark):
+    pytest.importorskip("tokenizers")
+    from tokenizers import normalizers
+    norm = normalizers.Sequence([normalizers.NFKD(), normalizers.Replace("\n", " "),
+                                 normalizers.Lowercase(), normalizers.StripAccents(), normalizers.Strip()])
+    texts = EDGE + ["  Plain ASCII Line\n", "Mixed café\tText ", "\x1c ascii sep \x1f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n for r in tx.normalize_rows(df, "text", "n").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == norm.normalize_str(t), repr(t)
