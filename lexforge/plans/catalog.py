@@ -412,11 +412,16 @@ def p1_vocab(spark, sf):
 _TOKENS: dict = {}
 
 
+def _app(spark):
+    """Memo key of a running application (object ids can be reused)."""
+    return spark.sparkContext.applicationId
+
+
 def p1_tokens(spark, sf, keep_raw=False):
     """P1 output, materialised once per session and scale in the checkpoint
     folder - the token files that P3 reads - so downstream queries (D5 D6 K*
     M* G3 H6-H9) do not re-run the whole corpus job each time."""
-    key = (id(spark), sf, keep_raw)
+    key = (_app(spark), sf, keep_raw)
     if key not in _TOKENS:
         p = P1.ShardParams(n_shards=N_SHARDS, file_size=FILE_SIZE, seq_len=SEQ_LEN)
         enc = P1.encode_sentences(p1_sentences(spark, sf), p1_vocab(spark, sf), p, keep_raw=keep_raw)
@@ -877,7 +882,7 @@ def library_words(spark, sf):
 
 def library_model(spark, sf):
     """H1 model, trained once per session and scale (a tokenizer artifact)."""
-    key = (id(spark), sf, H1_VOCAB)
+    key = (_app(spark), sf, H1_VOCAB)
     if key not in _MODELS:
         _MODELS[key] = bpe.train_library(library_words(spark, sf), H1_VOCAB, min_frequency=5)
     return _MODELS[key]
