@@ -109,8 +109,10 @@ def end_of_word_symbols(col, eow: str = EOW_SUFFIX) -> Column:
     cs = chars(col)
     if eow == " ":
         return F.concat(cs, F.array(F.lit(" ")))
+    # no lambda: a per-row expression inside a lambda is re-evaluated per element
     n = F.size(cs)
-    return F.transform(cs, lambda c, i: F.when(i == n - 1, F.concat(c, F.lit(eow))).otherwise(c))
+    return F.when(n > 0, F.concat(F.slice(cs, 1, n - 1),
+                                  F.array(F.concat(F.element_at(cs, -1), F.lit(eow))))).otherwise(cs)
 
 
 def seconds_to_mmss(col) -> Column:
