@@ -6,9 +6,9 @@ summarise each chunk (one small row per chunk), prefix-sum that small table,
 and add the carry back to a row-level window that is partitioned by chunk:
 
 * :func:`hash_order_positions` - the order key is an md5 hex string, so its
-  leading hex digits are already a uniform range bucket.  No sort, no
-  checkpoint; the carry table has at most ``16**digits`` rows and is
-  broadcast with that proven bound.
+  leading hex digits are already a uniform range bucket.  No global sort
+  and no checkpoint (rows are sorted only within their bucket); the carry
+  table has at most ``16**digits`` rows and is broadcast with that bound.
 * :func:`ordered_running` - any order.  A range-partitioned sort (sampled
   bounds, so one hot key value is split across many partitions) is written
   to the reliable checkpoint folder, which pins partition membership; each
