@@ -141,3 +141,23 @@ def test_checkpoint_paths_and_resume(spark):
     got = {r.path: (r.ckpt_run, r.ckpt_epoch, r.ckpt_batch, r.kind) for r in m.collect()}
     assert got[paths[1]] == ("run_a", 1, 0, "epoch") and got[paths[0]] == ("run_a", 0, 20, "step")
     assert runlog.resume_point(m).first().path == paths[2]
+
+
+def test_validate_tokens_edges(spark):
+    from lexforge.operators import encode
+    rows = [(0, [1, 1, 1, 1]), (1, [5, 6, 7, 8]), (2, [3, 1, 1, 1]), (3, [1, 2, 3]), (4, [-1, 3, 3, 3]),
+            (5, [3, 3, 3, 99]), (6, [100, 1])]
+    df = spark.createDataFrame(rows, "example_id long, ids array<int>")
+    got = {r.example_id: r.reason for r in encode.validate_tokens(df, 4, 99).collect()}
+    assert got == {3: "width", 4: "id_range", 5: "id_range", 6: "width,id_range"}
+
+
+def test_truncate_pad_decode(spark):
+    from lexforge.operators import encode
+    vocab = spark.createDataFrame([(0, "[UNK]"), (1, "[PAD]"), (2, "[MASK]"), (3, "ab</w>"), (4, "c"), (5, "d</w>")],
+                                  "token_id int, piece string")
+    df = spark.createDataFrame([([3, 4, 5, 0],), ([],), ([4, 5, 3, 3, 3, 3],)], "ids array<int>")
+    r = df.select(encode.fixed_length(F.col("ids"), 4).alias("f"),
+                  encode.decode(F.col("ids"), encode.id_lookup(vocab)).alias("t")).collect()
+    assert [x.f for x in r] == [[3, 4, 5, 0], [1, 1, 1, 1], [4, 5, 3, 3]]
+    assert [x.t for x in r] == ["ab cd", "", "cd ab ab ab ab"]
