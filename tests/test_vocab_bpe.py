@@ -34,12 +34,12 @@ def test_word_counts_edges(spark):
     assert (tot.total_words, tot.distinct_words) == (5, 4)
 
 
-def _spark_vs_sequential(spark, words, n_merges, k=8):
+def _spark_vs_sequential(spark, words, n_merges, k=8, two_pass=None):
     df = spark.createDataFrame(list(words.items()), "word string, freq long")
     sym, model = bpe.initial_symbols_space(df)
     init = {tuple(r.sym): r.freq for r in sym.collect()}
     pieces0 = list(model.pieces)
-    got = bpe.train(sym, model, n_merges=n_merges, k=k)
+    got = bpe.train(sym, model, n_merges=n_merges, k=k, two_pass=two_pass)
     exp, _ = train_sequential(init, pieces0, n_merges=n_merges)
     return [tuple(m) for m in got.merges], [tuple(m) for m in exp]
 
@@ -49,12 +49,12 @@ def test_bpe_self_pairs_and_overlaps(spark):
     assert got == exp and len(got) > 3
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bpe_random_tiny_vocabularies(spark, seed):
+@pytest.mark.parametrize("seed,two_pass", [(1, False), (2, False), (3, True), (4, True)])
+def test_bpe_random_tiny_vocabularies(spark, seed, two_pass):
     rnd = random.Random(seed)
     words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7))): rnd.randint(1, 30)
              for _ in range(40)}
-    got, exp = _spark_vs_sequential(spark, words, 30, k=16)
+    got, exp = _spark_vs_sequential(spark, words, 30, k=16, two_pass=two_pass)
     assert got == exp
 
 
