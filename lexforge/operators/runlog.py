@@ -104,27 +104,31 @@ def learning_rate(step, d_model: int = D_MODEL, warmup: int = WARMUP, scale: flo
 def throughput(log: DataFrame, run_col: str = "run", ts_col: str = "ts",
                examples_col: str = "examples", ckpt_col: str = "is_checkpoint") -> DataFrame:
     """F8: per run, batches/s, examples/s (integer-truncated) and s/batch for
-    the whole session and since the last checkpoint; no batches -> NULL."""
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    t = log.withColumn("_us", us)
-    last_ck = t.where(F.col(ckpt_col)).groupBy(run_col).agg(F.max("_us").alias("_ck_us"))
-    t = t.join(last_ck, run_col, "left")
-    start = t.groupBy(run_col).agg(F.min("_us").alias("_t0"), F.max("_us").alias("_t1"))
-    t = t.join(start, run_col)
-
-    def scope(df, name, begin):
-        part = df.where(F.col("_us") > begin) if name == "since_checkpoint" else df
-        agg = part.groupBy(run_col).agg(F.count(F.lit(1)).alias("batches"),
-                                         F.sum(examples_col).alias("n_examples"),
-                                         F.max("_t1").alias("_end"), F.max(begin).alias("_begin"))
+    the whole session and since the last checkpoint; no batches -> NULL.
+
+    Two grouped aggregations (map-side combined): the session totals with the
+    last checkpoint time, then the rows after that time."""
+    t = log.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    runs = t.groupBy(run_col).agg(
+        F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
+        F.max(F.when(F.col(ckpt_col), F.col("_us"))).alias("_ck"),
+        F.count(F.lit(1)).alias("batches"), F.sum(examples_col).alias("n_examples"))
+    after = (t.join(runs.select(run_col, "_ck", "_t1").where(F.col("_ck").isNotNull()), run_col)
+             .where(F.col("_us") > F.col("_ck"))
+             .groupBy(run_col).agg(F.count(F.lit(1)).alias("batches"),
+                                   F.sum(examples_col).alias("n_examples"),
+                                   F.max("_t1").alias("_end"), F.max("_ck").alias("_begin")))
+
+    def rates(df, name):
         el = (F.col("_end") - F.col("_begin")) / 1e6
-        return agg.select(run_col, F.lit(name).alias("scope"), "batches", "n_examples",
-                          el.alias("elapsed_s"),
-                          F.try_divide(F.col("batches"), el).alias("batches_per_s"),
-                          F.try_divide(F.col("n_examples"), el).cast("long").alias("examples_per_s"),
-                          F.try_divide(el, F.col("batches")).alias("s_per_batch"))
-    return scope(t, "session", F.col("_t0")).unionByName(
-        scope(t.where(F.col("_ck_us").isNotNull()), "since_checkpoint", F.col("_ck_us")))
+        return df.select(run_col, F.lit(name).alias("scope"), "batches", "n_examples",
+                         el.alias("elapsed_s"),
+                         F.try_divide(F.col("batches"), el).alias("batches_per_s"),
+                         F.try_divide(F.col("n_examples"), el).cast("long").alias("examples_per_s"),
+                         F.try_divide(el, F.col("batches")).alias("s_per_batch"))
+    session = runs.select(run_col, "batches", "n_examples", F.col("_t1").alias("_end"),
+                          F.col("_t0").alias("_begin"))
+    return rates(session, "session").unionByName(rates(after, "since_checkpoint"))
 
 
 CKPT_NAME_RE = r"^(?:(.*)/)?([^/]+)_epoch(\d+)_batch(\d+)\.pt$"
