@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.session import reliable_checkpoint
+from lexforge.session import checkpoint_dir, reliable_checkpoint
 
 __all__ = ["free_name", "group_key", "reliable_checkpoint", "running_in_group",
-           "seeded_hash", "without"]
+           "seeded_hash", "without", "written"]
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -66,3 +67,15 @@ def running_in_group(df: DataFrame, group: str, order: str, value: Column, out:
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (df.withColumn(cut, slice_of).join(carry, [group, cut])
             .withColumn(out, F.col(before) + F.sum(value).over(inside)).drop(cut, before))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder (cuts the lineage).
+
+    The folder is the one ``spark.checkpoint.dir`` names, which every executor
+    shares; a lost executor costs no more than re-reading the table.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

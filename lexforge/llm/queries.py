@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontaminate as de
-from lexforge.llm import licenses, lines, mixing, sharding
+from lexforge.llm import jaccard, licenses, lines, mixing, sharding
 from lexforge.session import checkpoint_dir
 from lexforge.sources.tables import read_table
 
@@ -105,6 +105,24 @@ def op3_license_scan(spark, sf):
         F.array_join(F.sort_array(F.array_distinct(labels)), ",").alias("labels"), "score")
 
 
+@query("op6_ngram_jaccard", rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce({SQL_SPACE.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS w
+  FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM g JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) c ON c.u = g.doc_id""")
+def op6_ngram_jaccard(spark, sf):
+    """Classes of all documents linked by 3-word shingle sets of Jaccard 0.9 or more."""
+    return jaccard.jaccard_classes(read_table(spark, sf, "documents"), k=3, percent=90)
+
+
 @query("op7_line_dedup", r"""
 WITH l AS (SELECT doc_id, source, i, line, trim(line, ' ') AS t
            FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
