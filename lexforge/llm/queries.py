@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontaminate as de
-from lexforge.llm import jaccard, licenses, lines, mixing, sharding
+from lexforge.llm import jaccard, licenses, lines, mixing, sharding, substring
 from lexforge.session import checkpoint_dir
 from lexforge.sources.tables import read_table
 
@@ -105,6 +105,26 @@ def op3_license_scan(spark, sf):
         F.array_join(F.sort_array(F.array_distinct(labels)), ",").alias("labels"), "score")
 
 
+@query("op4_substring_dedup", rf"""
+WITH d AS (SELECT doc_id, coalesce({SQL_SPACE.format('text')}, []) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (
+      SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT x, min(doc_id) AS least FROM g GROUP BY x),
+c AS (SELECT DISTINCT doc_id, p FROM (
+      SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (x) WHERE least < doc_id)),
+k AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+r AS (SELECT l.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM l ANTI JOIN c ON c.doc_id = l.doc_id AND c.p = l.p
+      GROUP BY l.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def op4_substring_dedup(spark, sf):
+    """Words of all documents covered by 13-word windows of documents with smaller ids."""
+    kept = substring.remove_duplicates(read_table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_ngram_jaccard", rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce({SQL_SPACE.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS w
