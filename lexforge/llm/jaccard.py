@@ -15,7 +15,7 @@
 4. Surviving pairs fetch the two texts and are verified exactly, once.
 
 Groups of thousands of near copies would yield all their pairs.  Components
-need only enough links, so three rounds first link each node to leaders of
+need only enough links, so two rounds first link each node to leaders of
 the prefix shingles it shares.  After that all pairs of *different* components are
 taken, for each shingle between the members outside its largest component and
 all its members: no link between components is lost, whatever the leaders were.
@@ -95,7 +95,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, freq) -> DataFrame:
                 total = np.concatenate(([0], np.cumsum(salted(h, 0), dtype=np.uint64))).astype(np.uint64)
                 node = (total[off[1:]] - total[off[:-1]]).view(np.int64)
                 rare = freq.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                h = h[np.lexsort((h, rare, doc))]
+                # one key for (frequency, hash); shingles equal in it stay in hash order
+                key = (np.minimum(rare, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+                for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+                    h[lo:hi] = h[lo:hi][np.argsort(key[lo:hi], kind="stable")]
                 pos = np.arange(len(h)) - off[doc]
                 keep = pos <= n[doc] + (-percent * n[doc]) // 100      # n - ceil(t n)
                 doc = doc[keep]
@@ -110,13 +113,18 @@ def _overlap_needed(nx: Column, ny: Column, percent: int) -> Column:
 
 
 def _may_link(percent: int, x: str = "l", y: str = "r") -> Column:
-    """Length, positional and suffix filter on two prefix rows of one token."""
+    """Length and positional filter on two prefix rows of one token."""
     nx, ny, px, py = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
     length = F.least(nx, ny).cast("long") * 100 >= F.greatest(nx, ny).cast("long") * percent
-    need = _overlap_needed(nx, ny, percent)
+    return length & (F.least(nx - px, ny - py) >= _overlap_needed(nx, ny, percent))
+
+
+def _close(percent: int, x: str, y: str) -> Column:
+    """Suffix filter: the class counts of two sets differ by no more than a link allows."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = F.aggregate(F.zip_with(f"{x}.classes", f"{y}.classes", lambda a, b: F.abs(a.cast("int") - b)),
                         F.lit(0), lambda s, d: s + d)
-    return length & (F.least(nx - px, ny - py) >= need) & (apart <= nx + ny - 2 * need)
+    return apart <= nx + ny - 2 * _overlap_needed(nx, ny, percent)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -140,13 +148,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.select("x", "y", "tx", "ty").mapInPandas(check, _NO_LINKS)
 
 
-def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Prefix rows with the component of their node so far."""
-    if links is None:
-        return rows.withColumn("comp", F.col("node"))
+def _open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Prefix rows with their node's component so far; tokens of one component are done."""
     found = components(links.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    return (rows.join(found, "node", "left")
+    rows = (rows.drop("comp").join(found, "node", "left")
             .withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    return written(_shared(rows, "comp"))
+
+
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of tokens with more than one value of ``by``; one exchange, by token."""
+    of_token = Window.partitionBy("token")
+    return (rows.withColumns({"_least": F.min(by).over(of_token), "_most": F.max(by).over(of_token)})
+            .where("_least != _most").drop("_least", "_most"))
 
 
 def _leader_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -157,31 +171,37 @@ def _leader_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """
     draw = F.row_number().over(Window.partitionBy("token").orderBy(
         F.xxhash64(F.lit(turn), "token", "node"), "node"))
-    leader = rows.withColumn("draw", draw).where(F.col("draw") <= 4 ** turn)
+    leader = rows.withColumn("draw", draw).where(F.col("draw") <= 16 ** turn)
     l, r = rows.alias("l"), leader.alias("r")
     met = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
                  & _may_link(percent))
     met = met.groupBy(F.col("l.node").alias("x"), F.col("r.node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))
-    met = met.withColumn("place", best).where(F.col("place") <= 4 * (turn + 1))
+    met = met.withColumn("place", best).where(F.col("place") <= 4 * (3 * turn + 1))
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different components that pass the filters of a shared token."""
     per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    top = (per.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-           .where("comps > 1").select("token", F.col("top.comp").alias("top")))
-    rows = rows.join(top, "token")
+    top = per.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top")).select("token", F.col("top.comp").alias("top"))
+    rows = rows.join(nodes.select("node", "classes"), "node").join(top, "token")
     l, r = rows.where("comp != top").alias("l"), rows.alias("r")
     met = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
                  & ((F.col("r.comp") == F.col("r.top")) | (F.col("l.node") < F.col("r.node")))
-                 & _may_link(percent))
+                 & _may_link(percent) & _close(percent, "l", "r"))
     return met.select(F.least("l.node", "r.node").alias("x"), F.greatest("l.node", "r.node").alias("y")).distinct()
 
 
+def _close_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pass the suffix filter."""
+    l, r = nodes.alias("l"), nodes.alias("r")
+    return (pairs.join(l, F.col("x") == F.col("l.node")).join(r, F.col("y") == F.col("r.node"))
+            .where(_close(percent, "l", "r")).select("x", "y"))
+
+
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
-                    text_col: str = "text", leader_rounds: int = 3) -> DataFrame:
+                    text_col: str = "text", leader_rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id reachable by
     links of sets with 100 * intersection >= ``percent`` * union.
     """
@@ -190,25 +210,25 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     sets = written(docs.select("id", F.xxhash64("text").alias("content"), _set_udf(k)("text").alias("s"))
                    .select("id", "content", "s.*"))
     freq = spark.sparkContext.broadcast(_frequencies(docs, k))
-    rows = _prefixes(docs, k, percent, freq).repartition("token")
-    shared = (rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-              .where("a != b").select("token"))
-    rows = rows.join(shared, "token").distinct()
+    rows = written(_shared(_prefixes(docs, k, percent, freq), "node").distinct())
     nodes = (sets.where("n > 0").groupBy("node")
-             .agg(F.min(F.struct("id", "content", "classes")).alias("r")).select("node", "r.*"))
-    rows = written(rows.join(nodes.select("node", "classes"), "node"))
-    nodes = nodes.join(rows.select("node").distinct(), "node")
+             .agg(F.min(F.struct("id", "content", "n", "classes")).alias("r")).select("node", "r.*"))
+    nodes = written(nodes.join(rows.select("node").distinct(), "node"))
     texts = (docs.withColumn("content", F.xxhash64("text"))
              .join(nodes.select("node", F.col("id").alias("_id"), F.col("content").alias("_content")),
                    F.col("id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
              .select("node", "text").dropDuplicates(["node"]))
     texts = written(texts)
 
+    rows = rows.withColumn("comp", F.col("node"))
     links = None
     for turn in range(leader_rounds + 1):
-        labelled = _labelled(rows, links)
-        exact = turn == leader_rounds
-        pairs = _cross_pairs(labelled, percent) if exact else _leader_pairs(labelled, percent, turn)
+        if links is not None:
+            rows = _open_rows(rows, links)
+        if turn < leader_rounds:
+            pairs = _close_pairs(_leader_pairs(rows, percent, turn), nodes, percent)
+        else:
+            pairs = _cross_pairs(rows, nodes, percent)
         if links is not None:      # each pair is verified once
             pairs = pairs.join(links, ["x", "y"], "left_anti")
         new = written(_verify(pairs, texts, k, percent))

@@ -136,8 +136,12 @@ def distinct_grams(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = t.first[d], t.first[d + 1]
         whole = mix((t.hash[lo:hi] * _Q[:hi - lo]).sum(dtype=np.uint64).reshape(1))
         doc, h = np.concatenate((doc, [d])), np.concatenate((h, whole))
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+    if len(doc) and (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        doc, h = doc[order], h[order]
+    off = np.searchsorted(doc, np.arange(t.n_texts + 1))
+    for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+        h[lo:hi].sort()
     if len(h):
         keep = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
         doc, h = doc[keep], h[keep]
