@@ -241,3 +241,16 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     return (out.join(least, "comp", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.coalesce("least", "id").alias("component_id")))
+
+
+def one_per_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, the smallest id, of each class; rows without shingles stay.
+
+    Rows that share an id and a class with the kept one (repeated rows) stay as one.
+    """
+    names = docs.columns
+    found = jaccard_classes(docs, k, percent, id_col, text_col)
+    keep = (found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+            .select(F.col(id_col).alias("_keep")).distinct())
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").select(*names)

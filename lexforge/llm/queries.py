@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontaminate as de
-from lexforge.llm import jaccard, licenses, lines, mixing, sharding, substring
+from lexforge.llm import jaccard, langid, licenses, lines, mixing, neighbors, sharding, substring, warc
 from lexforge.session import checkpoint_dir
 from lexforge.sources.tables import read_table
 
@@ -125,6 +125,23 @@ def op4_substring_dedup(spark, sf):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+r AS (SELECT h, max(page_id) AS response FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM d LEFT JOIN r ON r.h = d.h AND n >= 1000""")
+def op5_warc(spark, sf):
+    """All pages written as WARC files and read back."""
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    folder, manifest = warc.write_warc(pages)
+    return warc.read_warc(folder, manifest).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @query("op6_ngram_jaccard", rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce({SQL_SPACE.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS w
@@ -172,3 +189,27 @@ def op9_shard(spark, sf):
     placed = sharding.shard(docs, 40, identity=("doc_id", "text_crc32"))
     return placed.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf):
+    """Language of all documents, learned from the two thirds that are not held out."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = langid.identify(docs, ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        "rejected")
+
+
+@query("op10_nearest_neighbors")
+def op10_nearest_neighbors(spark, sf):
+    """20 largest inner products of every 20th vector against all others."""
+    vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return neighbors.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
