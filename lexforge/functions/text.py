@@ -1,15 +1,14 @@
 """Text column expressions (survey E1-E10).
 
 All of these are built-in Spark expressions (JVM side, whole-stage codegen)
-except ``normalize``'s non-ASCII branch, which needs Unicode NFKD and runs as
-an Arrow-batched pandas UDF.
+except ``normalize``, which needs Unicode NFKD and is one pass of vectorised
+Arrow kernels.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +31,8 @@ SPLIT_WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F ]"
 PRETOKEN_RE = (r"[\p{L}\p{N}\p{M}]+|[!-/:-@\[-`{-~\p{P}]"
                r"|[^\p{L}\p{N}\p{M}\p{P}\s!-/:-@\[-`{-~]+")
 # Sentence boundary: terminal marks, optional closing quotes/brackets, then whitespace.
-SENTENCE_END_RE = r"([.!?]+[\"')\]]*)[\t\n\x0B\f\r ]+"
-SENTENCE_MARK = "\u0001"
+# (up to 64 of them: a look-behind needs a bound).
+SENTENCE_END_RE = r"(?<=[.!?][\"')\]]{0,64})[\t\n\x0B\f\r ]+"
 # End-of-word suffix of the library tokenizer path.
 EOW_SUFFIX = "</w>"
 # Characters with the Unicode White_Space property (what the normaliser's
@@ -54,8 +53,7 @@ def fold_newlines(col) -> Column:
 
 def sentence_parts(col) -> Column:
     """E2 helper: array of sentence strings (blank pieces still included)."""
-    marked = F.regexp_replace(_c(col), SENTENCE_END_RE, "$1" + SENTENCE_MARK)
-    return F.split(marked, SENTENCE_MARK)
+    return F.split(_c(col), SENTENCE_END_RE)
 
 
 def ascii_fold(col) -> Column:
@@ -124,40 +122,22 @@ def seconds_to_mmss(col) -> Column:
 
 # --- E3 normalisation -------------------------------------------------------
 
-def _normalize_py(s: str | None) -> str | None:
-    if s is None:
-        return None
-    s = unicodedata.normalize("NFKD", s).replace("\n", " ").lower()
-    s = "".join(ch for ch in s if unicodedata.category(ch) != "Mn")
-    return s.strip(WHITE_SPACE)
-
-
-@F.pandas_udf(T.StringType())
-def _normalize_udf(s: pd.Series) -> pd.Series:
-    return s.map(_normalize_py)
-
-
-ASCII_ONLY = r"^[\x00-\x7F]*$"
-
-
-def normalize_native(col) -> Column:
-    """E3 for pure-ASCII text (NFKD and accent stripping are no-ops there)."""
-    return F.trim(F.lower(F.translate(_c(col), "\n", " ")), F.lit(" \t\n\r\x0b\x0c"))
+@F.arrow_udf(T.StringType())
+def _normalize_udf(s: pa.Array) -> pa.Array:
+    if isinstance(s, pa.ChunkedArray):
+        s = s.combine_chunks()
+    s = pc.replace_substring(pc.utf8_normalize(s, form="NFKD"), "\n", " ")
+    s = pc.replace_substring_regex(pc.utf8_lower(s), r"\p{M}", "")
+    return pc.utf8_trim(s, characters=WHITE_SPACE)
 
 
 def normalize(col) -> Column:
-    """E3 as one column expression: NFKD -> newline to space -> lowercase ->
-    strip accents -> strip.  Spark evaluates a Python UDF for every row even
-    inside ``CASE``, so every row crosses the Arrow boundary here; use
-    :func:`normalize_rows` to keep ASCII rows in the JVM."""
+    """E3 as one column expression and one vectorised Arrow pass: NFKD ->
+    newline to space -> lowercase (each character alone) -> strip all marks
+    -> strip white space."""
     return _normalize_udf(_c(col))
 
 
 def normalize_rows(df, col: str, out: str):
-    """E3 on a DataFrame: ASCII rows take the native expression, only rows
-    with non-ASCII characters go through the Arrow UDF (two filtered
-    branches of the same input, then a union)."""
-    ascii_rows = df.where(F.col(col).rlike(ASCII_ONLY)).withColumn(out, normalize_native(col))
-    other = df.where(~F.col(col).rlike(ASCII_ONLY) | F.col(col).isNull()) \
-        .withColumn(out, _normalize_udf(F.col(col)))
-    return ascii_rows.unionByName(other)
+    """E3 on a DataFrame, in one scan."""
+    return df.withColumn(out, normalize(col))

@@ -70,23 +70,6 @@ def id_lookup(vocab: DataFrame, piece_col: str = "piece", id_col: str = "token_i
     return lookup
 
 
-def vocab_map(vocab: DataFrame, piece_col: str = "piece", id_col: str = "token_id") -> Column:
-    """piece -> id map as a scalar subquery (vocabulary-sized, computed once)."""
-    return vocab.agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col(piece_col), F.col(id_col).cast("int"))))).scalar()
-
-
-def id_map(vocab: DataFrame, piece_col: str = "piece", id_col: str = "token_id") -> Column:
-    """id -> piece map as a scalar subquery (for decode)."""
-    return vocab.agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col(id_col).cast("int"), F.col(piece_col))))).scalar()
-
-
-def lookup_ids(tokens: Column, mapping: Column, unk_id: int = UNK_ID) -> Column:
-    """H6: every token not in the vocabulary becomes ``[UNK]`` (not fused)."""
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(mapping, t), F.lit(unk_id)))
-
-
 def truncate(ids: Column, length: int) -> Column:
     """H7: keep the first ``length`` ids (right side truncated)."""
     return F.slice(ids, 1, length)
@@ -103,12 +86,6 @@ def fixed_length(ids: Column, length: int, pad_id: int = PAD_ID) -> Column:
     return pad(truncate(ids, length), length, pad_id)
 
 
-def encode_with_vocab_map(df: DataFrame, tokens: Column, mapping: Column, length: int,
-                          out_col: str = "ids") -> DataFrame:
-    """H6-H8 on a pre-tokenised column: ids, unknowns, truncate, pad."""
-    return df.withColumn(out_col, fixed_length(lookup_ids(tokens, mapping), length))
-
-
 def decode(ids: Column, to_pieces, suffix: str = "</w>", sep: str = "",
            n_special: int = 3) -> Column:
     """H9: ids -> text.  Special tokens (ids below ``n_special``) are skipped,
@@ -121,10 +98,12 @@ def decode(ids: Column, to_pieces, suffix: str = "</w>", sep: str = "",
 
 def validate_tokens(df: DataFrame, length: int, vocab_size: int, ids_col: str = "ids") -> DataFrame:
     """K1: offending rows with the reason (width != length, or id outside
-    ``[0, vocab_size)``)."""
+    ``[0, vocab_size)``).  A null array has the wrong width; a null cell is
+    out of range."""
     ids = F.col(ids_col)
-    bad_width = F.size(ids) != length
-    bad_id = F.exists(ids, lambda x: (x < 0) | (x >= vocab_size))
+    bad_width = F.coalesce(F.array_size(ids) != length, F.lit(True))
+    bad_id = F.coalesce(F.exists(ids, lambda x: F.coalesce((x < 0) | (x >= vocab_size), F.lit(True))),
+                        F.lit(False))
     reason = (F.when(bad_width & bad_id, F.lit("width,id_range"))
               .when(bad_width, F.lit("width")).when(bad_id, F.lit("id_range")))
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull())

@@ -19,12 +19,20 @@ def _as_double(logits) -> Column:
 
 
 def row_cross_entropy(logits, label) -> Column:
-    """``logsumexp(l) - l[label]`` with the max shift (no overflow)."""
-    lg = _as_double(logits)
-    m = F.array_max(lg)
-    sum_exp = F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
+    """``logsumexp(l) - l[label]`` with the max shift (no overflow), in one pass:
+    the accumulator holds the running maximum and the sum scaled to it."""
+    lg = F.col(logits) if isinstance(logits, str) else logits
+    low = F.lit(float("-inf"))
+    start = F.struct(low.alias("m"), F.lit(0.0).alias("s"))
+
+    def add(acc, v):
+        x = v.cast("double")
+        bigger = F.struct(x.alias("m"), (acc["s"] * F.exp(acc["m"] - x) + 1.0).alias("s"))
+        same = F.struct(acc["m"].alias("m"), (acc["s"] + F.exp(x - acc["m"])).alias("s"))
+        return F.when(x == low, acc).when(x > acc["m"], bigger).otherwise(same)
+    total = F.aggregate(lg, start, add, lambda acc: acc["m"] + F.log(acc["s"]))
     lab = F.col(label) if isinstance(label, str) else label
-    return m + F.log(sum_exp) - F.element_at(lg, lab + 1)
+    return total - F.element_at(lg, lab + 1).cast("double")
 
 
 def row_nll(logits, label) -> Column:

@@ -28,7 +28,7 @@ RUN_LOG_SCHEMA = T.StructType([
 ])
 
 # Fixed values of the reference's defaults.
-LOG_EVERY = 100          # wandb log frequency (batches)
+LOG_EVERY = 100          # log frequency (batches)
 CHECKPOINT_EVERY = 1000  # checkpoint frequency (batches)
 MAX_CHECKPOINTS = 5
 D_MODEL = 512
@@ -101,23 +101,28 @@ def learning_rate(step, d_model: int = D_MODEL, warmup: int = WARMUP, scale: flo
         F.pow(s, -0.5), s * F.pow(F.lit(float(warmup)), -1.5))
 
 
-def throughput(log: DataFrame, run_col: str = "run", ts_col: str = "ts",
+def throughput(log: DataFrame, run_col: str = "run", ts_col: str = "ts", step_col: str = "step",
                examples_col: str = "examples", ckpt_col: str = "is_checkpoint") -> DataFrame:
-    """F8: per run, batches/s, examples/s (integer-truncated) and s/batch for
-    the whole session and since the last checkpoint; no batches -> NULL.
+    """F8: per run, batches/s, examples/s (integer-truncated) and s/batch for the
+    session, in total and since the last checkpoint (the session's start where
+    there is none).  A log holds one session, so its total is the session's.
+    Every run has a row of each scope; without a batch, s/batch is 0.
 
-    Two grouped aggregations (map-side combined): the session totals with the
-    last checkpoint time, then the rows after that time."""
+    Two grouped aggregations (map-side combined): the run totals with the last
+    checkpoint's step and time, then the rows after that step."""
     t = log.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    last = F.max(F.when(F.col(ckpt_col), F.struct(F.col(step_col).alias("step"), F.col("_us").alias("us"))))
     runs = t.groupBy(run_col).agg(
-        F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
-        F.max(F.when(F.col(ckpt_col), F.col("_us"))).alias("_ck"),
+        F.min("_us").alias("_t0"), F.max("_us").alias("_t1"), last.alias("_ck"),
         F.count(F.lit(1)).alias("batches"), F.sum(examples_col).alias("n_examples"))
-    after = (t.join(runs.select(run_col, "_ck", "_t1").where(F.col("_ck").isNotNull()), run_col)
-             .where(F.col("_us") > F.col("_ck"))
-             .groupBy(run_col).agg(F.count(F.lit(1)).alias("batches"),
-                                   F.sum(examples_col).alias("n_examples"),
-                                   F.max("_t1").alias("_end"), F.max("_ck").alias("_begin")))
+    runs = runs.withColumns({"_step": F.coalesce(F.col("_ck.step"), F.lit(-1)),
+                             "_begin": F.coalesce(F.col("_ck.us"), F.col("_t0"))})
+    later = F.col(step_col) > F.col("_step")
+    after = (t.select(run_col, step_col, examples_col)
+             .join(runs.select(run_col, "_step", "_begin", F.col("_t1").alias("_end")), run_col)
+             .groupBy(run_col).agg(F.count(F.when(later, 1)).alias("batches"),
+                                   F.coalesce(F.sum(F.when(later, F.col(examples_col))), F.lit(0)).alias("n_examples"),
+                                   F.max("_end").alias("_end"), F.max("_begin").alias("_begin")))
 
     def rates(df, name):
         el = (F.col("_end") - F.col("_begin")) / 1e6
@@ -125,10 +130,11 @@ def throughput(log: DataFrame, run_col: str = "run", ts_col: str = "ts",
                          el.alias("elapsed_s"),
                          F.try_divide(F.col("batches"), el).alias("batches_per_s"),
                          F.try_divide(F.col("n_examples"), el).cast("long").alias("examples_per_s"),
-                         F.try_divide(el, F.col("batches")).alias("s_per_batch"))
+                         F.when(F.col("batches") == 0, F.lit(0.0)).otherwise(el / F.col("batches")).alias("s_per_batch"))
     session = runs.select(run_col, "batches", "n_examples", F.col("_t1").alias("_end"),
                           F.col("_t0").alias("_begin"))
-    return rates(session, "session").unionByName(rates(after, "since_checkpoint"))
+    return (rates(session, "session").unionByName(rates(session, "total"))
+            .unionByName(rates(after, "since_checkpoint")))
 
 
 CKPT_NAME_RE = r"^(?:(.*)/)?([^/]+)_epoch(\d+)_batch(\d+)\.pt$"

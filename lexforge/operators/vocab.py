@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +48,18 @@ def coverage_cut(counts: DataFrame, coverage: float = COVERAGE,
     ``coverage`` (the crossing word is included).
 
     A word is kept iff the words strictly before it cover less than the
-    target: ``n_before < coverage * total``.  The comparison is done on
-    integers (``1e6 * n_before < round(1e6 * coverage) * total``) so float
-    drift cannot move the cut.
+    target: ``n_before < coverage * total``.  The comparison is exact: the
+    coverage as a reduced fraction, the counts as 28-digit decimals, which
+    hold the products at any corpus size.
     """
-    scale = 1_000_000
-    num = int(round(coverage * scale))
+    share = Fraction(str(coverage)).limit_denominator(1_000_000)
     ranked = most_common(counts, checkpoint=checkpoint)
     # scalar subquery over the checkpointed ranking: computed once, inlined,
     # no join and no second pass over the corpus
     total = ranked.agg(F.sum("n")).scalar()
-    return ranked.where(F.col("n_before") * scale < F.lit(num) * total)
+    wide = "decimal(28,0)"
+    return ranked.where(F.col("n_before").cast(wide) * share.denominator
+                        < total.cast(wide) * share.numerator)
 
 
 def alphabet(words: DataFrame, initial: str, limit: int, word_col: str = "word",

@@ -161,3 +161,33 @@ def test_truncate_pad_decode(spark):
                   encode.decode(F.col("ids"), encode.id_lookup(vocab)).alias("t")).collect()
     assert [x.f for x in r] == [[3, 4, 5, 0], [1, 1, 1, 1], [4, 5, 3, 3]]
     assert [x.t for x in r] == ["ab cd", "", "cd ab ab ab ab"]
+
+
+def test_validation_reports_nulls(spark):
+    from lexforge.operators.encode import validate_tokens
+    df = spark.createDataFrame([(0, [1, 2]), (1, None), (2, [1, None]), (3, [1]), (4, [1, 9])], "i int, ids array<int>")
+    got = {r.i: r.reason for r in validate_tokens(df, 2, 5).collect()}
+    assert got == {1: "width", 2: "id_range", 3: "width", 4: "id_range"}
+
+
+def test_cross_entropy_any_order_and_selection(spark):
+    import math
+    from lexforge.operators.evaluate import masked_cross_entropy
+    rows = [([1000.0, 0.0, 999.0], 2, True), ([0.0, 5.0, -3.0], 1, True), ([float("-inf"), 2.0, 1.0], 2, True),
+            ([9.0, 9.0, 9.0], 0, False)]
+    df = spark.createDataFrame(rows, "logits array<double>, label int, selected boolean")
+    want = [1 + math.log1p(math.exp(-1)), math.log(1 + math.exp(-5) + math.exp(-8)), 1 + math.log1p(math.exp(-1))]
+    got = masked_cross_entropy(df).first()
+    assert got.n_scored == 3 and abs(got.cross_entropy - sum(want) / 3) < 1e-12
+
+
+def test_throughput_has_every_scope(spark):
+    from lexforge.operators.runlog import throughput
+    rows = [("a", 0, 0, False), ("a", 1, 10, True), ("a", 2, 10, False), ("b", 0, 0, False), ("b", 1, 4, False),
+            ("c", 0, 0, False), ("c", 1, 5, True)]
+    df = spark.createDataFrame(rows, "run string, step long, s long, is_checkpoint boolean").selectExpr(
+        "run", "step", "timestamp_seconds(s) ts", "8L examples", "is_checkpoint")
+    got = {(r.run, r.scope): (r.batches, r.n_examples, r.elapsed_s, r.s_per_batch) for r in throughput(df).collect()}
+    assert len(got) == 9 and got["a", "since_checkpoint"] == (1, 8, 0.0, 0.0)
+    assert got["b", "since_checkpoint"] == got["b", "session"] == got["b", "total"] == (2, 16, 4.0, 2.0)
+    assert got["c", "since_checkpoint"] == (0, 0, 0.0, 0.0)

@@ -70,14 +70,21 @@ def test_fold_newlines_and_ascii(spark):
     assert F is not None
 
 
-def test_normalize_rows_native_and_udf_paths(spark):
+def test_normalize_rows_like_the_library(spark):
     pytest.importorskip("tokenizers")
     from tokenizers import normalizers
     norm = normalizers.Sequence([normalizers.NFKD(), normalizers.Replace("\n", " "),
                                  normalizers.Lowercase(), normalizers.StripAccents(), normalizers.Strip()])
-    texts = EDGE + ["  Plain ASCII Line\n", "Mixed café\tText ", "\x1c ascii sep \x1f"]
+    texts = EDGE + ["  Plain ASCII Line\n", "Mixed café\tText ", "\x1c ascii sep \x1f",
+                    "हिन्दी भाषा", "தமிழ் மொழி", "বাংলা", "မြန်မာစာ", "ΟΔΟΣ ΟΔΟΣ.", "x\u20dd y", "İSTANBUL", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n for r in tx.normalize_rows(df, "text", "n").collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert got[i] == norm.normalize_str(t), repr(t)
+
+
+def test_sentence_split_keeps_control_characters(spark):
+    df = spark.createDataFrame([(0, "one\x01two. Three"), (1, "a.) b!\"\n c"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.p for r in df.select("doc_id", tx.sentence_parts("text").alias("p")).collect()}
+    assert got == {0: ["one\x01two.", "Three"], 1: ["a.)", "b!\"", "c"], 2: None}

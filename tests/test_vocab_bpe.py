@@ -104,3 +104,8 @@ def test_library_bpe_parity_with_tokenizers(spark):
     for r in got[:50]:
         assert [model.pieces[i] for i in r.ids] == tok.encode(texts[r.doc_id]).tokens
     del tokenizers
+
+
+def test_coverage_cut_beyond_1e13_words(spark):
+    df = spark.createDataFrame([("a", 8 * 10**15), ("b", 10**15), ("c", 9 * 10**14), ("d", 10**14)], "word string, n long")
+    assert [r.word for r in vocab.coverage_cut(df).orderBy("rank").collect()] == ["a", "b"]
