@@ -20,8 +20,8 @@ Only runs, never texts, meet in the shuffles of steps 1 and 2 (besides the one
 exchange of texts by id that steps 2 and 3 share).
 
 Defined results: a null text has no words; a text shorter than the window
-loses nothing; rows with equal ids are not smaller than each other; a null id
-is larger than every other; hashes of blocks and windows count together with
+loses nothing; ids are integers; rows with equal ids are not smaller than each
+other; a null id is larger than every other; hashes of blocks and windows count together with
 their anchors, 128 bits in all; an empty table gives an empty result.
 """
 
@@ -31,13 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.automaton import merged
 from lexforge.llm.common import written
 from lexforge.llm.tokens import _R, _R_INV, SPACE, Tokens, _powers, chunks, salted
 
+NO_ID = 2**63 - 1        # stands for a null id inside: larger than every other
+
 
 def _anchored(t: Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window hash, anchor hash, places) of all windows that lie in one text."""
@@ -56,7 +58,7 @@ def _blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(anchor, content, n, id, tag, start): every block of every document."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, tags = batch["id"], batch["tag"].to_numpy()
+            ids, tags = batch["id"].to_numpy(), batch["tag"].to_numpy()
             for lo, _, t in chunks(batch["text"].tolist(), SPACE, False):
                 w, a, at = _anchored(t, window, anchor)
                 if not len(at):
@@ -70,18 +72,16 @@ def _blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 content = (total[first + n] - total[first]) * _powers(_R_INV, len(w))[first]
                 doc = t.doc[at[first]]
                 yield pd.DataFrame({"anchor": a[first].view(np.int64), "content": content.view(np.int64),
-                                    "n": n.astype(np.int32), "id": ids.iloc[lo + doc].to_numpy(),
-                                    "tag": tags[lo + doc],
+                                    "n": n.astype(np.int32), "id": ids[lo + doc], "tag": tags[lo + doc],
                                     "start": (at[first] - t.first[doc]).astype(np.int32)})
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(cut, f"anchor long, content long, n int, id {kind}, tag int, start int")
+    return docs.mapInPandas(cut, "anchor long, content long, n int, id long, tag int, start int")
 
 
 def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(hash, anchor, id, tag, start) of the windows in the listed runs of each text."""
+    """(hash, anchor, id, tag, start, known) of the windows in the listed runs of each text."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, tags, runs = batch["id"], batch["tag"].to_numpy(), batch["runs"]
+            ids, tags, runs = batch["id"].to_numpy(), batch["tag"].to_numpy(), batch["runs"]
             for lo, hi, t in chunks(batch["text"].tolist(), SPACE, False):
                 w, a, at = _anchored(t, window, anchor)
                 pick, doc = [], []
@@ -92,15 +92,13 @@ def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                         doc.append(np.full(run["n"], d))
                 pick = np.concatenate(pick) if pick else np.empty(0, np.int64)
                 doc = np.concatenate(doc) if doc else np.empty(0, np.int64)
-                yield pd.DataFrame({"hash": w[pick].view(np.int64), "anchor": a[pick].view(np.int64),
-                                    "id": ids.iloc[lo + doc].to_numpy(), "tag": tags[lo + doc],
-                                    "start": (at[pick] - t.first[doc]).astype(np.int32)})
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInPandas(cut, f"hash long, anchor long, id {kind}, tag int, start int")
-
-
-def _in_smaller(least: str) -> Column:
-    return F.coalesce(F.col(least) < F.col("id"), F.col(least).isNotNull())
+                found = pd.DataFrame({"hash": w[pick].view(np.int64), "anchor": a[pick].view(np.int64),
+                                      "id": ids[lo + doc], "tag": tags[lo + doc],
+                                      "start": (at[pick] - t.first[doc]).astype(np.int32)})
+                # map-side combine: a smaller id in this very batch settles a window
+                found["known"] = found["id"] > found.groupby(["hash", "anchor"])["id"].transform("min")
+                yield found
+    return texts.mapInPandas(cut, "hash long, anchor long, id long, tag int, start int, known boolean")
 
 
 def _runs_of(rows: DataFrame) -> DataFrame:
@@ -113,7 +111,8 @@ def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 5, id_col:
     """(id, tag, text as binary, runs): runs of windows (start, n) that also start
     in a document with a smaller id; null where a document has none.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    docs = docs.select(ids.alias("id"), F.col(text_col).cast("binary").alias("text"))
     docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     # one exchange of blocks: both windows run on its partitions by anchor
     same = Window.partitionBy("anchor", "content")
@@ -121,17 +120,21 @@ def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 5, id_col:
     blocks = _blocks(docs, window, anchor).repartition("anchor")
     blocks = (blocks.withColumn("least", F.min("id").over(same))
               .withColumns({"lo": F.min("content").over(under), "hi": F.max("content").over(under)})
-              .withColumn("whole", _in_smaller("least")).where("whole or lo != hi"))
+              .withColumn("whole", F.col("least") < F.col("id")).where("whole or lo != hi"))
     blocks = written(blocks.select("whole", "id", "tag", "start", "n"))
 
     texts = docs.select("id", "tag", "text").repartition("id", "tag")
-    key = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    key = (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag"))
     first = _runs_of(blocks.where("not whole"))
     parsed = _windows(texts.join(first, key).select("id", "tag", "text", "runs"), window, anchor)
-    parsed = (parsed.withColumn("least", F.min("id").over(Window.partitionBy("hash", "anchor")))
-              .where(_in_smaller("least")).select("id", "tag", "start", F.lit(1).alias("n")))
+    # settled rows need no partner: they are dealt out by place instead of by window
+    alone = F.when(F.col("known"), F.xxhash64("id", "tag", "start")).otherwise(F.lit(0))
+    window_key = Window.partitionBy("hash", "anchor", "alone")
+    parsed = (parsed.withColumn("alone", alone).withColumn("least", F.min("id").over(window_key))
+              .where(F.col("known") | (F.col("least") < F.col("id"))).select("id", "tag", "start", F.lit(1).alias("n")))
     factors = _runs_of(blocks.where("whole").select("id", "tag", "start", "n").unionByName(parsed))
-    return texts.join(factors, key, "left").select("id", "tag", "text", "runs")
+    return (texts.join(factors, key, "left")
+            .select(F.nullif("id", F.lit(NO_ID)).alias("id"), "tag", "text", "runs"))
 
 
 def remove_duplicates(docs: DataFrame, window: int = 13, anchor: int = 5, id_col: str = "doc_id",
