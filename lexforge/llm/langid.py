@@ -114,7 +114,8 @@ def fit(train: DataFrame, lang_col: str, clusters: int, per_language: int, seed:
     idf = _document_frequency(train)
     size = train.groupBy(lang_col).agg(F.count(F.lit(1)).alias("rows"))
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("rows"))
-    drawn = train.join(size, lang_col).where(F.col("order") < share * F.lit(float(2**60)))
+    # one row per labelled language: that bounds the broadcast, and the draw needs no shuffle
+    drawn = train.join(F.broadcast(size), lang_col).where(F.col("order") < share * F.lit(float(2**60)))
     place = F.row_number().over(Window.partitionBy(lang_col).orderBy("order", "text"))
     drawn = drawn.withColumn("place", place).where(F.col("place") <= per_language)
 
