@@ -144,7 +144,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     stream = (rows.select("id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("refers"))
               .unionByName(revisits.withColumns({"kind": F.lit(0), "url": F.lit(None).cast("string"),
                                                  "payload": F.lit(None).cast("binary")})))
-    stream = (stream.withColumn("shard", shard_of("id", "digest")).repartition("shard")
+    stream = (stream.withColumn("shard", shard_of("id", "digest")).repartition(max(1, len(keys)), "shard")
               .sortWithinPartitions("shard", "id", "digest", "kind", "url")
               .withColumn("id", F.col("id").cast("string")))
 
@@ -209,4 +209,4 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
                                      headers.get("x-refers-to-row"), headers.get("warc-target-uri")))
                 yield pd.DataFrame(rows, columns=["id", "payload_bytes", "payload_digest", "record_type",
                                                   "refers_to", "url"])
-    return manifest.select("file").repartition("file").mapInPandas(read, _RECORD)
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInPandas(read, _RECORD)
