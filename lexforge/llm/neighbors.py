@@ -151,8 +151,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
     n, top = (shape[0]["n"], shape[0]["top"]) if shape else (1, 1.0)
     items, asked = items.where(F.size("vec") == n), asked.where(F.size("vec") == n)
     dim = 1 << int(n).bit_length()                         # a power of two above n
-    spread = items.withColumn("cell", F.explode(_cells_udf(tables, 1, dim, top, seed)("vec")))
-    probed = asked.withColumn("cell", F.explode(_cells_udf(tables, probes, dim, top, seed)("vec")))
+    spread, probed = (written(rows.withColumn("cells", _cells_udf(tables, p, dim, top, seed)("vec")))
+                      .select("id", "vec", F.explode("cells").alias("cell"))
+                      for rows, p in ((items, 1), (asked, probes)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(found):
