@@ -171,7 +171,7 @@ def _leader_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """
     draw = F.row_number().over(Window.partitionBy("token").orderBy(
         F.xxhash64(F.lit(turn), "token", "node"), "node"))
-    leader = rows.withColumn("draw", draw).where(F.col("draw") <= 16 ** turn)
+    leader = rows.withColumn("draw", draw).where(F.col("draw") <= 4 ** turn)
     l, r = rows.alias("l"), leader.alias("r")
     met = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
                  & _may_link(percent))
@@ -237,7 +237,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     found = components(links.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v")))
     out = (sets.join(found, "node", "left")
            .withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "node"))))
-    least = out.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    # a table of its own, so that the join is a plain one whose hot classes can be split
+    least = written(out.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least")))
     return (out.join(least, "comp", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.coalesce("least", "id").alias("component_id")))
