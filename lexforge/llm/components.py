@@ -2,6 +2,8 @@
 
 Every round is a grouped minimum and a join on the node; links and labels
 stay distributed and are written to the shared folder after each round.
+Rounds end as soon as the links are stars: every node has one link to a
+smaller one, which itself has none.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    return out.where("u != v")
+
+
+def _open_nodes(links: DataFrame) -> DataFrame:
+    """Nodes with several smaller neighbours, or with smaller and larger ones."""
+    ends = (links.select("u", F.lit(1).alias("down"), F.lit(0).alias("up"))
+            .union(links.select(F.col("v").alias("u"), F.lit(0), F.lit(1))))
+    return (ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+            .where("down > 1 or (down = 1 and up = 1)"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v); the smallest node names it."""
     links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                     .where("u != v").distinct())
-    seen = None
-    while True:
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-        links = written(_star(_star(links, True), False))
+    while not _open_nodes(links).isEmpty():
+        links = written(_star(_star(links, True), False).distinct())
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(links.select(F.col("v"), F.col("v")).distinct())
