@@ -540,7 +540,7 @@ def k7_missing_files(spark, sf):
     return batching.missing_files(m, listing).select("rel_path")
 
 
-def sql_mask(cfg: masking.MaskConfig, vocab_high: int):
+def sql_mask(cfg: masking.MaskConfig, vocab_high: int, ctes=None):
     use_random = not (cfg.prop_random == 0 or cfg.prop_mask == 1)
     pr = cfg.prop_random / (1 - cfg.prop_mask) if use_random else 0.0
     h = f"md5(concat_ws(':', '{cfg.seed}', CAST(epoch AS VARCHAR), CAST(example_id AS VARCHAR), CAST(i - 1 AS VARCHAR)))"
@@ -555,7 +555,7 @@ def sql_mask(cfg: masking.MaskConfig, vocab_high: int):
     masked = f"list_transform(ids, lambda x, i: CASE WHEN {to_mask} THEN {cfg.mask_id} {rnd}ELSE x END)"
     selected = f"list_transform(ids, lambda x, i: CASE WHEN {sel} THEN 1 ELSE 0 END)"
     att = f"list_transform(ids, lambda x: CASE WHEN x <> {cfg.pad_id} THEN 1 ELSE 0 END)"
-    return with_ctes(cte_batches(1), f"""
+    return with_ctes(ctes or cte_batches(1), f"""
 SELECT epoch, batch_id, batch_pos, example_id, {sql_ids(masked)} AS masked_ids,
        {sql_ids(selected)} AS selected, {sql_ids(att)} AS attention_mask FROM batches""")
 
@@ -936,30 +936,63 @@ def _scratch(spark, tag):
     return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-STREAM_LANES = 8
+CTE_STREAM = CTE_TOKENS + [
+    ("arrived", f"""SELECT *, CAST(row_number() OVER (ORDER BY shard >= {N_SHARDS // 2},
+        'shard=' || CAST(shard AS VARCHAR) || '/file_idx=' || CAST(file_idx AS VARCHAR), row) - 1 AS BIGINT) AS pos
+        FROM tokens"""),
+    ("batches", f"""SELECT pos // {BATCH} AS batch_id, CAST(pos % {BATCH} AS INTEGER) AS batch_pos, example_id, ids
+        FROM arrived WHERE pos // {BATCH} < (SELECT count(*) FROM arrived) // {BATCH}"""),
+]
 
 
-@query("l1_stream_batches")
-def l1_stream_batches(spark, sf):
-    """L1-L4: the P1 token files written to a folder, then assembled into
-    512-row batches by a Structured Streaming query (8 lanes, admission of 3
-    files per lane per trigger, carry-over in state, availableNow) - returns
-    the emitted batches."""
+def stream_in_two_runs(spark, sf, transform=None):
+    """P1 token files written to a folder in two halves; after each, a streaming
+    run takes what is there and stops, the second one resuming the first."""
     base = _scratch(spark, "stream")
+    tokens = p1_tokens(spark, sf)
+    late = F.col("shard") >= N_SHARDS // 2
+    for half, reset in ((tokens.where(~late), True), (tokens.where(late), False)):
+        files.write_token_shards(half, f"{base}/tokens", reset=reset)
+        streaming.run_available(streaming.token_stream(spark, f"{base}/tokens"), f"{base}/out",
+                                f"{base}/_checkpoint", BATCH, transform)
+    return streaming.finished(spark, f"{base}/out", BATCH)
+
+
+@query("l1_stream_batches", with_ctes(CTE_STREAM, f"SELECT batch_id, batch_pos, example_id, {sql_ids('ids')} AS ids FROM batches"))
+def l1_stream_batches(spark, sf):
+    """L1, L3, L4: the P1 token files, arriving in two halves, assembled into
+    512-row batches by a streaming query that stops and resumes in between."""
+    return stream_in_two_runs(spark, sf).select("batch_id", "batch_pos", "example_id", ids_str("ids").alias("ids"))
+
+
+@query("l2_stream_admission", with_ctes(CTE_TOKENS, f"""
+SELECT CAST(count(*) // {BATCH} * {BATCH} AS BIGINT) AS n_rows, CAST(count(*) // {BATCH} * {BATCH} AS BIGINT) AS n_examples,
+  CAST(count(*) // {BATCH} AS BIGINT) AS n_batches, true AS files_within_bound FROM tokens"""))
+def l2_stream_admission(spark, sf):
+    """L2: all token files through micro-batches of at most 3 files; what the
+    full batches hold, and whether every micro-batch kept to the bound."""
+    base = _scratch(spark, "admission")
     files.write_token_shards(p1_tokens(spark, sf), f"{base}/tokens")
-    stream = streaming.token_stream(spark, f"{base}/tokens", max_files_per_trigger=3 * STREAM_LANES)
-    streaming.run_available(streaming.assemble_batches(stream, BATCH, n_lanes=STREAM_LANES),
-                            f"{base}/batches", f"{base}/_checkpoint")
-    return spark.read.parquet(f"{base}/batches").select(
-        "lane", "batch_id", "batch_pos", "example_id", ids_str("ids").alias("ids"))
+    streaming.run_available(streaming.token_stream(spark, f"{base}/tokens", max_files_per_trigger=3),
+                            f"{base}/out", f"{base}/_checkpoint", BATCH)
+    rows = streaming.finished(spark, f"{base}/out", BATCH)
+    per_micro = rows.select("micro", "rel_dir").distinct().groupBy("micro").agg(F.count(F.lit(1)).alias("files"))
+    within = per_micro.agg(F.max("files") <= 3).scalar()
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("example_id").alias("n_examples"),
+                    F.countDistinct("batch_id").alias("n_batches")).withColumn("files_within_bound", within)
 
 
-@query("l5_stream_masking")
+@query("l5_stream_masking", sql_mask(MASK_CONFIGS["m6_mask_batches"], VOCAB, [
+    *CTE_STREAM[:-1], ("batches", CTE_STREAM[-1][1].replace("SELECT pos", "SELECT 0 AS epoch, pos", 1))]))
 def l5_stream_masking(spark, sf):
-    """Masking applied to the streamed batches (stateless, deterministic)."""
-    b = l1_stream_batches(spark, sf).withColumn("ids", F.split("ids", ",").cast("array<int>"))
-    m = masking.mask_batches(b.withColumn("epoch", F.lit(0)), MASK_CONFIGS["m6_mask_batches"])
-    return m.select("lane", "batch_id", "batch_pos", "example_id", ids_str("masked_ids").alias("masked_ids"))
+    """Each micro-batch masked inside the stream, before it is written."""
+    def mask(rows):
+        return masking.mask_batches(rows.withColumn("epoch", F.lit(0)), MASK_CONFIGS["m6_mask_batches"])
+    m = stream_in_two_runs(spark, sf, mask)
+    return m.select("epoch", "batch_id", "batch_pos", "example_id",
+                    ids_str("masked_ids").alias("masked_ids"),
+                    F.array_join(F.transform("selected", lambda b: b.cast("int")), ",").alias("selected"),
+                    ids_str("attention_mask").alias("attention_mask"))
 
 
 # =========================== A / B / J2: sources and sinks (round trips) ===
