@@ -533,11 +533,15 @@ def g3_loader_counters(spark, sf):
 @query("k7_missing_files", with_ctes(CTE_FILES, """
 SELECT rel_path FROM manifest WHERE rel_path NOT IN (SELECT rel_path FROM manifest WHERE NOT starts_with(rel_path, '0/'))"""))
 def k7_missing_files(spark, sf):
-    """K7: saved-state files absent from the current listing (listing = token
-    files outside shard 0, i.e. shard 0 was removed)."""
-    m = batching.file_manifest(p1_tokens(spark, sf))
-    listing = m.where(~F.col("rel_path").startswith("0/"))
-    return batching.missing_files(m, listing).select("rel_path")
+    """K7: files of the saved state that a listing of the token folder no longer
+    finds; shard 0 was never written there."""
+    tokens = p1_tokens(spark, sf)
+    base = _scratch(spark, "listing")
+    files.write_token_shards(tokens.where("shard <> 0"), f"{base}/tokens")
+    found = files.list_files(spark, f"{base}/tokens", ".parquet")
+    listing = found.select(F.regexp_replace(
+        F.regexp_extract("path", r"(shard=\d+/file_idx=\d+)/[^/]+$", 1), r"[a-z_]+=", "").alias("rel_path"))
+    return batching.missing_files(batching.file_manifest(tokens), listing.distinct()).select("rel_path")
 
 
 def sql_mask(cfg: masking.MaskConfig, vocab_high: int, ctes=None):
