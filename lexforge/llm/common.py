@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lexforge.session import checkpoint_dir, reliable_checkpoint
 
 __all__ = ["free_name", "group_key", "reliable_checkpoint", "running_in_group",
-           "seeded_hash", "without", "written"]
+           "seeded_hash", "without", "written", "written_buckets"]
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -79,3 +80,23 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def written_buckets(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the shared folder, bucketed by ``key``.
+
+    Joins on ``key`` read it in place, so wide rows that several joins need
+    are shuffled once, when written.  There are as many buckets as shuffle
+    partitions.  The name leaves the catalog with the block; use no frame that
+    is not written by then.
+    """
+    spark = df.sparkSession
+    name = f"buckets_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    (df.write.format("parquet").bucketBy(buckets, key)
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name))
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")

@@ -12,7 +12,8 @@
    length and positional filters apply inside the join, and so does a suffix
    filter: the counts of both sets in 64 hash classes bound from below how many
    shingles they do not share.
-4. Surviving pairs fetch the two texts and are verified exactly, once.
+4. Surviving pairs fetch the two texts, from a table bucketed by node, and are
+   verified exactly, once.
 
 Groups of thousands of near copies would yield all their pairs.  Components
 need only enough links, so two rounds first link each node to leaders of
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import written
+from lexforge.llm.common import written, written_buckets
 from lexforge.llm.components import components
 from lexforge.llm.tokens import SPACE, chunks, distinct_grams, salted
 
@@ -207,32 +208,31 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sets = written(docs.select("id", F.xxhash64("text").alias("content"), _set_udf(k)("text").alias("s"))
-                   .select("id", "content", "s.*"))
+    of_text = _set_udf(k)("text").alias("s")
+    sets = written(docs.select("id", of_text).select("id", "s.*"))
     freq = spark.sparkContext.broadcast(_frequencies(docs, k))
     rows = written(_shared(_prefixes(docs, k, percent, freq), "node").distinct())
-    nodes = (sets.where("n > 0").groupBy("node")
-             .agg(F.min(F.struct("id", "content", "n", "classes")).alias("r")).select("node", "r.*"))
+    nodes = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("classes").alias("classes"))
     nodes = written(nodes.join(rows.select("node").distinct(), "node"))
-    texts = (docs.withColumn("content", F.xxhash64("text"))
-             .join(nodes.select("node", F.col("id").alias("_id"), F.col("content").alias("_content")),
-                   F.col("id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
-             .select("node", "text").dropDuplicates(["node"]))
-    texts = written(texts)
+    # texts of one node have equal sets, so any of them will do; the set is found
+    # anew, which is cheaper than a second shuffle of all texts to fetch its name
+    texts = (docs.select(of_text, "text").select("s.node", "text").dropDuplicates(["node"])
+             .join(nodes, "node", "left_semi"))
 
     rows = rows.withColumn("comp", F.col("node"))
     links = None
-    for turn in range(leader_rounds + 1):
-        if links is not None:
-            rows = _open_rows(rows, links)
-        if turn < leader_rounds:
-            pairs = _close_pairs(_leader_pairs(rows, percent, turn), nodes, percent)
-        else:
-            pairs = _cross_pairs(rows, nodes, percent)
-        if links is not None:      # each pair is verified once
-            pairs = pairs.join(links, ["x", "y"], "left_anti")
-        new = written(_verify(pairs, texts, k, percent))
-        links = new if links is None else links.unionByName(new)
+    with written_buckets(texts, "node") as texts:
+        for turn in range(leader_rounds + 1):
+            if links is not None:
+                rows = _open_rows(rows, links)
+            if turn < leader_rounds:
+                pairs = _close_pairs(_leader_pairs(rows, percent, turn), nodes, percent)
+            else:
+                pairs = _cross_pairs(rows, nodes, percent)
+            if links is not None:      # each pair is verified once
+                pairs = pairs.join(links, ["x", "y"], "left_anti")
+            new = written(_verify(pairs, texts, k, percent))
+            links = new if links is None else links.unionByName(new)
 
     found = components(links.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v")))
     out = (sets.join(found, "node", "left")
