@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.session import checkpoint_dir, reliable_checkpoint
 
 __all__ = ["free_name", "group_key", "reliable_checkpoint", "running_in_group",
-           "seeded_hash", "without", "written", "written_buckets"]
+           "seeded_hash", "small_batches", "without", "written", "written_buckets"]
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -100,3 +100,20 @@ def written_buckets(df: DataFrame, key: str) -> Iterator[DataFrame]:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE {name}")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes for the jobs run inside the block.
+
+    A batch exists in the JVM, as Arrow data and as Python objects at once, in
+    every running task, so whole texts want batches bound by bytes, not rows.
+    The session's own setting is back after the block.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import written, written_buckets
+from lexforge.llm.common import small_batches, written, written_buckets
 from lexforge.llm.components import components
 from lexforge.llm.tokens import SPACE, chunks, distinct_grams, salted
 
@@ -201,13 +201,9 @@ def _close_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             .where(_close(percent, "l", "r")).select("x", "y"))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
-                    text_col: str = "text", leader_rounds: int = 2) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the smallest id reachable by
-    links of sets with 100 * intersection >= ``percent`` * union.
-    """
+def _classes(docs: DataFrame, k: int, percent: int, leader_rounds: int) -> DataFrame:
+    """:func:`jaccard_classes` of (id, text); all Python work is written before it returns."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     of_text = _set_udf(k)("text").alias("s")
     sets = written(docs.select("id", of_text).select("id", "s.*"))
     freq = spark.sparkContext.broadcast(_frequencies(docs, k))
@@ -240,10 +236,21 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     # a table of its own, so that the join is a plain one whose hot classes can be split
     least = written(out.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least")))
     return (out.join(least, "comp", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+            .select("id", F.col("n").alias("n_shingles"),
                     F.coalesce("least", "id").alias("component_id")))
 
 
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
+                    text_col: str = "text", leader_rounds: int = 2) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: the smallest id reachable by
+    links of sets with 100 * intersection >= ``percent`` * union.
+    """
+    with small_batches(docs.sparkSession):
+        found = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")),
+                         k, percent, leader_rounds)
+    return found.withColumnRenamed("id", id_col)
+
+
 def one_per_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``docs`` with one document, the smallest id, of each class; rows without shingles stay.
