@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import small_batches, written, written_buckets
+from lexforge.llm.common import free_name, small_batches, written, written_buckets
 from lexforge.llm.components import components
 from lexforge.llm.tokens import SPACE, chunks, distinct_grams, salted
 
@@ -45,6 +45,12 @@ CLASSES = 64
 _NO_LINKS = "x long, y long, ok boolean"
 
 
+def _running(values: np.ndarray) -> np.ndarray:
+    """0 and the running sums modulo 2**64; a plain 0 in front would make them floats, whose
+    rounding names equal sets by their place in a batch."""
+    return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)))
+
+
 def _set_udf(k: int):
     @F.pandas_udf("n long, node long, classes array<tinyint>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -53,7 +59,7 @@ def _set_udf(k: int):
             for lo, hi, t in chunks(text.tolist(), SPACE, True):
                 h, off = distinct_grams(t, k)
                 doc = np.repeat(np.arange(hi - lo), np.diff(off))
-                total = np.concatenate(([0], np.cumsum(salted(h, 0), dtype=np.uint64))).astype(np.uint64)
+                total = _running(salted(h, 0))
                 n_all.append(np.diff(off))
                 node_all.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
                 cls = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64),
@@ -93,7 +99,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, freq) -> DataFrame:
                 h, off = distinct_grams(t, k)
                 n = np.diff(off)
                 doc = np.repeat(np.arange(len(n)), n)
-                total = np.concatenate(([0], np.cumsum(salted(h, 0), dtype=np.uint64))).astype(np.uint64)
+                total = _running(salted(h, 0))
                 node = (total[off[1:]] - total[off[:-1]]).view(np.int64)
                 rare = freq.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 # one key for (frequency, hash); shingles equal in it stay in hash order
@@ -202,10 +208,12 @@ def _close_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _classes(docs: DataFrame, k: int, percent: int, leader_rounds: int) -> DataFrame:
-    """:func:`jaccard_classes` of (id, text); all Python work is written before it returns."""
+    """The columns of ``docs`` but text, with n and comp, the node that names the row's class
+    (null without shingles); all Python work is written before it returns."""
     spark = docs.sparkSession
     of_text = _set_udf(k)("text").alias("s")
-    sets = written(docs.select("id", of_text).select("id", "s.*"))
+    carried = [c for c in docs.columns if c != "text"]
+    sets = written(docs.select(*carried, of_text).select(*carried, "s.*"))
     freq = spark.sparkContext.broadcast(_frequencies(docs, k))
     rows = written(_shared(_prefixes(docs, k, percent, freq), "node").distinct())
     nodes = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("classes").alias("classes"))
@@ -231,8 +239,13 @@ def _classes(docs: DataFrame, k: int, percent: int, leader_rounds: int) -> DataF
             links = new if links is None else links.unionByName(new)
 
     found = components(links.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    out = (sets.join(found, "node", "left")
-           .withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "node"))))
+    return (sets.join(found, "node", "left")
+            .withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "node")))
+            .select(*carried, "n", "comp"))
+
+
+def _named(out: DataFrame) -> DataFrame:
+    """(id, n_shingles, component_id) from the rows of :func:`_classes`."""
     # a table of its own, so that the join is a plain one whose hot classes can be split
     least = written(out.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least")))
     return (out.join(least, "comp", "left")
@@ -246,19 +259,36 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     links of sets with 100 * intersection >= ``percent`` * union.
     """
     with small_batches(docs.sparkSession):
-        found = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")),
-                         k, percent, leader_rounds)
+        found = _named(_classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")),
+                                k, percent, leader_rounds))
     return found.withColumnRenamed("id", id_col)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of all values of a row; the null flags keep a value from moving to another column."""
+    cols = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
+    values = [*cols, *[F.col(c).isNull() for c in docs.columns]]
+    return F.struct(F.xxhash64(F.lit(0), *values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+
+
 def one_per_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, the smallest id, of each class; rows without shingles stay.
+    """``docs`` with one row of each class: the smallest id, null last, then the smallest
+    row key; rows without shingles all stay.
 
-    Rows that share an id and a class with the kept one (repeated rows) stay as one.
+    Rows equal in all columns share a row key, and one of them stands for all:
+    they are folded before the shuffle, and a count brings back those that stay.
     """
-    names = docs.columns
-    found = jaccard_classes(docs, k, percent, id_col, text_col)
-    keep = (found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-            .select(F.col(id_col).alias("_keep")).distinct())
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").select(*names)
+    names, key, copies = docs.columns, free_name(docs, "_row"), free_name(docs, "_copies")
+    with small_batches(docs.sparkSession):
+        out = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+                                   _row_key(docs).alias("row")), k, percent, 2)
+    first = (out.where("comp is not null").groupBy("comp")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+             .select(F.col("first.row").alias(key), F.lit(1).cast("long").alias(copies)))
+    blank = (out.where("comp is null").groupBy(F.col("row").alias(key))
+             .agg(F.count(F.lit(1)).alias(copies)))
+    keep = written(first.unionByName(blank))
+    rows = docs.withColumn(key, _row_key(docs)).dropDuplicates([key])
+    return (rows.join(keep, key)
+            .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*names))

@@ -200,6 +200,27 @@ def test_jaccard(spark, k, percent, seed):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in comp.items() if i == c)
 
 
+def test_one_per_class_odd_ids(spark):
+    a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta"
+    c, d = "red green blue white black grey pink", "un deux trois quatre cinq six sept"
+    rows = ([(1, a, "s")] * 40 + [(2, a, "s"), (None, a, "s")]     # repeated rows, a larger and a null id
+            + [(1, b, "s"), (0, b, "t")]                           # an id that another class keeps
+            + [(None, c, "s"), (None, c, "t"), (None, c, "t")]     # only null ids
+            + [(None, d, "s"), (7, d, "s")]                        # null beside a known id
+            + [(3, c + " " + a, "t"), (3, c + " " + a, "u")]       # equal but for another column
+            + [(1, None, "s"), (1, None, "s"), (None, " ", None)])  # no shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = jaccard.one_per_class(df)
+    assert kept.columns == df.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(r[:2] for r in got if r[1] and r[1].strip() and r[1] != c) == [
+        (0, b), (1, a), (3, c + " " + a), (7, d)]
+    assert [r[:2] for r in got if r[1] == c] == [(None, c)]
+    assert sorted((r for r in got if not (r[1] or "").strip()), key=str) == [
+        (1, None, "s"), (1, None, "s"), (None, " ", None)]
+    assert set(got) <= set(rows)
+
+
 def test_lines(spark, docs):
     rows = corpus()
     pages, seen = {}, {}
