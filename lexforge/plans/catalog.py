@@ -880,8 +880,8 @@ def f4_alphabet(spark, sf):
     return vocab.alphabet(toks, tx.ALPHABET, 74)
 
 
-H2_MERGES = 200
-H1_VOCAB = 300
+H2_MERGES = 10_000
+H1_VOCAB = 15_000
 _MODELS: dict = {}
 
 
@@ -901,14 +901,14 @@ def library_model(spark, sf):
 
 @query("h2_bpe_train_handwritten")
 def h2_bpe_train_handwritten(spark, sf):
-    """H2: 200 exact BPE merges on the 90%-coverage words (space end marker)."""
+    """H2: 10,000 exact BPE merges (or all there are) on the 90%-coverage words (space end marker)."""
     m = bpe.train_space(coverage_words(spark, sf), H2_MERGES)
     return bpe.merges_frame(spark, m)
 
 
 @query("h1_bpe_train_library")
 def h1_bpe_train_library(spark, sf):
-    """H1: library-style BPE (74-char alphabet, </w>, min pair count 5, vocab 300)."""
+    """H1: library-style BPE (74-char alphabet, </w>, min pair count 5, vocab 15,000)."""
     return bpe.merges_frame(spark, library_model(spark, sf))
 
 

@@ -109,3 +109,18 @@ def test_library_bpe_parity_with_tokenizers(spark):
 def test_coverage_cut_beyond_1e13_words(spark):
     df = spark.createDataFrame([("a", 8 * 10**15), ("b", 10**15), ("c", 9 * 10**14), ("d", 10**14)], "word string, n long")
     assert [r.word for r in vocab.coverage_cut(df).orderBy("rank").collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("seed, k, runs", [(1, 1, 50), (2, 3, 50), (3, 8, 4), (4, 64, 50), (5, 8, 50)])
+def test_bpe_rounds_of_runs(spark, monkeypatch, seed, k, runs):
+    monkeypatch.setattr(bpe, "RUNS", runs)
+    rnd = random.Random(seed)
+    words = {"".join(rnd.choice("abc" if seed % 2 else "ab") for _ in range(rnd.randint(1, 9))): rnd.randint(1, 4)
+             for _ in range(40)}
+    got, exp = _spark_vs_sequential(spark, words, 60, k=k)
+    assert got == exp and len(got) > 20
+
+
+def test_bpe_queries_have_the_reference_sizes():
+    from lexforge.plans import catalog
+    assert (catalog.H1_VOCAB, catalog.H2_MERGES) == (15_000, 10_000)
