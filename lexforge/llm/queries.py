@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontaminate as de
-from lexforge.llm import jaccard, langid, licenses, lines, mixing, neighbors, sharding, substring, warc
+from lexforge.llm import jaccard, langid, licenses, lines, mixing, neighbors, phrases, sharding, substring, warc
 from lexforge.session import checkpoint_dir
 from lexforge.sources.tables import read_table
 
@@ -208,6 +208,36 @@ def op10_nearest_neighbors(spark, sf):
     return neighbors.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query("op13_phrase_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p) WHERE len(w) > 0),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, words, count(*) AS f
+      FROM (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS words
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m) GROUP BY lang, words HAVING count(*) >= 30),
+c AS (SELECT lang, words, f, len(words) AS m FROM g WHERE len(words) > 1),
+inside AS (SELECT lang, part, max(f) AS longer
+           FROM (SELECT lang, words, f, unnest([words[1:2], words[2:3], words[3:4], words[1:3], words[2:4]]) AS part
+                 FROM c WHERE m > 2) WHERE len(part) < len(words) AND len(part) > 1 GROUP BY lang, part),
+gone AS (SELECT c.lang, c.words FROM c JOIN inside i ON i.lang = c.lang AND i.part = c.words
+         WHERE 100 * longer::HUGEINT >= 80 * c.f::HUGEINT),
+cut AS (SELECT c.lang, c.words, k, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT // (x.f::HUGEINT + y.f))::BIGINT AS score, c.f AS a
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN g x ON x.lang = c.lang AND x.words = c.words[1:k]
+             JOIN g y ON y.lang = c.lang AND y.words = c.words[k + 1:c.m]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+kept AS (SELECT *, array_to_string(words, ' ') AS phrase FROM best ANTI JOIN gone USING (lang, words)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op13_phrase_collocations(spark, sf):
+    """The 2000 best phrases of 2 to 4 words of each language in all documents."""
+    docs = read_table(spark, sf, "documents").select("text", "lang")
+    return phrases.collocations(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     """The stages of corpus_pipeline.py over all documents."""
