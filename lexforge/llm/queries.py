@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontaminate as de
-from lexforge.llm import jaccard, langid, licenses, lines, mixing, neighbors, phrases, sharding, substring, warc
+from lexforge.llm import hardneg, jaccard, langid, licenses, lines, mixing, neighbors, phrases, sharding, substring, toxicity, warc
 from lexforge.session import checkpoint_dir
 from lexforge.sources.tables import read_table
 
@@ -208,6 +208,43 @@ def op10_nearest_neighbors(spark, sf):
     return neighbors.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf):
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = toxicity.score_toxicity(docs, read_table(spark, sf, "labels").select("doc_id", "toxic"), ~held_out)
+    score = F.col("toxicity")
+    return found.select("doc_id", held_out.alias("held_out"), score.alias("score"),
+                        (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op12_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10""")
+def op12_hard_negatives(spark, sf):
+    """Hard negatives of every 100th vector for its five best positives."""
+    vec = F.col("embedding")
+    rows = read_table(spark, sf, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))),
+               F.transform(vec, lambda x: F.floor(x.cast("double") * 256))).alias("embedding"))
+    found = hardneg.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 @query("op13_phrase_collocations", r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
                   unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

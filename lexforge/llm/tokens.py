@@ -79,20 +79,28 @@ class Tokens:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            out = np.empty(len(self.start), dtype=np.uint64)
-            i = 0
-            while i < len(out):
-                base = self.start[i]
-                j = max(int(np.searchsorted(self.end, base + PIECE, "right")), i + 1)
-                seg = self.buf[base:self.end[j - 1]]
-                acc = np.zeros(len(seg) + 1, dtype=np.uint64)
-                np.cumsum(_BYTE[seg] * _powers(_R, len(seg))[:len(seg)], out=acc[1:])
-                s, e = self.start[i:j] - base, self.end[i:j] - base
-                out[i:j] = mix((acc[e] - acc[s]) * _powers(_R_INV, len(seg) + 1)[s])
-                i = j
-            self._hash = out
+            self._hash = self._hashed(self.end)
         return self._hash
 
+    def heads(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word, as if they were a word; shorter words whole."""
+        return self._hashed(np.minimum(self.start + n, self.end))
+
+    def _hashed(self, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each word's start to ``end``."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            base = self.start[i]
+            j = max(int(np.searchsorted(self.end, base + PIECE, "right")), i + 1)
+            seg = self.buf[base:self.end[j - 1]]
+            acc = np.zeros(len(seg) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[seg] * _powers(_R, len(seg))[:len(seg)], out=acc[1:])
+            s, e = self.start[i:j] - base, end[i:j] - base
+            out[i:j] = mix((acc[e] - acc[s]) * _powers(_R_INV, len(seg) + 1)[s])
+            i = j
+        return out
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the k words from each place, places where all k are in one text)."""
         n = len(self.start) - k + 1
@@ -109,6 +117,11 @@ class Tokens:
         return [raw[s:e].tobytes() for s, e in zip(self.start[lo:hi], self.end[lo:hi])]
 
 
+def text_hash(word: bytes) -> int:
+    """The hash of one word of letters and digits."""
+    return int(Tokens([word], ALNUM, True).hash[0])
+
+
 def chunks(blobs: Sequence[bytes | None], word: np.ndarray, lower: bool,
            max_bytes: int = CHUNK, max_texts: int = 1 << 30) -> Iterator[tuple[int, int, Tokens]]:
     """(from, to, tokens) over a batch of texts, a few MB at a time."""
