@@ -30,9 +30,10 @@ SPLIT_WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F ]"
 # Pre-tokenizer: word runs, single punctuation marks, runs of other symbols.
 PRETOKEN_RE = (r"[\p{L}\p{N}\p{M}]+|[!-/:-@\[-`{-~\p{P}]"
                r"|[^\p{L}\p{N}\p{M}\p{P}\s!-/:-@\[-`{-~]+")
-# Sentence boundary: terminal marks, optional closing quotes/brackets, then whitespace.
-# (up to 64 of them: a look-behind needs a bound).
-SENTENCE_END_RE = r"(?<=[.!?][\"')\]]{0,64})[\t\n\x0B\f\r ]+"
+# A sentence: up to terminal marks, closing quotes/brackets and the whitespace
+# after them, or up to the end (possessive: read once, forward).
+SENTENCE_RE = (r"(?!\z)((?:[^.!?]++|[.!?][\"')\]]*+(?![\t\n\x0B\f\r ]))*+(?:[.!?][\"')\]]*+)?)"
+               r"[\t\n\x0B\f\r ]*+")
 # End-of-word suffix of the library tokenizer path.
 EOW_SUFFIX = "</w>"
 # Characters with the Unicode White_Space property (what the normaliser's
@@ -53,7 +54,7 @@ def fold_newlines(col) -> Column:
 
 def sentence_parts(col) -> Column:
     """E2 helper: array of sentence strings (blank pieces still included)."""
-    return F.split(_c(col), SENTENCE_END_RE)
+    return F.regexp_extract_all(_c(col), F.lit(SENTENCE_RE), 1)
 
 
 def ascii_fold(col) -> Column:

@@ -83,7 +83,8 @@ def g1_coverage_cut(spark, sf):
 # =========================== E: text functions ============================
 from lexforge.operators import sampling, sentences  # noqa: E402
 
-SQL_SENT_PARTS = r"""string_split(regexp_replace(text, '([.!?]+["'')\]]*)[\t\n\x0B\f\r ]+', '\1' || chr(1), 'g'), chr(1))"""
+SQL_SENT_PARTS = r"""list_transform(regexp_extract_all(text, '(?s).*?[.!?]["'')\]]*[\t\n\x0B\f\r ]+|.+'),
+    lambda x: regexp_replace(x, '([.!?]["'')\]]*)[\t\n\x0B\f\r ]+$', '\1'))"""
 SQL_NOT_BLANK = r"NOT regexp_full_match(parts[i], '[\t\n\x0B\f\r ]*')"
 SQL_PRETOKEN = (r"regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[!-/:-@\[-`{-~\p{P}]"
                 r"|[^\p{L}\p{N}\p{M}\p{P}\s!-/:-@\[-`{-~]+')")

@@ -88,3 +88,35 @@ def test_sentence_split_keeps_control_characters(spark):
     df = spark.createDataFrame([(0, "one\x01two. Three"), (1, "a.) b!\"\n c"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.p for r in df.select("doc_id", tx.sentence_parts("text").alias("p")).collect()}
     assert got == {0: ["one\x01two.", "Three"], 1: ["a.)", "b!\"", "c"], 2: None}
+
+
+def test_sentence_split_equals_a_plain_rule(spark):
+    """Against one pass over the characters: no bound on closers, no marker character, no deep recursion."""
+    import random
+
+    def plain(text):
+        out, start, i = [], 0, 0
+        while i < len(text):
+            j = i + 1
+            if text[i] in ".!?":
+                while j < len(text) and text[j] in "\"')]":
+                    j += 1
+                k = j
+                while k < len(text) and text[k] in "\t\n\x0b\f\r ":
+                    k += 1
+                if k > j:
+                    out.append(text[start:j])
+                    start = j = k
+            i = j
+        return [x for x in [*out, text[start:]] if x.strip("\t\n\x0b\f\r ")]
+
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("ab.!?\"')] \n\t\x0b\x01é") for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(500)]
+    texts += ["a." + ")" * 65 + " b", "a." + "]" * 500 + "\nb", "x\x01y. z", "a.b" * 100_000 + ". c", "." * 50_000, " \n",
+              "  Lead. tail ", "\u2028a. b\u0085c. d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [[] for _ in texts]
+    for r in sentences.split_sentences(df).orderBy("doc_id", "sent_idx").collect():
+        assert r.sent_idx == len(got[r.doc_id])
+        got[r.doc_id].append(r.sentence)
+    assert got == [plain(t) for t in texts]
