@@ -106,7 +106,12 @@ def e2_sentence_split(spark, sf):
     return sentences.split_sentences(docs(spark, sf))
 
 
-@query("e3_normalize")
+# NFKD, lower case and without marks, for the letters of these tables
+SQL_NORM = ("trim(strip_accents(lower(replace(text, chr(10), ' '))), "
+            "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+
+@query("e3_normalize", "SELECT doc_id, " + SQL_NORM + " AS text FROM documents")
 def e3_normalize(spark, sf):
     """NFKD, newline->space, lowercase, strip accents, strip (one Arrow pass)."""
     return tx.normalize_rows(docs(spark, sf), "text", "norm").select("doc_id", F.col("norm").alias("text"))
@@ -813,7 +818,7 @@ def j7_retention(spark, sf):
 
 
 # =========================== F3, D9, H1-H5, F4: BPE ========================
-from lexforge.operators import bpe  # noqa: E402
+from lexforge.operators import bpe, dictionary  # noqa: E402
 
 SQL_COVERAGE = f"SELECT word, n FROM ({SQL_RANKED}) WHERE n_before * 1000000 < 900000 * total"
 CTE_PAIRS = [
@@ -922,10 +927,181 @@ def h4_vocab_assembly(spark, sf):
 @query("h5_encode_bpe")
 def h5_encode_bpe(spark, sf):
     """H5-H8: sentences encoded with the trained BPE model, truncated and padded to 64."""
-    enc = bpe.word_encoder(library_model(spark, sf))
-    s = tx.normalize_rows(sentences.split_sentences(docs(spark, sf)), "sentence", "norm")
-    ids = enc(tx.pretokenize("norm"))
-    return s.select("doc_id", "sent_idx", F.array_join(encode.fixed_length(ids, SEQ_LEN), ",").alias("ids"))
+    s = sentences.split_sentences(docs(spark, sf)).withColumn("words", tx.pretokenize(tx.normalize("sentence")))
+    s = reliable_checkpoint(s.select("doc_id", "sent_idx", "words"))
+    ids = dictionary.build(s, F.col("words"), library_model(spark, sf))
+    out = dictionary.encode(s, "words", ids, ["doc_id", "sent_idx"])
+    return out.select("doc_id", "sent_idx", F.array_join(encode.fixed_length(F.col("raw_ids"), SEQ_LEN), ",").alias("ids"))
+
+
+# --------------------------------------------------------------------------
+# The same tokenizer chain trained on the benchmark texts: few enough words for
+# SQL to train, too (one merge a step, all words as one list of marked strings),
+# and used on all documents.
+BENCH_VOCAB = 300
+BENCH_MERGES = 150
+SQL_ALPHABET = "[" + ", ".join(f"chr({ord(c)})" for c in sorted(set(tx.ALPHABET))) + "]"
+SQL_SYMBOLS = "array_to_string(list_transform({0}, lambda c: chr(1) || c || chr(2)), '')"
+SQL_WORDS_LIBRARY = f"""SELECT word, count(*) AS freq FROM (SELECT unnest({SQL_PRETOKEN.replace("text,", "x,", 1)}) AS word
+    FROM (SELECT {SQL_NORM} AS x FROM benchmark)) GROUP BY word"""
+SQL_WORDS_SPACE = SQL_WC.replace("documents", "benchmark").replace("AS n FROM", "AS freq FROM")
+
+
+def cte_training(library):
+    """CTEs up to ``t``: the state before each merge and the merge that led to it."""
+    stop, least = (f"len(pieces) < {BENCH_VOCAB}", 5) if library else (f"step < {BENCH_MERGES}", 1)
+    chars = [("chars", """SELECT word, freq, list_transform(string_split(word, ''), lambda c: c) AS cs FROM words""")]
+    if library:
+        start = [
+            ("kept", f"""SELECT word, freq, list_filter(list_transform(cs, lambda c, i: CASE WHEN i < len(cs) THEN c ELSE c || '</w>' END),
+                lambda c: list_contains({SQL_ALPHABET}, c[1])) AS syms FROM chars"""),
+            ("start", f"""SELECT ['[UNK]', '[PAD]', '[MASK]'] || {SQL_ALPHABET} || list_sort(coalesce(list(DISTINCT cs[-1] || '</w>')
+                FILTER (list_contains({SQL_ALPHABET}, cs[-1])), [])) AS pieces FROM chars""")]
+    else:
+        start = [("kept", "SELECT word, freq, list_append(cs, ' ') AS syms FROM chars"),
+                 ("start", "SELECT list_sort(list(DISTINCT c)) AS pieces FROM (SELECT unnest(syms) AS c FROM kept)")]
+    return [("words", SQL_WORDS_LIBRARY if library else SQL_WORDS_SPACE), *chars, *start, ("t", f"""
+      SELECT 0 AS step, pieces, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::BIGINT AS n,
+             (SELECT list(struct_pack(s := {SQL_SYMBOLS.format('syms')}, f := freq)) FROM kept WHERE len(syms) > 1) AS ws
+      FROM start
+      UNION ALL
+      SELECT step + 1, CASE WHEN list_contains(pieces, best.l || best.r) THEN pieces ELSE list_append(pieces, best.l || best.r) END,
+             best.l, best.r, best.n, list_transform(ws, lambda x: struct_pack(
+                 s := replace(x.s, chr(1) || best.l || chr(2) || chr(1) || best.r || chr(2), chr(1) || best.l || best.r || chr(2)), f := x.f))
+      FROM t, LATERAL (SELECT l, r, sum(f)::BIGINT AS n
+           FROM (SELECT f, p[i] AS l, p[i + 1] AS r FROM (SELECT f, p, unnest(range(1, len(p))) AS i FROM (
+                 SELECT u.f AS f, string_split(substr(u.s, 2, len(u.s) - 2), chr(2) || chr(1)) AS p FROM (SELECT unnest(ws) AS u))))
+           GROUP BY l, r ORDER BY n DESC, list_position(pieces, l), list_position(pieces, r) LIMIT 1) best
+      WHERE {stop} AND best.n >= {least}""")]
+
+
+def with_training(ctes, final, library=True):
+    return with_ctes(cte_training(library) + ctes, final).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL_MERGES = """SELECT (step - 1)::INTEGER AS rank, l AS "left", r AS "right", l || r AS merged, n FROM t WHERE step > 0"""
+CTE_BPE_TOKENS = [
+    *[c for c in CTE_TOKENS if c[0] in ("s", "shard_off")],
+    ("pieces", "SELECT pieces FROM t ORDER BY step DESC LIMIT 1"),
+    ("merge_list", """SELECT coalesce(list(chr(1) || l || chr(2) || chr(1) || r || chr(2) ORDER BY step), []) AS ms
+        FROM t WHERE step > 0"""),
+    ("sw", f"""SELECT shard, doc_id, sent_idx, pos, {SQL_PRETOKEN.replace("text,", "x,", 1)} AS ws
+        FROM (SELECT *, {SQL_NORM.replace("(text,", "(sentence,")} AS x FROM s)"""),
+    ("dict", """SELECT word, list_transform(string_split(substr(y, 2, len(y) - 2), chr(2) || chr(1)),
+            lambda c: coalesce(list_position(pieces, c) - 1, 0)) AS word_ids
+        FROM (SELECT word, pieces, list_reduce(list_prepend(array_to_string(list_transform(string_split(word, ''),
+                lambda c, i: chr(1) || c || CASE WHEN i < len(word) THEN '' ELSE '</w>' END || chr(2)), ''), ms),
+                lambda y, m: replace(y, m, replace(m, chr(2) || chr(1), ''))) AS y
+              FROM (SELECT DISTINCT unnest(ws) AS word FROM sw), merge_list, pieces)"""),
+    ("enc", """SELECT doc_id, sent_idx, flatten(list(word_ids ORDER BY k)) AS raw_ids
+        FROM (SELECT doc_id, sent_idx, ws, unnest(range(1, len(ws) + 1)) AS k FROM sw) x JOIN dict ON dict.word = x.ws[x.k]
+        GROUP BY doc_id, sent_idx"""),
+    ("tokens", f"""SELECT s.shard, CAST(s.pos // {FILE_SIZE} AS INTEGER) AS file_idx,
+        CAST(s.pos % {FILE_SIZE} AS BIGINT) AS row, CAST(o.off + s.pos AS BIGINT) AS example_id,
+        coalesce(e.raw_ids, []) AS raw_ids, list_resize(coalesce(e.raw_ids, []), {SEQ_LEN}, 1) AS ids
+        FROM s JOIN shard_off o USING (shard) LEFT JOIN enc e USING (doc_id, sent_idx)"""),
+]
+
+
+def bench_words(spark, sf, library):
+    texts = read_table(spark, sf, "benchmark").select("text")
+    if library:
+        texts = tx.normalize_rows(texts, "text", "norm")
+        counts = vocab.word_counts(texts, words=tx.pretokenize("norm"))
+    else:
+        counts = vocab.word_counts(texts)
+    return counts.select("word", F.col("n").alias("freq"))
+
+
+def bench_model(spark, sf):
+    """The benchmark tokenizer, trained once per session and scale."""
+    key = (_app(spark), sf, "benchmark")
+    if key not in _MODELS:
+        _MODELS[key] = bpe.train_library(bench_words(spark, sf, True), BENCH_VOCAB, min_frequency=5)
+    return _MODELS[key]
+
+
+@query("h1_bpe_train_benchmark", with_training([], SQL_MERGES))
+def h1_bpe_train_benchmark(spark, sf):
+    """H1 on the words of the benchmark texts: </w> suffix, pairs that count 5, 300 ids."""
+    return bpe.merges_frame(spark, bench_model(spark, sf))
+
+
+@query("h2_bpe_train_benchmark", with_training([], SQL_MERGES, library=False))
+def h2_bpe_train_benchmark(spark, sf):
+    """H2 on the words of the benchmark texts: space end marker, 150 merges."""
+    return bpe.merges_frame(spark, bpe.train_space(bench_words(spark, sf, False), BENCH_MERGES))
+
+
+class _Killed(Exception):
+    pass
+
+
+@query("b6_merge_log", with_training([], SQL_MERGES, library=False))
+def b6_merge_log(spark, sf):
+    """Merges appended while training; the run is ended after two rounds, a
+    second one goes on from the log; the log read back."""
+    log = _scratch(spark, "merges")
+
+    def end(rounds, *_):
+        if rounds == 2:
+            raise _Killed
+    words = bench_words(spark, sf, False)
+    try:
+        bpe.train_space(words, BENCH_MERGES, k=8, on_round=end, log=log, log_every=10)
+    except _Killed:
+        pass
+    bpe.train_space(words, BENCH_MERGES, log=log, log_every=10)
+    return bpe.read_merge_log(spark, log)
+
+
+@query("h4_vocab_benchmark", with_training([("pieces", "SELECT pieces FROM t ORDER BY step DESC LIMIT 1")], f"""
+SELECT (i - 1)::INTEGER AS token_id, pieces[i] AS piece, CASE WHEN i <= 3 THEN 'special'
+       WHEN i <= 3 + len({SQL_ALPHABET}) THEN 'alphabet' WHEN i <= (SELECT len(pieces) FROM start) THEN 'suffixed'
+       ELSE 'merge' END AS kind, {SEQ_LEN} AS seq_len
+FROM (SELECT pieces, unnest(range(1, len(pieces) + 1)) AS i FROM pieces)"""))
+def h4_vocab_benchmark(spark, sf):
+    """H4 + B7 + A5: the benchmark tokenizer saved and loaded; its vocabulary."""
+    base = _scratch(spark, "tokenizer")
+    files.save_tokenizer(spark, bench_model(spark, sf), base, SEQ_LEN, BENCH_VOCAB)
+    loaded, meta = files.load_tokenizer(spark, base)
+    return bpe.vocab_frame(spark, loaded).withColumn("seq_len", F.lit(meta.seq_len))
+
+
+def bpe_tokens(spark, sf):
+    """P1 with the benchmark tokenizer, written once per session and scale."""
+    key = (_app(spark), sf, "bpe")
+    if key not in _TOKENS:
+        p = P1.ShardParams(n_shards=N_SHARDS, file_size=FILE_SIZE, seq_len=SEQ_LEN)
+        s = reliable_checkpoint(p1_sentences(spark, sf))
+        _TOKENS[key] = reliable_checkpoint(P1.encode_sentences_bpe(s, bench_model(spark, sf), p, keep_raw=True)
+                                           .select("shard", "file_idx", "row", "example_id", "rel_path", "raw_ids", "ids"))
+    return _TOKENS[key]
+
+
+@query("h5_bpe_ids", with_training(CTE_BPE_TOKENS, f"SELECT example_id, {sql_ids('raw_ids')} AS raw_ids FROM tokens"))
+def h5_bpe_ids(spark, sf):
+    """H5 + H6: the BPE ids of every sentence, by the dictionary of its words."""
+    return bpe_tokens(spark, sf).select("example_id", ids_str("raw_ids").alias("raw_ids"))
+
+
+@query("p1_bpe_token_shards", with_training(CTE_BPE_TOKENS, f"""
+SELECT shard, file_idx, row, example_id, {sql_ids('ids')} AS ids FROM tokens"""))
+def p1_bpe_token_shards(spark, sf):
+    """P1 with the trained tokenizer (H5-H8), written as token files (B4) and scanned back (A4)."""
+    base = _scratch(spark, "bpe-tokens")
+    files.write_token_shards(bpe_tokens(spark, sf), base)
+    t = files.read_token_shards(spark, base)
+    return t.select("shard", "file_idx", "row", "example_id", ids_str("ids").alias("ids"))
+
+
+@query("h9_decode_bpe", with_training(CTE_BPE_TOKENS, """
+SELECT example_id, rtrim(replace(array_to_string(list_transform(list_filter(ids, lambda i: i >= 3),
+       lambda i: pieces[i + 1]), ''), '</w>', ' ')) AS text FROM tokens, pieces"""))
+def h9_decode_bpe(spark, sf):
+    """H9 with a suffix: padded BPE ids back to text, ``</w>`` as a space."""
+    to_pieces = encode.id_lookup(bpe.vocab_frame(spark, bench_model(spark, sf)))
+    return bpe_tokens(spark, sf).select("example_id", encode.decode(F.col("ids"), to_pieces).alias("text"))
 
 
 # =========================== L: streaming batch assembly ===================

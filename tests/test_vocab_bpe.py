@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bpe_reference import train_sequential
 from lexforge.functions import text as tx
-from lexforge.operators import bpe, vocab
+from lexforge.operators import bpe, dictionary, vocab
 
 
 def _counts(spark, pairs):
@@ -34,12 +34,12 @@ def test_word_counts_edges(spark):
     assert (tot.total_words, tot.distinct_words) == (5, 4)
 
 
-def _spark_vs_sequential(spark, words, n_merges, k=8, two_pass=None):
+def _spark_vs_sequential(spark, words, n_merges, k=8):
     df = spark.createDataFrame(list(words.items()), "word string, freq long")
     sym, model = bpe.initial_symbols_space(df)
     init = {tuple(r.sym): r.freq for r in sym.collect()}
     pieces0 = list(model.pieces)
-    got = bpe.train(sym, model, n_merges=n_merges, k=k, two_pass=two_pass)
+    got = bpe.train(sym, model, n_merges=n_merges, k=k)
     exp, _ = train_sequential(init, pieces0, n_merges=n_merges)
     return [tuple(m) for m in got.merges], [tuple(m) for m in exp]
 
@@ -49,12 +49,12 @@ def test_bpe_self_pairs_and_overlaps(spark):
     assert got == exp and len(got) > 3
 
 
-@pytest.mark.parametrize("seed,two_pass", [(1, False), (2, False), (3, True), (4, True)])
-def test_bpe_random_tiny_vocabularies(spark, seed, two_pass):
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_bpe_random_tiny_vocabularies(spark, seed):
     rnd = random.Random(seed)
     words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7))): rnd.randint(1, 30)
              for _ in range(40)}
-    got, exp = _spark_vs_sequential(spark, words, 30, k=16, two_pass=two_pass)
+    got, exp = _spark_vs_sequential(spark, words, 30, k=16)
     assert got == exp
 
 
@@ -124,3 +124,55 @@ def test_bpe_rounds_of_runs(spark, monkeypatch, seed, k, runs):
 def test_bpe_queries_have_the_reference_sizes():
     from lexforge.plans import catalog
     assert (catalog.H1_VOCAB, catalog.H2_MERGES) == (15_000, 10_000)
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("library", [False, True])
+def test_training_goes_on_from_its_merge_log(spark, tmp_dir, library):
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 8))): rnd.randint(1, 30) for _ in range(60)}
+    df = spark.createDataFrame(list(words.items()), "word string, freq long")
+
+    def run(log, on_round=None):
+        start = bpe.initial_symbols_library if library else bpe.initial_symbols_space
+        sym, model = start(df)
+        return bpe.train(sym, model, vocab_size=len(model.pieces) + 40, k=2, on_round=on_round, log=log, log_every=7)
+
+    def kill(rounds, *_):
+        if rounds == 4:
+            raise Killed
+    whole = run(None)
+    assert len(whole.merges) > 30
+    with pytest.raises(Killed):
+        run(f"{tmp_dir}/log", kill)
+    some = bpe.read_merge_log(spark, f"{tmp_dir}/log").count()
+    assert 0 < some < len(whole.merges) and some % 7 == 0
+    again = run(f"{tmp_dir}/log")
+    assert (again.merges, again.pieces, again.kinds) == (whole.merges, whole.pieces, whole.kinds)
+    logged = bpe.read_merge_log(spark, f"{tmp_dir}/log").orderBy("rank").collect()
+    assert [tuple(r) for r in logged] == whole.merge_rows()
+    assert run(f"{tmp_dir}/log").merges == whole.merges            # nothing left to do
+    other = spark.createDataFrame([("xyz", 3)], "word string, freq long")
+    with pytest.raises(ValueError):
+        sym, model = bpe.initial_symbols_space(other)
+        bpe.train(sym, model, n_merges=3, log=f"{tmp_dir}/log")
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_dictionary_encoding_equals_the_word_encoder(spark, hot):
+    rnd = random.Random(7)
+    texts = [" ".join("".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.choice([0, 1, 9, 60])))
+             for _ in range(80)] + ["the " * 500, None, "", "abc abc abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    df = df.withColumn("words", tx.pretokenize(tx.normalize("text")))
+    counts = vocab.word_counts(df, words=F.col("words")).select("word", F.col("n").alias("freq"))
+    model = bpe.train_library(counts, 160, min_frequency=2)
+    ids = dictionary.build(df, F.col("words"), model)
+    assert ids.count() == counts.count()
+    got = dictionary.encode(df, "words", ids, ["doc_id"], hot=hot)
+    want = {r.doc_id: r.x for r in df.select("doc_id", bpe.word_encoder(model)(F.col("words")).alias("x")).collect()}
+    assert {r.doc_id: r.raw_ids for r in got.collect()} == want
+    assert want[81] is None and want[82] == [] and len(want[80]) >= 500
