@@ -45,8 +45,7 @@ def hash_order_positions(df: DataFrame, key: str, tie, pos_col: str = "pos",
     """
     part = list(partition)
     b = "_bucket"
-    # one hash exchange on the bucket feeds both the counts and the ranking
-    # (the exchange is reused), so the upstream plan runs once
+    # the same hash exchange on the bucket feeds the counts and the ranking
     shuffled = df.withColumn(b, hex_bucket(F.col(key), digits)).repartition(*part, b)
     counts = shuffled.groupBy(*part, b).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +131,51 @@ def ordered_running(df: DataFrame, order: Sequence, partition: Sequence[str] = (
     return out.drop(*drop)
 
 
-def weighted_offsets(df: DataFrame, order: Sequence, weight: str, out: str,
-                     partition: Sequence[str] = ()) -> DataFrame:
-    """Exclusive prefix sum of ``weight`` in ``order`` (e.g. first global
-    sentence position of each document)."""
-    return ordered_running(df, order, partition, pos_col=None, sums={out: weight})
+class OrderedScan:
+    """Segmented prefix scans over one sort.
+
+    The rows are range-sorted by group and ``order`` and checkpointed once.
+    Each :meth:`add` then puts running sums and latest marked values beside the
+    rows: one small row a chunk (and group) carries what lies before, a window
+    inside the chunk does the rest.  A later ``add`` may build on the columns of
+    an earlier one, so a mark can depend on a position or on the row before.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence, partition: Sequence[str] = ()):
+        self.part = list(partition)
+        self.order = [_col(o) for o in order]
+        keys = [*(F.col(p) for p in self.part), *self.order]
+        ranged = reliable_checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+        self.rows = ranged.withColumn("_pid", F.spark_partition_id())
+
+    def add(self, sums: dict | None = None, latest: dict | None = None) -> OrderedScan:
+        """``sums``: output -> (column, inclusive).  ``latest``: output -> (mark, value, inclusive),
+        the value at the latest marked row; values have to grow with the order, and what is
+        the largest struct counts (null without a mark)."""
+        parts = [(o, F.sum, _col(c), inc) for o, (c, inc) in (sums or {}).items()]
+        parts += [(o, F.max, F.when(mark, value), inc) for o, (mark, value, inc) in (latest or {}).items()]
+        rows = self.rows
+        for i, (_, _, c, _) in enumerate(parts):
+            rows = rows.withColumn(f"_c{i}", c)
+        earlier = (Window.partitionBy(*self.part).orderBy("_pid")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        carry = (rows.groupBy("_pid", *self.part).agg(*[f(f"_c{i}").alias(f"_k{i}") for i, (_, f, _, _) in enumerate(parts)])
+                 .select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{j}") for j, g in enumerate(self.part)],
+                         *[f(f"_k{i}").over(earlier).alias(f"_k{i}") for i, (_, f, _, _) in enumerate(parts)]))
+        same = F.col("_pid") == F.col("_p")
+        for j, g in enumerate(self.part):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{j}"))
+        inside = Window.partitionBy("_pid", *self.part).orderBy(*self.order)
+        for i, (_, f, _, inc) in enumerate(parts):
+            rows = rows.withColumn(f"_l{i}", f(f"_c{i}").over(
+                inside.rowsBetween(Window.unboundedPreceding, 0 if inc else -1)))
+        rows = rows.join(carry, same)
+        for i, (o, f, _, _) in enumerate(parts):
+            rows = rows.withColumn(o, F.coalesce(f"_k{i}", F.lit(0)) + F.coalesce(f"_l{i}", F.lit(0)) if f is F.sum
+                                   else F.greatest(f"_k{i}", f"_l{i}"))
+        self.rows = rows.drop("_p", *[f"_g{j}" for j in range(len(self.part))],
+                              *[f"_{k}{i}" for k in "ckl" for i in range(len(parts))])
+        return self
+
+    def result(self) -> DataFrame:
+        return self.rows.drop("_pid")

@@ -1,17 +1,17 @@
 """Run logs and checkpoint manifests as tables (survey C5, C6, F8, G2, G4, J1, J2, J4, J6, J7).
 
 A run log has one row per training step.  All counters are running
-aggregates per run computed with :func:`ordered_running`, so one run holding
-a large share of all steps is still split across many tasks.
+aggregates per run computed by distributed scans, so one run holding a large
+share of all steps is still split across many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.operators.positions import ordered_running
+from lexforge.operators.positions import OrderedScan, ordered_running
 
 RUN_LOG_SCHEMA = T.StructType([
     T.StructField("run", T.StringType()),
@@ -45,40 +45,64 @@ def steps(log: DataFrame, run_col: str = "run", order=("ts", "event_id"),
     return out
 
 
-def running_counters(log: DataFrame, run_col: str = "run", examples_col: str = "examples") -> DataFrame:
-    """Counters *after* each step - epoch/global batches and examples; the
-    epoch pair restarts at every epoch."""
-    g = ordered_running(log, [F.col("step")], [run_col], pos_col="_gb",
-                        sums={"_ge": examples_col})
-    e = ordered_running(g, [F.col("step")], [run_col, "epoch"], pos_col="_eb",
-                        sums={"_ee": examples_col})
-    return (e.withColumn("global_batches", F.col("_gb") + 1)
-            .withColumn("global_examples", F.col("_ge") + F.col(examples_col))
-            .withColumn("epoch_batches", F.col("_eb") + 1)
-            .withColumn("epoch_examples", F.col("_ee") + F.col(examples_col))
-            .drop("_gb", "_ge", "_eb", "_ee"))
-
-
-def checkpoint_deltas(log: DataFrame, run_col: str = "run", ckpt_col: str = "is_checkpoint",
-                      examples_col: str = "examples") -> DataFrame:
-    """batches/examples since the session start and since the last
-    checkpoint *before* this step (the counters a progress line prints).
-
-    Pass 1: examples before each step.  Pass 2: running max over earlier
-    checkpoint rows of the counters right after them (both are monotone, so
-    the max is the value at the latest checkpoint)."""
-    r = ordered_running(log, [F.col("step")], [run_col], pos_col=None,
-                        sums={"_ex_before": examples_col})
-    r = (r.withColumn("_ck_b", F.when(F.col(ckpt_col), F.col("step") + 1))
-         .withColumn("_ck_e", F.when(F.col(ckpt_col), F.col("_ex_before") + F.col(examples_col))))
-    r = ordered_running(r, [F.col("step")], [run_col], pos_col=None,
-                        maxes={"_last_b": "_ck_b", "_last_e": "_ck_e"})
-    return (r.withColumn("session_batches", F.col("step"))
-            .withColumn("session_examples", F.col("_ex_before"))
-            .withColumn("checkpoint_batches", F.col("step") - F.coalesce(F.col("_last_b"), F.lit(0)))
-            .withColumn("checkpoint_examples",
-                        F.col("_ex_before") - F.coalesce(F.col("_last_e"), F.lit(0)))
-            .drop("_ex_before", "_ck_b", "_ck_e", "_last_b", "_last_e"))
+def progress(log: DataFrame, run_col: str = "run", order=("ts", "event_id"), examples_col: str = "examples",
+             ckpt_col: str = "is_checkpoint", steps_per_epoch: int | None = None,
+             gap_s: float | None = None) -> DataFrame:
+    """G2 + G4 in one sort: per step, in ``order``, the counters of a run.
+
+    ``step``; the totals before it (total_batches, total_examples) and, as a
+    restarted run takes them from its last checkpoint, what came since its
+    session began (session_*), and since the later of that and the last
+    checkpoint before this step (checkpoint_*): batches, examples and seconds.
+    A session ends where nothing was logged for ``gap_s`` seconds (None: never).
+    With ``steps_per_epoch`` also epoch, and the counters *after* the step in the
+    epoch and in all (G2)."""
+    us = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    scan = OrderedScan(log.withColumn("_us", us), list(order), [run_col])
+    scan.add(sums={"step": (F.lit(1).cast("long"), False), "total_examples": (examples_col, False)},
+             latest={"_before": (F.lit(True), F.col("_us"), False)})
+    at = F.struct(F.col("step").alias("b"), F.col("total_examples").alias("e"), F.col("_us").alias("us"))
+    after = F.struct((F.col("step") + 1).alias("b"), (F.col("total_examples") + F.col(examples_col)).alias("e"),
+                     F.col("_us").alias("us"))
+    begins = F.col("_before").isNull()
+    if gap_s is not None:
+        begins = begins | (F.col("_us") - F.col("_before") > int(gap_s * 1_000_000))
+    marks = {"_session": (begins, at, True), "_ckpt": (F.col(ckpt_col), after, False)}
+    if steps_per_epoch:
+        marks["_epoch"] = (F.col("step") % steps_per_epoch == 0, at, True)
+    scan.add(sums={"session": (begins.cast("long"), True)}, latest=marks)
+    out = scan.result().withColumn("_base", F.when(F.col("_ckpt.b") > F.col("_session.b"), F.col("_ckpt"))
+                                   .otherwise(F.col("_session")))
+    out = out.withColumn("session", F.col("session") - 1).withColumn("total_batches", F.col("step"))
+    for name, base in (("session", "_session"), ("checkpoint", "_base")):
+        out = out.withColumns({f"{name}_batches": F.col("step") - F.col(f"{base}.b"),
+                               f"{name}_examples": F.col("total_examples") - F.col(f"{base}.e"),
+                               f"{name}_s": (F.col("_us") - F.col(f"{base}.us")) / 1e6})
+    if steps_per_epoch:
+        out = out.withColumns({
+            "epoch": F.floor(F.col("step") / steps_per_epoch).cast("int"),
+            "global_batches": F.col("step") + 1, "global_examples": F.col("total_examples") + F.col(examples_col),
+            "epoch_batches": F.col("step") - F.col("_epoch.b") + 1,
+            "epoch_examples": F.col("total_examples") - F.col("_epoch.e") + F.col(examples_col)})
+    return out.drop("_us", "_before", "_session", "_ckpt", "_base", "_epoch")
+
+
+def session_throughput(steps_in_sessions: DataFrame, run_col: str = "run", ts_col: str = "ts",
+                       examples_col: str = "examples") -> DataFrame:
+    """F8 over sessions: for each session of :func:`progress`, its own batches, examples, seconds and
+    rates, and the totals with all sessions before it (a pause between two is no training time)."""
+    t = steps_in_sessions.withColumn("_us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    own = t.groupBy(run_col, "session").agg(
+        F.count(F.lit(1)).alias("session_batches"), F.sum(examples_col).alias("session_examples"),
+        ((F.max("_us") - F.min("_us")) / 1e6).alias("session_s"))
+    # one row a session: sessions of a run, not its steps
+    so_far = Window.partitionBy(run_col).orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in ("batches", "examples", "s"):
+        own = own.withColumn(f"total_{c}", F.sum(f"session_{c}").over(so_far))
+    for scope in ("session", "total"):
+        b, e, el = (F.col(f"{scope}_{c}") for c in ("batches", "examples", "s"))
+        own = own.withColumns({f"{scope}_examples_per_s": F.try_divide(e, el).cast("long"), f"{scope}_s_per_batch": el / b})
+    return own
 
 
 def log_due(log: DataFrame, every: int = LOG_EVERY, step_col: str = "step") -> DataFrame:
@@ -105,7 +129,8 @@ def throughput(log: DataFrame, run_col: str = "run", ts_col: str = "ts", step_co
                examples_col: str = "examples", ckpt_col: str = "is_checkpoint") -> DataFrame:
     """F8: per run, batches/s, examples/s (integer-truncated) and s/batch for the
     session, in total and since the last checkpoint (the session's start where
-    there is none).  A log holds one session, so its total is the session's.
+    there is none).  Here the log is one session, so its total is the session's;
+    :func:`session_throughput` tells sessions apart.
     Every run has a row of each scope; without a batch, s/batch is 0.
 
     Two grouped aggregations (map-side combined): the run totals with the last

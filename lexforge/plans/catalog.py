@@ -667,14 +667,22 @@ EXAMPLES_PER_STEP = 512
 STEPS_PER_EPOCH = 50
 
 
-def run_log(spark, sf):
-    """events as a run log: run = user, loss = value, checkpoint = purchase,
-    512 examples per step; step/epoch come from the library's running ranks."""
-    ev = read_table(spark, sf, "events").select(
+def run_events(spark, sf):
+    """events as a run log without counters: run = user, loss = value,
+    checkpoint = purchase, 512 examples per step."""
+    return read_table(spark, sf, "events").select(
         F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run"), "event_id", "ts",
         F.col("value").alias("loss"), (F.col("event_type") == "purchase").alias("is_checkpoint"),
         F.lit(EXAMPLES_PER_STEP).cast("long").alias("examples"))
-    return runlog.steps(ev, "run", steps_per_epoch=STEPS_PER_EPOCH)
+
+
+def run_log(spark, sf):
+    """The run log with step/epoch from the library's running ranks."""
+    return runlog.steps(run_events(spark, sf), "run", steps_per_epoch=STEPS_PER_EPOCH)
+
+
+def run_progress(spark, sf, gap_s=None):
+    return runlog.progress(run_events(spark, sf), steps_per_epoch=STEPS_PER_EPOCH, gap_s=gap_s)
 
 
 CTE_RUNLOG = [
@@ -695,7 +703,7 @@ CTE_RUNLOG = [
 SELECT run, step, epoch, epoch_batches, epoch_examples, global_batches, global_examples FROM g"""))
 def g2_running_counters(spark, sf):
     """epoch/global batch and example counters after every step."""
-    r = runlog.running_counters(run_log(spark, sf))
+    r = run_progress(spark, sf)
     return r.select("run", "step", "epoch", "epoch_batches", "epoch_examples", "global_batches", "global_examples")
 
 
@@ -710,12 +718,55 @@ SELECT run, step, CAST(step AS BIGINT) AS session_batches, CAST(ex_before AS BIG
        CAST(step - coalesce(last_b, 0) AS BIGINT) AS checkpoint_batches,
        CAST(ex_before - coalesce(last_e, 0) AS BIGINT) AS checkpoint_examples FROM y"""))
 def g4_checkpoint_deltas(spark, sf):
-    """batches/examples this session and since the last checkpoint."""
-    r = runlog.checkpoint_deltas(run_log(spark, sf))
+    """batches/examples this session (all of the run) and since the last checkpoint."""
+    r = run_progress(spark, sf)
     return r.select("run", "step", "session_batches", "session_examples", "checkpoint_batches",
                     "checkpoint_examples")
 
 
+SESSION_GAP_S = 86_400
+CTE_SESSIONS = CTE_RUNLOG + [
+    ("s0", f"""SELECT *, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > {SESSION_GAP_S * 1_000_000}, true) AS begins
+        FROM rl2 WINDOW w AS (PARTITION BY run ORDER BY step)"""),
+    ("s1", """SELECT *, sum(begins::INT) OVER (PARTITION BY run ORDER BY step) - 1 AS session,
+        coalesce(sum(examples) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM s0"""),
+    ("s2", """SELECT *, first_value(struct_pack(b := step, e := before, us := us)) OVER (PARTITION BY run, session ORDER BY step) AS s,
+        max(CASE WHEN is_checkpoint THEN struct_pack(b := step + 1, e := before + examples, us := us) END)
+            OVER (PARTITION BY run, session ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM s1"""),
+]
+
+
+@query("g4_session_progress", with_ctes(CTE_SESSIONS, """
+SELECT run, step, session::BIGINT AS session, (step - s.b)::BIGINT AS session_batches, (before - s.e)::BIGINT AS session_examples,
+       (step - coalesce(c.b, s.b))::BIGINT AS checkpoint_batches, (before - coalesce(c.e, s.e))::BIGINT AS checkpoint_examples,
+       round((us - s.us) / 1e6, 6) AS session_s, round((us - coalesce(c.us, s.us)) / 1e6, 6) AS checkpoint_s,
+       before::BIGINT AS total_examples FROM s2"""))
+def g4_session_progress(spark, sf):
+    """G4 over restarts: a session ends after a day without a step; counters since its
+    begin and since its last checkpoint, beside the totals carried over sessions."""
+    r = run_progress(spark, sf, SESSION_GAP_S)
+    return r.select("run", "step", "session", "session_batches", "session_examples", "checkpoint_batches",
+                    "checkpoint_examples", F.round("session_s", 6).alias("session_s"),
+                    F.round("checkpoint_s", 6).alias("checkpoint_s"), "total_examples")
+
+
+@query("f8_session_throughput", with_ctes(CTE_SESSIONS + [
+    ("o", """SELECT run, session, count(*) AS b, sum(examples) AS e, (max(us) - min(us)) / 1e6 AS el FROM s1 GROUP BY run, session"""),
+    ("t", """SELECT *, sum(b) OVER w AS tb, sum(e) OVER w AS te, sum(el) OVER w AS tel FROM o
+        WINDOW w AS (PARTITION BY run ORDER BY session)""")], """
+SELECT run, session::BIGINT AS session, b::BIGINT AS session_batches, e::BIGINT AS session_examples, round(el, 6) AS session_s,
+       tb::BIGINT AS total_batches, te::BIGINT AS total_examples, round(tel, 6) AS total_s,
+       trunc(CASE WHEN el > 0 THEN e / el END)::BIGINT AS session_examples_per_s, round(el / b + 1e-9, 6) AS session_s_per_batch,
+       trunc(CASE WHEN tel > 0 THEN te / tel END)::BIGINT AS total_examples_per_s, round(tel / tb + 1e-9, 6) AS total_s_per_batch FROM t"""))
+def f8_session_throughput(spark, sf):
+    """F8 over restarts: rates of each session and of all sessions so far."""
+    r = runlog.session_throughput(run_progress(spark, sf, SESSION_GAP_S))
+    # halves of microseconds are moved off the edge that engines round differently
+    return r.select(*[F.round(F.col(c) + (1e-9 if c.endswith("batch") else 0.0), 6).alias(c) if t == "double" else F.col(c)
+                      for c, t in r.dtypes])
+
+
 @query("c5_log_every_n", with_ctes(CTE_RUNLOG, "SELECT run, step FROM rl2 WHERE step % 10 = 0"))
 def c5_log_every_n(spark, sf):
     """Steps that are logged when logging every 10 batches."""
@@ -764,7 +815,7 @@ def f8_throughput(spark, sf):
 def checkpoint_files(spark, sf):
     """Checkpoint files a run would have written: one per checkpoint step
     (``ckpt/``) and one per finished epoch (``ckpt/epoch/``, epoch + 1, batch 0)."""
-    g = runlog.running_counters(run_log(spark, sf))
+    g = run_progress(spark, sf)
     step_ck = g.where("is_checkpoint").select(
         "run", F.concat(F.lit("ckpt/"), runlog.checkpoint_name(F.col("run"), F.col("epoch"),
                                                                 F.col("epoch_batches"))).alias("path"),

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lexforge.functions.hashing import hash_key
-from lexforge.operators.positions import hash_order_positions, ordered_running
+from lexforge.operators.positions import OrderedScan, hash_order_positions, ordered_running
+from lexforge.operators.runlog import progress, session_throughput
 
 
 def _data(spark, n=3000, seed=7):
@@ -59,3 +60,65 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "id long, w long")
     assert ordered_running(df, [F.col("id")], sums={"s": "w"}).count() == 0
     assert hash_order_positions(df.withColumn("h", hash_key(1, "id")), "h", "id").count() == 0
+
+
+def test_ordered_scan_levels_and_null_group(spark):
+    df = _data(spark, 1500).withColumn("g", F.when(F.col("g") != 3, F.col("g"))).repartition(6)
+    scan = OrderedScan(df, ["k", "id"], ["g"])
+    scan.add(sums={"pos": (F.lit(1).cast("long"), False), "upto": ("w", True)},
+             latest={"prev": (F.lit(True), F.struct("k", "id"), False)})
+    scan.add(latest={"tenth": (F.col("pos") % 10 == 0, F.col("pos"), True),
+                     "flagged": (F.col("flag"), F.col("upto"), False)})
+    got = {r.id: r for r in scan.result().collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.g, []).append(r)
+    assert None in groups and len(got) == 1500
+    for rows in groups.values():
+        upto, prev, flagged = 0, None, None
+        for pos, r in enumerate(sorted(rows, key=lambda r: (r.k, r.id))):
+            upto += r.w
+            x = got[r.id]
+            assert (x.pos, x.upto, x.tenth, x.flagged) == (pos, upto, pos // 10 * 10, flagged)
+            assert (tuple(x.prev) if x.prev else None) == prev
+            prev = (r.k, r.id)
+            flagged = upto if r.flag else flagged
+    empty = OrderedScan(df.where("false"), ["k"], ["g"]).add(sums={"n": (F.lit(1), True)}).result()
+    assert empty.count() == 0
+
+
+def test_progress_over_sessions(spark):
+    import datetime as dt
+    rnd = random.Random(2)
+    rows, t = [], dt.datetime(2024, 1, 1)
+    for i in range(400):
+        t += dt.timedelta(seconds=rnd.choice([1, 2, 5, 5000]) if rnd.random() < 0.1 else 1)
+        rows.append((f"r{i % 2}", i, t, rnd.random() < 0.05, rnd.randint(1, 9)))
+    df = spark.createDataFrame(rows, "run string, event_id long, ts timestamp, is_checkpoint boolean, examples long").repartition(5)
+    out = progress(df, steps_per_epoch=30, gap_s=1000)
+    got = {r.event_id: r for r in out.collect()}
+    ends = {(r.run, r.session): r for r in session_throughput(out).collect()}
+    restarts = 0
+    for run in ("r0", "r1"):
+        step = total = elapsed = 0
+        session, before, epoch = -1, None, 0
+        for _, i, ts, ck, ex in [r for r in rows if r[0] == run]:
+            if before is None or (ts - before).total_seconds() > 1000:
+                session, begin = session + 1, (step, total, ts)
+                base = begin
+            if step % 30 == 0:
+                epoch = total
+            r = got[i]
+            assert (r.step, r.session, r.total_examples, r.epoch) == (step, session, total, step // 30)
+            assert (r.session_batches, r.session_examples, r.session_s) == (
+                step - begin[0], total - begin[1], (ts - begin[2]).total_seconds())
+            assert (r.checkpoint_batches, r.checkpoint_examples, r.checkpoint_s) == (
+                step - base[0], total - base[1], (ts - base[2]).total_seconds())
+            assert (r.epoch_batches, r.epoch_examples) == (step % 30 + 1, total - epoch + ex)
+            step, total, before = step + 1, total + ex, ts
+            if ck:
+                base = (step, total, ts)
+            end = ends[run, session]
+        restarts += session
+        assert (end.total_batches, end.total_examples) == (step, total) and end.session_batches < step
+    assert restarts > 4
