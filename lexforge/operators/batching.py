@@ -14,6 +14,8 @@ over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,89 @@ def assign_batches(positioned: DataFrame, batch_size: int, drop_last: bool = Tru
     return out.drop(size_col) if size_col in out.columns else out
 
 
+FILES_PER_CHUNK = 10_000
+
+
+def _after(carry, n, batch_size: int):
+    """(rows carried on, batches given out) by a file of ``n`` rows that starts with ``carry`` rows.
+
+    A file that does not fill a batch gives out what there is as a short one."""
+    total = carry + n
+    short = (total < batch_size) & (total > 0)
+    return np.where(short, 0, total % batch_size), np.where(short, 1, total // batch_size)
+
+
+def loader_files(manifest: DataFrame, batch_size: int, rank_col: str = "file_rank",
+                 rows_col: str = "n_rows") -> DataFrame:
+    """K3 as the one-file-at-a-time loader cuts it: ``manifest`` (ranked, one row a
+    file) with ``carry_in``, the rows left over from files before, ``first_batch`` and
+    ``n_batches``.
+
+    The loader is a fold over the files whose state is the carry, one of
+    ``batch_size`` values; so a stretch of files is a table from each carry in to the
+    carry out and the batches between.  Stretches of ``FILES_PER_CHUNK`` files are
+    folded to such tables in parallel, the tables (one a stretch) are composed, and
+    each stretch then numbers its files from its known start."""
+    files = manifest.withColumn("_chunk", F.floor(F.col(rank_col) / FILES_PER_CHUNK).cast("long"))
+
+    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        carry, batches = np.arange(batch_size), np.zeros(batch_size, dtype=np.int64)
+        for n in rows.sort_values(rank_col)[rows_col].tolist():
+            carry, more = _after(carry, n, batch_size)
+            batches = batches + more
+        return pd.DataFrame({"chunk": [key[0]], "carry": [carry], "batches": [batches]})
+
+    # one row for FILES_PER_CHUNK files
+    tables = (files.select("_chunk", rank_col, rows_col).groupBy("_chunk")
+              .applyInPandas(table, "chunk long, carry array<long>, batches array<long>").collect())
+    start, carry, first = {}, 0, 0
+    for t in sorted(tables, key=lambda t: t["chunk"]):
+        start[t["chunk"]] = (carry, first)
+        carry, first = t["carry"][carry], first + t["batches"][carry]
+
+    def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        carry, first = start[key[0]]
+        rows = rows.sort_values(rank_col)
+        out = []
+        for n in rows[rows_col].tolist():
+            after, batches = (int(x) for x in _after(carry, n, batch_size))
+            out.append((carry, first, batches))
+            carry, first = after, first + batches
+        rows[["carry_in", "first_batch", "n_batches"]] = np.array(out, dtype=np.int64).reshape(-1, 3)
+        return rows.drop(columns="_chunk")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in manifest.schema.fields)
+    return files.groupBy("_chunk").applyInPandas(number, f"{kinds}, carry_in long, first_batch long, n_batches long")
+
+
+def loader_batches(ranked: DataFrame, files: DataFrame, batch_size: int, file_col: str = "rel_path") -> DataFrame:
+    """``ranked`` (rows with ``rank_in_file``) with batch_id and batch_pos by the files of
+    :func:`loader_files`; rows that a file leaves over open the next file's first batch."""
+    at = F.col("carry_in") + F.col("rank_in_file")
+    return (ranked.join(files.select(file_col, "carry_in", "first_batch"), file_col)
+            .withColumns({"batch_id": F.col("first_batch") + F.floor(at / batch_size).cast("long"),
+                          "batch_pos": (at % batch_size).cast("int")}).drop("carry_in", "first_batch"))
+
+
+def file_counters(files: DataFrame, batch_size: int, rank_col: str = "file_rank", rows_col: str = "n_rows") -> DataFrame:
+    """G3 per file: for every batch that a file gives out, how many batches and examples
+    the file has given out by then.  What the last file leaves over is one batch more,
+    of no file (its rank is the number of files), counted on from the last file."""
+    left = F.when((F.col("carry_in") + F.col(rows_col)) < batch_size, F.lit(0)).otherwise(
+        (F.col("carry_in") + F.col(rows_col)) % batch_size)
+    full = F.col("carry_in") + F.col(rows_col) - left                # examples given out by the file
+    f = files.withColumns({"left": left, "given": full})
+    each = (f.where("n_batches > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_batches"))))
+            .select((F.col("first_batch") + F.col("i") - 1).alias("batch_id"), F.col(rank_col).alias("file_idx"),
+                    F.col("i").alias("file_batches"),
+                    F.least(F.col("i") * batch_size, F.col("given")).alias("file_examples"),
+                    F.least(F.lit(batch_size).cast("long"), F.col("given") - (F.col("i") - 1) * batch_size).alias("n_examples")))
+    last = f.orderBy(F.desc(rank_col)).limit(1).where("left > 0")
+    tail = last.select((F.col("first_batch") + F.col("n_batches")).alias("batch_id"), (F.col(rank_col) + 1).alias("file_idx"),
+                       (F.col("n_batches") + 1).alias("file_batches"), (F.col("given") + F.col("left")).alias("file_examples"),
+                       F.col("left").alias("n_examples"))
+    return each.unionByName(tail)
+
+
 def drop_all_pad(df: DataFrame, ids_col: str = "ids", pad_id: int = PAD_ID) -> DataFrame:
     """Remove examples whose ids are all ``[PAD]`` (applied after
     batching, so counters still use the pre-filter batch size)."""
@@ -122,4 +207,4 @@ def require_files(manifest: DataFrame, listing: DataFrame, file_col: str = "rel_
     """K7 as a guard: raise FileNotFoundError naming one missing file."""
     missing = missing_files(manifest, listing, file_col).select(file_col).take(1)
     if missing:
-        raise FileNotFoundError(f"File {missing[0][0]} does not exist")
+        raise FileNotFoundError(f"the saved state needs {missing[0][0]}, which the token folder lacks")

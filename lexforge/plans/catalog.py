@@ -536,6 +536,52 @@ def g3_loader_counters(spark, sf):
     return batching.batch_counters(batches_df(spark, sf, 2))
 
 
+LOADER_BATCH = 900
+CTE_LOADER = CTE_FILES + [
+    ("fold", f"""SELECT -1::BIGINT AS file_rank, NULL::VARCHAR AS rel_path, 0::BIGINT AS n_rows, 0::BIGINT AS carry_in,
+             0::BIGINT AS first_batch, 0::BIGINT AS n_batches, 0::BIGINT AS carry_out
+        UNION ALL
+        SELECT f.file_rank, f.rel_path, f.n_rows, p.carry_out, p.first_batch + p.n_batches,
+               CASE WHEN p.carry_out + f.n_rows < {LOADER_BATCH} THEN 1 ELSE (p.carry_out + f.n_rows) // {LOADER_BATCH} END,
+               CASE WHEN p.carry_out + f.n_rows < {LOADER_BATCH} THEN 0 ELSE (p.carry_out + f.n_rows) % {LOADER_BATCH} END
+        FROM fold p JOIN files f ON f.file_rank = p.file_rank + 1"""),
+    ("loaded", "SELECT * FROM fold WHERE file_rank >= 0"),
+]
+
+
+def with_loader(final):
+    return with_ctes(CTE_LOADER, final).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def loader_manifest(spark, sf):
+    files_in_order = batching.file_order(batching.file_manifest(p1_tokens(spark, sf)), SEED)
+    return batching.loader_files(files_in_order.select("rel_path", "n_rows", "file_rank"), LOADER_BATCH)
+
+
+@query("k3_loader_batches", with_loader(f"""
+SELECT t.example_id, l.first_batch + (l.carry_in + t.row) // {LOADER_BATCH} AS batch_id,
+       ((l.carry_in + t.row) % {LOADER_BATCH})::INTEGER AS batch_pos
+FROM tokens t JOIN loaded l USING (rel_path)"""))
+def k3_loader_batches(spark, sf):
+    """K3 as the one-file-at-a-time loader cuts batches of 900: a file that fills none gives out a short one."""
+    rows = p1_tokens(spark, sf).withColumn("rank_in_file", F.col("row"))
+    out = batching.loader_batches(rows, loader_manifest(spark, sf), LOADER_BATCH)
+    return out.select("example_id", "batch_id", "batch_pos")
+
+
+@query("g3_file_counters", with_loader(f"""
+SELECT batch_id, file_idx, row_number() OVER (PARTITION BY f ORDER BY batch_id) AS file_batches,
+       sum(n_examples) OVER (PARTITION BY f ORDER BY batch_id)::BIGINT AS file_examples, n_examples
+FROM (SELECT b.batch_id, coalesce(l.file_rank, (SELECT count(*) FROM loaded)) AS file_idx,
+             coalesce(l.file_rank, (SELECT count(*) - 1 FROM loaded)) AS f, b.n_examples
+      FROM (SELECT l.first_batch + (l.carry_in + t.row) // {LOADER_BATCH} AS batch_id, count(*) AS n_examples
+            FROM tokens t JOIN loaded l USING (rel_path) GROUP BY 1) b
+      LEFT JOIN loaded l ON b.batch_id >= l.first_batch AND b.batch_id < l.first_batch + l.n_batches)"""))
+def g3_file_counters(spark, sf):
+    """Batches and examples that the current file has given out, at every batch."""
+    return batching.file_counters(loader_manifest(spark, sf), LOADER_BATCH)
+
+
 @query("k7_missing_files", with_ctes(CTE_FILES, """
 SELECT rel_path FROM manifest WHERE rel_path NOT IN (SELECT rel_path FROM manifest WHERE NOT starts_with(rel_path, '0/'))"""))
 def k7_missing_files(spark, sf):

@@ -191,3 +191,43 @@ def test_throughput_has_every_scope(spark):
     assert len(got) == 9 and got["a", "since_checkpoint"] == (1, 8, 0.0, 0.0)
     assert got["b", "since_checkpoint"] == got["b", "session"] == got["b", "total"] == (2, 16, 4.0, 2.0)
     assert got["c", "since_checkpoint"] == (0, 0, 0.0, 0.0)
+
+
+def _one_file_at_a_time(sizes, batch_size):
+    """Batches (file, sizes of the batch's parts) of a loader that reads file by file."""
+    out, left = [], []
+    for f, n in enumerate(sizes):
+        rows = left + [(f, r) for r in range(n)]
+        cut = len(rows) // batch_size * batch_size
+        out += [(f, rows[i:i + batch_size]) for i in range(0, cut, batch_size)]
+        left = rows[cut:]
+        if not cut and left:
+            out.append((f, left))
+            left = []
+    return out + ([(len(sizes), left)] if left else [])
+
+
+@pytest.mark.parametrize("batch_size, chunk", [(1, 3), (7, 4), (10, 1), (64, 1000)])
+def test_loader_batches_file_by_file(spark, monkeypatch, batch_size, chunk):
+    import random
+    monkeypatch.setattr(batching, "FILES_PER_CHUNK", chunk)
+    rnd = random.Random(batch_size)
+    sizes = [rnd.choice([1, 2, 3, 7, 9, 10, 25, 80]) for _ in range(30)]
+    manifest = spark.createDataFrame([(f"f{i}", n, i) for i, n in enumerate(sizes)], "rel_path string, n_rows long, file_rank long")
+    rows = spark.createDataFrame([(f"f{i}", r) for i, n in enumerate(sizes) for r in range(n)], "rel_path string, rank_in_file long")
+    files = batching.loader_files(manifest.repartition(4), batch_size)
+    want = _one_file_at_a_time(sizes, batch_size)
+    got = {(r.rel_path, r.rank_in_file): (r.batch_id, r.batch_pos) for r in batching.loader_batches(rows, files, batch_size).collect()}
+    assert got == {(f"f{f}", r): (b, p) for b, (_, batch) in enumerate(want) for p, (f, r) in enumerate(batch)}
+    counters = {r.batch_id: (r.file_idx, r.file_batches, r.file_examples, r.n_examples)
+                for r in batching.file_counters(files, batch_size).collect()}
+    expect, batches, examples, now = {}, 0, 0, None
+    for b, (f, batch) in enumerate(want):
+        if f != now and f < len(sizes):
+            batches, examples = 0, 0
+        now = f
+        batches, examples = batches + 1, examples + len(batch)
+        expect[b] = (f, batches, examples, len(batch))
+    assert counters == expect
+    none = batching.loader_files(manifest.where("false"), batch_size)
+    assert batching.file_counters(none, batch_size).count() == 0
