@@ -42,13 +42,78 @@ def prefix_select(df: DataFrame, pos_col: str, n: int) -> DataFrame:
     return df.where(F.col(pos_col) < n)
 
 
+#: rows whose keys are sorted to find the last one that stays; larger stretches are counted first
+REFINE = 1_000_000
+
+
+def hash_cut(df: DataFrame, key: str, ties: Sequence[str], n: int, digits: int = 3) -> DataFrame:
+    """The ``n`` rows that come first by (``key``, ``ties``), by selection, not by ranking.
+
+    ``key`` is an md5 hex column, so counts by its leading digits (at most
+    16**digits rows) tell in which stretch the n-th key lies; that stretch is
+    counted by its next digits until it is small, then its keys alone are
+    sorted.  The rows are filtered where they are scanned: none is shuffled.
+    """
+    if n <= 0:
+        return df.limit(0)
+    known, left, rows = "", n, df.select(key, *ties).where(F.col(key).isNotNull())
+    while True:
+        size = len(known) + digits
+        head = F.substring(key, 1, size)
+        counts = sorted((r["h"], r["n"]) for r in rows.groupBy(head.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for h, m in counts:
+            if left <= m:
+                break
+            left -= m
+        else:
+            return df if not known else df.where(F.substring(key, 1, len(known)) <= known)
+        known, rows = h, rows.where(head == h)
+        if m <= REFINE or size + digits > 32:
+            break
+    order = F.struct(key, *ties)
+    last = rows.select(order.alias("k")).orderBy("k").limit(left).agg(F.max("k").alias("k")).select("k.*").first()
+    edge = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in (key, *ties)])
+    # the head alone decides nearly every row
+    return df.where((head <= known) & (order <= edge))
+
+
+def first_rows(df: DataFrame, order_col: str, n: int, bins: int = 1024) -> DataFrame:
+    """The rows whose integer ``order_col`` is among the ``n`` smallest (equal ones all), by selection.
+
+    The range of values is counted in ``bins`` equal parts, then the part that
+    holds the n-th value, until its keys are few enough to be sorted; a filter on
+    the scan does the rest.  Null orders last."""
+    if n <= 0:
+        return df.limit(0)
+    at = F.col(order_col)
+    keys = df.select(order_col)
+    size = keys.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(at).alias("n"), F.count(F.lit(1)).alias("all")).first()
+    if n >= size["all"] or size["n"] == 0:
+        return df
+    if n > size["n"]:                                     # nulls are equal: all of them
+        return df
+    lo, hi, left, inside = size["lo"], size["hi"], n, size["n"]
+    while inside > REFINE and hi > lo:
+        width = (hi - lo) // bins + 1
+        part = keys.where(at.between(lo, hi)).groupBy(F.floor((at - lo) / width).cast("long").alias("b"))
+        for b, inside in sorted((r["b"], r["n"]) for r in part.agg(F.count(F.lit(1)).alias("n")).collect()):
+            if left <= inside:
+                break
+            left -= inside
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+    last = keys.where(at.between(lo, hi)).orderBy(at).limit(left).agg(F.max(at)).first()[0]
+    return df.where(at <= last)
+
+
 def exact_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """Exactly ``min(n, N)`` rows without replacement, reproducible by seed.
 
-    Unlike ``df.sample`` (approximate size) this ranks by a seeded hash and
-    keeps ranks below ``n``, without sending the sample through the driver.
+    Unlike ``df.sample`` (approximate size) this keeps the ``n`` smallest
+    seeded hashes; only rows that stay are ranked, and none goes through the driver.
     """
-    return prefix_select(shuffle_positions(df, id_col, seed, "sample_pos"), "sample_pos", n)
+    keyed = df.withColumn("_hkey", hash_key(seed, id_col))
+    kept = hash_cut(keyed, "_hkey", [id_col], n).drop("_hkey")
+    return prefix_select(shuffle_positions(kept, id_col, seed, "sample_pos"), "sample_pos", n)
 
 
 def assign_shards(df: DataFrame, pos_col: str, n_shards: int,

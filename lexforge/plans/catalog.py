@@ -246,8 +246,8 @@ SELECT doc_id, pos FROM (
 WHERE pos < 500""")
 def c1_prefix_select(spark, sf):
     """The first 500 documents in dataset (doc_id) order."""
-    d = sampling.stable_positions(docs(spark, sf).select("doc_id"), ["doc_id"])
-    return sampling.prefix_select(d, "pos", 500)
+    d = sampling.first_rows(read_table(spark, sf, "documents").select("doc_id"), "doc_id", 500)
+    return sampling.prefix_select(sampling.stable_positions(d, ["doc_id"]), "pos", 500)
 
 
 @query("d2_exact_sample", f"""
@@ -257,7 +257,7 @@ SELECT doc_id, sample_pos FROM (
 WHERE sample_pos < 300""")
 def d2_exact_sample(spark, sf):
     """Exact sample of 300 documents without replacement (seed 1)."""
-    return sampling.exact_sample(docs(spark, sf).select("doc_id"), "doc_id", 300, 1)
+    return sampling.exact_sample(read_table(spark, sf, "documents").select("doc_id"), "doc_id", 300, 1)
 
 
 @query("d3_shard_contiguous", f"""

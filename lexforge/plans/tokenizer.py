@@ -17,7 +17,7 @@ from lexforge.sources import files
 def training_words(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     """``(word, freq)`` of the first ``n_docs`` documents (all when None)."""
     if n_docs is not None:
-        docs = sampling.prefix_select(sampling.stable_positions(docs, ["doc_id"]), "pos", n_docs)
+        docs = sampling.first_rows(docs, "doc_id", n_docs)
     normed = tx.normalize_rows(docs, "text", "norm")
     return vocab.word_counts(normed, words=tx.pretokenize("norm")).select("word", F.col("n").alias("freq"))
 

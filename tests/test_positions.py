@@ -122,3 +122,26 @@ def test_progress_over_sessions(spark):
         restarts += session
         assert (end.total_batches, end.total_examples) == (step, total) and end.session_batches < step
     assert restarts > 4
+
+
+def test_selection_without_ranking(spark, monkeypatch):
+    from lexforge.operators import sampling
+    rnd = random.Random(6)
+    ids = [rnd.randrange(-500, 5000) for _ in range(2000)]
+    df = spark.createDataFrame([(i, "t") for i in ids] + [(None, "t")] * 3, "doc_id long, text string").repartition(4)
+    for refine in (1_000_000, 50):
+        monkeypatch.setattr(sampling, "REFINE", refine)
+        for n in (0, 1, 17, 1000, 2000, 2002, 5000):
+            got = sorted((r.doc_id for r in sampling.first_rows(df, "doc_id", n, bins=8).collect()), key=lambda x: (x is None, x))
+            last = sorted(ids)[n - 1] if 0 < n <= 2000 else None
+            want = sorted(i for i in ids if i <= last) if last is not None else [] if n == 0 else sorted(ids) + [None] * 3
+            assert got == want, (refine, n)
+        uniq = df.where("doc_id is not null").dropDuplicates(["doc_id"])
+        keyed = uniq.withColumn("h", hash_key(4, "doc_id"))
+        order = [r.doc_id for r in keyed.orderBy("h", "doc_id").collect()]
+        for n in (1, 40, len(order) - 1, len(order), len(order) + 9):
+            assert sorted(r.doc_id for r in sampling.hash_cut(keyed, "h", ["doc_id"], n, 1).collect()) == sorted(order[:n])
+        got = sampling.exact_sample(uniq, "doc_id", 30, 4).orderBy("sample_pos").collect()
+        assert [r.doc_id for r in got] == order[:30]
+    assert sampling.first_rows(df.where("false"), "doc_id", 5).count() == 0
+    assert sampling.exact_sample(df.where("false"), "doc_id", 5, 1).count() == 0
