@@ -6,13 +6,16 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.session import checkpoint_dir, reliable_checkpoint
 
-__all__ = ["free_name", "group_key", "reliable_checkpoint", "running_in_group",
-           "seeded_hash", "small_batches", "without", "written", "written_buckets"]
+__all__ = ["bounded_batches", "discard", "free_name", "group_key", "hash_bitmap", "in_bitmap",
+           "reliable_checkpoint", "running_in_group", "seeded_hash", "small_batches", "without", "written", "written_buckets"]
+
+ROW_GROUP = 16 << 20      # bytes that a writer of a scratch table holds
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -78,8 +81,40 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` whose readers are done (written themselves)."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path is not None:
+            _remove(t.sparkSession, path)
+
+
+def hash_bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, those at the top bits of each ``h`` set; at most 2**bits / 64 rows reach the driver."""
+    at = F.shiftrightunsigned("h", 64 - bits)
+    rows = (hashes.groupBy(F.shiftrightunsigned(at, 6).alias("word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"),
+                                          at.bitwiseAND(63).cast("int"))).alias("set")).toPandas())
+    out = np.zeros(max(1, (1 << bits) // 64), dtype=np.uint64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["set"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) may be among those of the bitmap; none of them is missed."""
+    bit = h >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 @contextmanager
@@ -88,18 +123,30 @@ def written_buckets(df: DataFrame, key: str) -> Iterator[DataFrame]:
 
     Joins on ``key`` read it in place, so wide rows that several joins need
     are shuffled once, when written.  There are as many buckets as shuffle
-    partitions.  The name leaves the catalog with the block; use no frame that
-    is not written by then.
+    partitions.  The table goes with the block; use no frame that is not written
+    by then.
     """
     spark = df.sparkSession
     name = f"buckets_{uuid.uuid4().hex}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-    (df.write.format("parquet").bucketBy(buckets, key)
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name))
+    (df.write.format("parquet").option("parquet.block.size", ROW_GROUP).bucketBy(buckets, key)
+     .option("path", path := f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name))
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE {name}")
+        _remove(spark, path)
+
+
+def bounded_batches(spark: SparkSession, size: str = "2m") -> None:
+    """From now on Arrow batches of about ``size`` bytes, unless the session sets a bound itself.
+
+    For operators whose result is computed when the caller writes it: a batch
+    of whole texts must not grow with the texts' lengths.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, size)
 
 
 @contextmanager

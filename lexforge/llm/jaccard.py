@@ -13,7 +13,8 @@
    filter: the counts of both sets in 64 hash classes bound from below how many
    shingles they do not share.
 4. Surviving pairs fetch the two texts, from a table bucketed by node, and are
-   verified exactly, once.
+   verified exactly, once.  Only texts of nodes that share a prefix shingle with
+   another node get there: tasks look them up in a bit map of fixed size.
 
 Groups of thousands of near copies would yield all their pairs.  Components
 need only enough links, so two rounds first link each node to leaders of
@@ -33,15 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import free_name, small_batches, written, written_buckets
+from lexforge.llm.common import (discard, free_name, hash_bitmap, in_bitmap, small_batches, written,
+                                 written_buckets)
 from lexforge.llm.components import components
 from lexforge.llm.tokens import SPACE, chunks, distinct_grams, salted
 
 COUNTER_BITS = 17
 CLASSES = 64
+NODE_BITS = 24         # of the bit map of nodes that may have links: 2 MB
+SLICE = 1 << 20        # bytes of text tokenised at once
 _NO_LINKS = "x long, y long, ok boolean"
 
 
@@ -51,26 +56,53 @@ def _running(values: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)))
 
 
-def _set_udf(k: int):
-    @F.pandas_udf("n long, node long, classes array<tinyint>")
+def _nodes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The names of sets: sums of salted shingle hashes."""
+    total = _running(salted(h, 0))
+    return total[off[1:]] - total[off[:-1]]
+
+
+def _set_udf(k: int, percent: int, freq):
+    """A text's set: its size, node, class counts and rare-first prefix."""
+    @F.pandas_udf("n long, node long, classes array<tinyint>, prefix array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batches:
-            n_all, node_all, class_all = [], [], []
-            for lo, hi, t in chunks(text.tolist(), SPACE, True):
+            n_all, node_all, class_all, prefix_all = [], [], [], []
+            for lo, hi, t in chunks(text.tolist(), SPACE, True, SLICE):
                 h, off = distinct_grams(t, k)
                 doc = np.repeat(np.arange(hi - lo), np.diff(off))
-                total = _running(salted(h, 0))
                 n_all.append(np.diff(off))
-                node_all.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
+                node_all.append(_nodes(h, off).view(np.int64))
                 cls = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64),
                                   minlength=(hi - lo) * CLASSES)
                 # counts stop at 127: differences only get smaller, the filter stays safe
                 class_all.extend(np.minimum(cls, 127).astype(np.int8).reshape(-1, CLASSES))
+                rare = freq.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                # one key for (frequency, hash); shingles equal in it stay in hash order
+                key = (np.minimum(rare, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+                    size = b - a + (-percent * (b - a)) // 100 + 1 if b > a else 0      # n - ceil(t n) + 1
+                    prefix_all.append(h[a:b][np.argsort(key[a:b], kind="stable")[:size]].view(np.int64))
             yield pd.DataFrame({"n": np.concatenate(n_all) if n_all else [],
-                                "node": np.concatenate(node_all) if node_all else [], "classes": class_all})
+                                "node": np.concatenate(node_all) if node_all else [], "classes": class_all,
+                                "prefix": prefix_all})
     return sets
 
 
+def _linked_node_udf(k: int, linked):
+    """A text's node if the bit map has it, else null."""
+    @F.pandas_udf("long")
+    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            out = [np.empty(0, dtype=np.uint64)]
+            for _, _, t in chunks(text.tolist(), SPACE, True, SLICE):
+                out.append(_nodes(*distinct_grams(t, k)))
+            h = np.concatenate(out)
+            yield pd.Series(h.view(np.int64)).astype("Int64").where(in_bitmap(linked.value, h))
+    # not deterministic for the optimiser, which would run it once more in the filter
+    return node.asNondeterministic()
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Documents per shingle counter, over all documents."""
     size = 1 << COUNTER_BITS
@@ -78,7 +110,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for _, _, t in chunks(batch["text"].tolist(), SPACE, True):
+            for _, _, t in chunks(batch["text"].tolist(), SPACE, True, SLICE):
                 h, _ = distinct_grams(t, k)
                 total += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=size)
         some = np.flatnonzero(total)
@@ -91,29 +123,6 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, freq) -> DataFrame:
-    """(token, node, n, pos) of the rare-first prefix of every document's set."""
-    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, _, t in chunks(batch["text"].tolist(), SPACE, True):
-                h, off = distinct_grams(t, k)
-                n = np.diff(off)
-                doc = np.repeat(np.arange(len(n)), n)
-                total = _running(salted(h, 0))
-                node = (total[off[1:]] - total[off[:-1]]).view(np.int64)
-                rare = freq.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                # one key for (frequency, hash); shingles equal in it stay in hash order
-                key = (np.minimum(rare, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
-                for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
-                    h[lo:hi] = h[lo:hi][np.argsort(key[lo:hi], kind="stable")]
-                pos = np.arange(len(h)) - off[doc]
-                keep = pos <= n[doc] + (-percent * n[doc]) // 100      # n - ceil(t n)
-                doc = doc[keep]
-                yield pd.DataFrame({"token": h[keep].view(np.int64), "node": node[doc],
-                                    "n": n[doc].astype(np.int32), "pos": pos[keep].astype(np.int32)})
-    return docs.select("text").mapInPandas(prefix, "token long, node long, n int, pos int")
-
-
 def _overlap_needed(nx: Column, ny: Column, percent: int) -> Column:
     """Smallest intersection with 100 * i >= percent * (nx + ny - i)."""
     return F.ceil((nx + ny).cast("long") * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9)).cast("long")
@@ -143,7 +152,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         for batch in batches:
             texts = [t for two in zip(batch["tx"], batch["ty"]) for t in two]
             ok, half = [], []
-            for _, _, t in chunks(texts, SPACE, True):
+            for _, _, t in chunks(texts, SPACE, True, SLICE):
                 h, off = distinct_grams(t, k)
                 for i in range(t.n_texts):
                     half.append(h[off[i]:off[i + 1]].copy())
@@ -211,24 +220,26 @@ def _classes(docs: DataFrame, k: int, percent: int, leader_rounds: int) -> DataF
     """The columns of ``docs`` but text, with n and comp, the node that names the row's class
     (null without shingles); all Python work is written before it returns."""
     spark = docs.sparkSession
-    of_text = _set_udf(k)("text").alias("s")
     carried = [c for c in docs.columns if c != "text"]
-    sets = written(docs.select(*carried, of_text).select(*carried, "s.*"))
     freq = spark.sparkContext.broadcast(_frequencies(docs, k))
-    rows = written(_shared(_prefixes(docs, k, percent, freq), "node").distinct())
+    sets = written(docs.select(*carried, _set_udf(k, percent, freq)("text").alias("s")).select(*carried, "s.*"))
+    # copies are folded by task, before their prefixes are taken apart
+    once = sets.where("n > 0").dropDuplicates(["node"])
+    rows = written(_shared(once.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")),
+                           "node"))
     nodes = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("classes").alias("classes"))
     nodes = written(nodes.join(rows.select("node").distinct(), "node"))
-    # texts of one node have equal sets, so any of them will do; the set is found
-    # anew, which is cheaper than a second shuffle of all texts to fetch its name
-    texts = (docs.select(of_text, "text").select("s.node", "text").dropDuplicates(["node"])
-             .join(nodes, "node", "left_semi"))
+    linked = spark.sparkContext.broadcast(hash_bitmap(nodes.select(F.col("node").alias("h")), NODE_BITS))
+    # texts of one node have equal sets, so any of them will do
+    texts = (docs.select(_linked_node_udf(k, linked)("text").alias("node"), "text").where("node is not null")
+             .dropDuplicates(["node"]).join(nodes, "node", "left_semi"))
 
-    rows = rows.withColumn("comp", F.col("node"))
-    links = None
+    first, rows, links = rows, rows.withColumn("comp", F.col("node")), None
     with written_buckets(texts, "node") as texts:
         for turn in range(leader_rounds + 1):
             if links is not None:
-                rows = _open_rows(rows, links)
+                before, rows = rows, _open_rows(rows, links)
+                discard(first, before)
             if turn < leader_rounds:
                 pairs = _close_pairs(_leader_pairs(rows, percent, turn), nodes, percent)
             else:
@@ -238,7 +249,8 @@ def _classes(docs: DataFrame, k: int, percent: int, leader_rounds: int) -> DataF
             new = written(_verify(pairs, texts, k, percent))
             links = new if links is None else links.unionByName(new)
 
-    found = components(links.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    found = written(components(links.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    discard(rows, nodes)
     return (sets.join(found, "node", "left")
             .withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "node")))
             .select(*carried, "n", "comp"))
@@ -258,37 +270,44 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     """(id, n_shingles, component_id) for every row: the smallest id reachable by
     links of sets with 100 * intersection >= ``percent`` * union.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, "2m"):
         found = _named(_classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")),
                                 k, percent, leader_rounds))
     return found.withColumnRenamed("id", id_col)
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """128 bits of all values of a row; the null flags keep a value from moving to another column."""
+def _value_hash(docs: DataFrame) -> Column:
+    """A hash of all values of a row; the null flags keep a value from moving to another column."""
     cols = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
-    values = [*cols, *[F.col(c).isNull() for c in docs.columns]]
-    return F.struct(F.xxhash64(F.lit(0), *values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+    return F.xxhash64(*cols, *[F.col(c).isNull() for c in docs.columns])
+
+
+def _with_address(docs: DataFrame, file: str, place: str) -> DataFrame:
+    """``docs`` with the file and the place in it of each row; rows that do not lie in Parquet files are written first."""
+    def address(df):
+        return df.withColumns({file: F.xxhash64("_metadata.file_path"), place: F.col("_metadata.row_index")})
+    try:
+        return address(docs)
+    except AnalysisException:
+        return address(written(docs))
 
 
 def one_per_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the smallest id, null last, then the smallest
-    row key; rows without shingles all stay.
-
-    Rows equal in all columns share a row key, and one of them stands for all:
-    they are folded before the shuffle, and a count brings back those that stay.
+    """``docs`` with one row of each class: the smallest id, null last, then the smallest hash
+    of all values; of equal rows any one, rows without shingles all.
     """
-    names, key, copies = docs.columns, free_name(docs, "_row"), free_name(docs, "_copies")
-    with small_batches(docs.sparkSession):
+    names = docs.columns
+    file, place = free_name(docs, "_file"), free_name(docs, "_place")
+    docs = _with_address(docs, file, place)
+    with small_batches(docs.sparkSession, "2m"):
         out = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
-                                   _row_key(docs).alias("row")), k, percent, 2)
-    first = (out.where("comp is not null").groupBy("comp")
-             .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-             .select(F.col("first.row").alias(key), F.lit(1).cast("long").alias(copies)))
-    blank = (out.where("comp is null").groupBy(F.col("row").alias(key))
-             .agg(F.count(F.lit(1)).alias(copies)))
-    keep = written(first.unionByName(blank))
-    rows = docs.withColumn(key, _row_key(docs)).dropDuplicates([key])
-    return (rows.join(keep, key)
-            .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*names))
+                                   _value_hash(docs.select(*names)).alias("hash"), F.col(file).alias("file"),
+                                   F.col(place).alias("place")), k, percent, 2)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "file", "place")
+    out = written(out.where("comp is not null").select("comp", order.alias("at")))
+    first = out.groupBy("comp").agg(F.min("at").alias("first"))
+    # what goes is far less than what stays
+    gone = written(out.join(first, "comp").where("at != first")
+                   .select(F.col("at.file").alias(file), F.col("at.place").alias(place)))
+    return docs.join(gone, [file, place], "left_anti").select(*names)

@@ -28,7 +28,7 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-PIECE = 1 << 20      # bytes hashed at once
+PIECE = 1 << 18      # bytes hashed at once
 CHUNK = 1 << 21      # bytes of text tokenised at once
 _POWERS: dict[int, np.ndarray] = {}
 
