@@ -9,12 +9,19 @@ language is fitted in its own task, and centroids x languages x dimensions is
 what gets broadcast.  Whole texts are read everywhere.
 
 A row is rejected when its text is null or has no letter (``und``), or when the
-nearest centroid is further than the farthest distance allowed: cosine below
-``reach`` times the mean cosine of that centroid's own members.
-
-Defined results: without any training row every text is ``und``; equal
-cosines go to the language first in order; score lies in [0, 1]; input columns
-that clash with an output column are replaced.
+nearest centroid is too far.  Long texts lie nearer to their centroid than
+short ones, so the limit depends on the length class (powers of two of the
+bytes): ``reach`` times the cosine that 99% of the fitted rows of the class
+have.  A class of fewer than 30 fitted rows takes the limit of the next smaller
+class that has one.  Texts below 63 bytes say too little for that; theirs, as
+that of classes below all that have rows, is a tenth of the mean cosine of the
+centroid's own members.
+
+Defined results: without any training row, or in an empty table, every text is
+``und``; equal cosines go to the language first in order; score lies in [0, 1];
+rows that repeat an id are drawn by id and text, equal rows alike; texts are
+read whole, batches are bound by bytes; input columns that clash with an output
+column are replaced.
 """
 
 from __future__ import annotations
@@ -26,9 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import free_name, seeded_hash, without
+from lexforge.llm.common import bounded_batches, free_name, seeded_hash, without
 
 DIM = 1 << 13
+SHORT = 6            # length classes below are short texts
 _CODE = np.arange(256, dtype=np.uint64)
 _CODE[0x41:0x5B] += np.uint64(32)
 _LETTER = np.zeros(256, dtype=bool)
@@ -37,7 +45,7 @@ _CODE[~_LETTER] = 0x20
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def _batches(blobs: list, max_bytes: int = 1 << 20, max_texts: int = 128) -> Iterator[tuple[int, int]]:
+def _batches(blobs: list, max_bytes: int = 1 << 18, max_texts: int = 32) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, b in enumerate(blobs):
         n = len(b or b"")
@@ -91,8 +99,8 @@ def _document_frequency(train: DataFrame) -> np.ndarray:
     return (np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1).astype(np.float32)
 
 
-def _kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means, farthest-first start: (centroids, mean cosine of the members)."""
+def _kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spherical k-means, farthest-first start: (centroids, each row's centroid and cosine)."""
     mean = x.mean(axis=0)
     start = [int(np.argmax(x @ mean))]
     near = x @ x[start[0]]
@@ -106,11 +114,26 @@ def _kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     cos = x @ c.T
     own = np.argmax(cos, axis=1)
-    return c, np.array([cos[own == j, j].mean() if (own == j).any() else 1.0 for j in range(len(c))])
+    return c, own, cos[np.arange(len(x)), own]
+
+
+def _length_class(sizes) -> np.ndarray:
+    return np.log2(np.asarray(sizes, dtype=np.float64) + 1).astype(np.int64)
+
+
+def _limits(classes: np.ndarray, cos: np.ndarray, reach: float, least: int = 30) -> np.ndarray:
+    """The lowest cosine accepted in each length class; nan where no class so small has enough rows."""
+    out = np.full(64, np.nan)
+    for c in range(len(out)):
+        some = cos[classes == c]
+        if c >= SHORT:
+            out[c] = reach * np.quantile(some, 0.01) if len(some) >= least else out[c - 1]
+    return out
 
 
 def fit(train: DataFrame, lang_col: str, clusters: int, per_language: int, seed: int):
-    """idf, languages, centroids and their members' mean cosine, from (text, lang, id hash) rows."""
+    """idf, languages, centroids, their members' mean cosine, and the members' length classes
+    and cosines, from (text, lang, id hash) rows."""
     idf = _document_frequency(train)
     size = train.groupBy(lang_col).agg(F.count(F.lit(1)).alias("rows"))
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("rows"))
@@ -122,33 +145,40 @@ def fit(train: DataFrame, lang_col: str, clusters: int, per_language: int, seed:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         blobs = rows["text"].tolist()
         x = np.concatenate([vectors(blobs[lo:hi], idf) for lo, hi in _batches(blobs)])
-        c, mean = _kmeans(x, clusters)
+        c, own, cos = _kmeans(x, clusters)
+        size = _length_class([len(b) for b in blobs])
+        of = [own == j for j in range(len(c))]
         return pd.DataFrame({"lang": rows[lang_col].iloc[0], "c": [v.tobytes() for v in c.astype(np.float32)],
-                             "mean": mean})
+                             "mean": [float(cos[m].mean()) if m.any() else 1.0 for m in of],
+                             "size": [size[m] for m in of], "cos": [cos[m].astype(np.float64) for m in of]})
+    # centroids and at most per_language members of each language
     got = (drawn.select(F.col(lang_col), "text").groupBy(lang_col)
-           .applyInPandas(one, "lang string, c binary, mean double").collect())
+           .applyInPandas(one, "lang string, c binary, mean double, size array<long>, cos array<double>").collect())
     got.sort(key=lambda r: (r["lang"], bytes(r["c"])))
     centroids = np.array([np.frombuffer(r["c"], dtype=np.float32) for r in got]).reshape(-1, DIM)
-    return idf, [r["lang"] for r in got], centroids, np.array([r["mean"] for r in got])
+    members = (np.array([v for r in got for v in r["size"]], dtype=np.int64),
+               np.array([v for r in got for v in r["cos"]], dtype=np.float64))
+    return idf, [r["lang"] for r in got], centroids, np.array([r["mean"] for r in got]), members
 
 
 def identify(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col: str = "lang",
-             id_col: str = "doc_id", clusters: int = 4, per_language: int = 400, reach: float = 0.1,
+             id_col: str = "doc_id", clusters: int = 4, per_language: int = 400, reach: float = 0.5,
              seed: int = 5) -> DataFrame:
     """``docs`` with lang_pred, score (cosine) and rejected, fitted on the labelled
     rows that meet ``train_where``.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     train = (docs.where(train_where & F.col(lang_col).isNotNull() & has_letter)
              .select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"),
-                     seeded_hash(seed, F.col(id_col)).alias("order")))
-    idf, langs, centroids, mean = fit(train, "lang", clusters, per_language, seed)
-    model = spark.sparkContext.broadcast((idf, langs, centroids, mean))
+                     seeded_hash(seed, F.col(id_col), F.xxhash64(text_col)).alias("order")))
+    idf, langs, centroids, mean, members = fit(train, "lang", clusters, per_language, seed)
+    model = spark.sparkContext.broadcast((idf, langs, centroids, mean, _limits(*members, reach)))
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        idf, langs, centroids, mean = model.value
+        idf, langs, centroids, mean, limits = model.value
         for text in batches:
             pred, score, bad = [], [], []
             blobs = text.tolist()
@@ -158,7 +188,8 @@ def identify(docs: DataFrame, train_where: Column, text_col: str = "text", lang_
                 top = cos[np.arange(len(best)), best]
                 pred += [langs[b] for b in best]
                 score.append(np.clip(top, 0, 1).astype(np.float64))
-                bad.append(top < reach * mean[best])
+                limit = limits[_length_class([len(b or b"") for b in blobs[lo:hi]])]
+                bad.append(top < np.where(np.isnan(limit), 0.1 * mean[best], limit))
             yield pd.DataFrame({"lang_pred": pred, "score": np.concatenate(score) if score else [],
                                 "rejected": np.concatenate(bad) if bad else []})
 
