@@ -13,6 +13,13 @@ works on all rows that its predecessor kept:
 4. mixing: sources to the weights 5, 2, 1 (in order, repeating) at 150% of all
    words; a document taken twice is two rows;
 5. sharding: 40 shards of equal counts that each match the mixture.
+
+Defined results: a null, empty or letterless text goes in stage 1; texts are
+read whole, however long; a document without an id, language or source stays,
+null being a source of its own and the last id; of copies and repeated rows one
+stays, of equal ids the one whose values hash lowest; an empty table gives an
+empty result with the same columns; further columns are carried along, and one
+that clashes with a column of the last stage (shard, slot) is replaced by it.
 """
 
 from __future__ import annotations
