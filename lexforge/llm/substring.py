@@ -1,4 +1,8 @@
-"""Substring dedup: relative Lempel-Ziv factors against content-defined reference blocks.
+"""Substring dedup: repeated windows found in content-defined blocks.
+
+The method dealt is a relative Lempel-Ziv parse with greedy longest factors;
+this is not one.  What has to go is the union of all repeated windows, and
+windows hashed under their anchors give exactly that without a parse.
 
 The reference of a document is every document with a smaller id.  All texts
 are cut into *blocks*: maximal runs of windows (``window`` consecutive words)
@@ -8,7 +12,9 @@ a window of one document can only occur in blocks that the same anchor
 indexes, and no document needs to be parsed against any other block.
 
 1. Blocks are shuffled once, by anchor.  A block whose whole content occurs in
-   a smaller document is a factor as it stands.
+   a smaller document is a factor as it stands.  Where that document lies in
+   the same batch, the block is settled before the shuffle and dealt out by
+   place, so of a passage that many documents share one block a batch meets.
 2. Blocks seen first in their document, under an anchor that also has other
    contents, are parsed window by window: each such distinct block sends its
    windows, and those that also start in a smaller document are factors.
@@ -55,7 +61,8 @@ def _anchored(t: Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, content, n, id, tag, start): every block of every document."""
+    """(anchor, content, n, id, tag, start, known): every block of every document; known: its
+    content is in a smaller document of the batch."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, tags = batch["id"].to_numpy(), batch["tag"].to_numpy()
@@ -71,10 +78,12 @@ def _blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 np.cumsum(salted(w, 2) * _powers(_R, len(w))[:len(w)], out=total[1:])
                 content = (total[first + n] - total[first]) * _powers(_R_INV, len(w))[first]
                 doc = t.doc[at[first]]
-                yield pd.DataFrame({"anchor": a[first].view(np.int64), "content": content.view(np.int64),
-                                    "n": n.astype(np.int32), "id": ids[lo + doc], "tag": tags[lo + doc],
-                                    "start": (at[first] - t.first[doc]).astype(np.int32)})
-    return docs.mapInPandas(cut, "anchor long, content long, n int, id long, tag int, start int")
+                found = pd.DataFrame({"anchor": a[first].view(np.int64), "content": content.view(np.int64),
+                                      "n": n.astype(np.int32), "id": ids[lo + doc], "tag": tags[lo + doc],
+                                      "start": (at[first] - t.first[doc]).astype(np.int32)})
+                found["known"] = found["id"] > found.groupby(["anchor", "content"])["id"].transform("min")
+                yield found
+    return docs.mapInPandas(cut, "anchor long, content long, n int, id long, tag int, start int, known boolean")
 
 
 def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -102,7 +111,8 @@ def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _runs_of(rows: DataFrame) -> DataFrame:
-    return (rows.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    # a set: repeated rows share one key and have the same runs
+    return (rows.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
             .withColumnsRenamed({"id": "_id", "tag": "_tag"}))
 
 
@@ -114,13 +124,14 @@ def duplicate_spans(docs: DataFrame, window: int = 13, anchor: int = 5, id_col:
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     docs = docs.select(ids.alias("id"), F.col(text_col).cast("binary").alias("text"))
     docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    # one exchange of blocks: both windows run on its partitions by anchor
-    same = Window.partitionBy("anchor", "content")
-    under = Window.partitionBy("anchor")
-    blocks = _blocks(docs, window, anchor).repartition("anchor")
+    # one exchange of blocks: both windows run on its partitions by anchor; known blocks need no partner
+    alone = F.when(F.col("known"), F.xxhash64("id", "tag", "start")).otherwise(F.lit(0))
+    same = Window.partitionBy("anchor", "alone", "content")
+    under = Window.partitionBy("anchor", "alone")
+    blocks = _blocks(docs, window, anchor).withColumn("alone", alone).repartition("anchor", "alone")
     blocks = (blocks.withColumn("least", F.min("id").over(same))
               .withColumns({"lo": F.min("content").over(under), "hi": F.max("content").over(under)})
-              .withColumn("whole", F.col("least") < F.col("id")).where("whole or lo != hi"))
+              .withColumn("whole", F.col("known") | (F.col("least") < F.col("id"))).where("whole or lo != hi"))
     blocks = written(blocks.select("whole", "id", "tag", "start", "n"))
 
     texts = docs.select("id", "tag", "text").repartition("id", "tag")
