@@ -3,21 +3,26 @@
 Licence templates and the plain licence phrases form one generalised suffix
 automaton (bounded: it holds only the templates given).  Files stream through
 it on the executors.  Two things are read off the states: every place where a
-phrase stands, and runs whose longest matching length reaches
-``min_match`` words.  Long matches that lie close together in the file and
+phrase stands, and matches of ``min_match`` words or more with each template
+that no word more would extend: the longest match's state and, down its suffix
+links, those of shorter matches with other templates.  Long matches that lie close together in the file and
 go forward in the same template are chained; a chain that covers at least
 ``min_cover`` of a template labels the file with it.
 
 Defined results: null text counts as empty; a file without words has score 0;
-repeated rows give equal results; clashing input columns are replaced.
+texts are read whole, a few MB at a time; spans that tie in place are ordered
+by label; repeated rows give equal results; clashing input columns are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.automaton import SuffixAutomaton, merged
@@ -41,6 +46,11 @@ TEMPLATES = {
            "either version 3 of the License, or (at your option) any later version.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are "
            "permitted provided that the following conditions are met",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used "
+             "to endorse or promote products derived from this software without specific prior "
+             "written permission",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms "
+            "of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
            "If a copy of the MPL was not distributed with this file, You can obtain one at",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with "
@@ -65,6 +75,7 @@ class LicenseIndex:
         self.labels = list(templates)
         seqs = [_split(templates[x]) for x in self.labels]
         self.length = {x: len(s) for x, s in zip(self.labels, seqs)}
+        self.after: dict[str, list[int]] = {}      # words of each template as the automaton numbers them
         self.min_match = min_match
         names = [("phrase", phrases[p]) for p in phrases]
         longest = max([len(s) for s in seqs] + [1])
@@ -73,11 +84,12 @@ class LicenseIndex:
                                          [("template", x) for x in self.labels] + names, longest + 1)
         need = [min(min_match, len(s)) for s in seqs] + [len(_split(p)) for p in phrases]
         self.automaton.least = min(need)
+        self.shortest = min([min(min_match, len(s)) for s in seqs if s], default=1)
         # where each state ends in each template: (template, words read so far)
         self.ends: dict[int, list[tuple[str, int]]] = {}
         for x, s in zip(self.labels, seqs):
-            states, _ = self.automaton.stream(self.automaton.ids(
-                Tokens([b" ".join(s)], SPACE, False).hash).tolist())
+            self.after[x] = self.automaton.ids(Tokens([b" ".join(s)], SPACE, False).hash).tolist()
+            states, _ = self.automaton.stream(self.after[x])
             for n, v in enumerate(states, 1):
                 while v:
                     self.ends.setdefault(v, []).append((x, n))
@@ -87,7 +99,8 @@ class LicenseIndex:
         """Places of phrases (word, label), and long matches (label, from, to, template from)."""
         a, places, matches = self.automaton, [], []
         for lo, _, ids in a.runs(t):
-            states, lengths = a.stream(ids.tolist())
+            words = ids.tolist()
+            states, lengths = a.stream(words)
             for i, (v, n) in enumerate(zip(states, lengths)):
                 s = a.short[v]
                 while s:
@@ -95,12 +108,25 @@ class LicenseIndex:
                         places += [(lo + i + 1 - a.len[s], label)
                                    for kind, label in a.names[s] if kind == "phrase"]
                     s = a.short[a.link[s]]
-                if i + 1 == len(states) or lengths[i + 1] != n + 1:      # a match that ends here
-                    for x, end in self.ends.get(v, ()):
-                        if n >= min(self.min_match, self.length[x]):
-                            matches.append((x, lo + i + 1 - n, lo + i + 1, end - n))
+                if n >= self.shortest:
+                    matches += self._ending(v, n, lo + i + 1, words[i + 1] if i + 1 < len(words) else None)
         return places, matches
 
+    def _ending(self, v: int, n: int, end: int, following: int | None) -> list:
+        """Matches that end before word ``end`` and that ``following`` does not extend, longest of each place."""
+        out, seen = [], set()
+        while v and n >= self.shortest:
+            for place in self.ends.get(v, ()):
+                x, to = place
+                if place not in seen:
+                    seen.add(place)
+                    extended = following is not None and to < self.length[x] and self.after[x][to] == following
+                    if not extended and n >= min(self.min_match, self.length[x]):
+                        out.append((x, end - n, end, to - n))
+            v = self.automaton.link[v]
+            n = min(n, self.automaton.len[v])
+        return out
+
     def chain(self, matches: list, gap: int, min_cover: float) -> list[tuple[str, int, int, float]]:
         """Chains that go forward in file and template, at most ``gap`` words apart."""
         out = []
@@ -118,6 +144,16 @@ class LicenseIndex:
         return sorted(out, key=lambda c: (c[1], c[2], c[0]))
 
 
+def read_templates(spark: SparkSession, folder: str, suffix: str = "") -> dict[str, str]:
+    """Templates from a shared folder of licence texts, one a file, labelled by the file's name.
+
+    They are a dictionary on the driver, as those above: licences, not a corpus.
+    """
+    rows = (spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+            .select(F.regexp_extract("_metadata.file_name", f"^(.*?){re.escape(suffix)}$", 1).alias("label"), "value"))
+    return {unquote(r["label"]).lower(): r["value"] for r in rows.collect()}
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None,
                   phrases: dict[str, str] | None = None, min_match: int = 4, gap: int = 12,
                   min_cover: float = 0.6) -> DataFrame:
