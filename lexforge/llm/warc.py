@@ -3,8 +3,9 @@
 Records are range-sorted by (id, payload digest).  Shard borders are the keys
 at which the running total of payload bytes passes a multiple of
 ``shard_bytes``, so they follow from the data alone, not from sampling or the
-number of tasks; only these border keys (one per shard) reach the driver.  A
-task writes its shards record by record, each record a gzip member with
+number of tasks; only these border keys (one per shard, at most ``MAX_SHARDS``:
+beyond that shards grow) reach the driver.  Each shard is a partition of its own;
+a task writes its shards record by record, each record a gzip member with
 headers and digests made anew, and starts a new file when the compressed size
 passes ``file_bytes``.  Files are written under temporary names that carry the
 attempt and renamed when complete; a retried task writes the same bytes to the
@@ -41,6 +42,7 @@ from lexforge.operators.positions import ordered_running
 from lexforge.session import checkpoint_dir
 
 DATE = "2024-01-01T00:00:00Z"       # regenerated headers are the same in every run
+MAX_SHARDS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "file string, shard int, part int, records long, bytes long"
 _RECORD = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
@@ -123,6 +125,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     rows = rows.withColumn("digest", F.sha1("payload"))
 
     slim = written(rows.select("id", "digest", F.octet_length("payload").cast("long").alias("bytes")))
+    total = slim.agg(F.sum("bytes")).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MAX_SHARDS))
     order = ordered_running(slim, ["id", "digest"], pos_col=None, sums={"before": "bytes"})
     borders = (order.groupBy(F.expr(f"before div {shard_bytes}L").alias("s"))
                .agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*").collect())
@@ -144,7 +148,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     stream = (rows.select("id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("refers"))
               .unionByName(revisits.withColumns({"kind": F.lit(0), "url": F.lit(None).cast("string"),
                                                  "payload": F.lit(None).cast("binary")})))
-    stream = (stream.withColumn("shard", shard_of("id", "digest")).repartition(max(1, len(keys)), "shard")
+    stream = (stream.withColumn("shard", shard_of("id", "digest")).repartitionById(max(1, len(keys)), "shard")
               .sortWithinPartitions("shard", "id", "digest", "kind", "url")
               .withColumn("id", F.col("id").cast("string")))
 
@@ -209,4 +213,5 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
                                      headers.get("x-refers-to-row"), headers.get("warc-target-uri")))
                 yield pd.DataFrame(rows, columns=["id", "payload_bytes", "payload_digest", "record_type",
                                                   "refers_to", "url"])
-    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInPandas(read, _RECORD)
+    shards = (manifest.agg(F.max("shard")).first()[0] or 0) + 1
+    return manifest.repartitionById(shards, "shard").select("file").mapInPandas(read, _RECORD)
