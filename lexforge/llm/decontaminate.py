@@ -6,10 +6,11 @@ the longest matching length.  Every window of ``window`` consecutive item
 words inside a match (or a shorter item found whole) is a hit.  Nothing is
 shuffled and no document key is needed, so repeated or null ids are harmless.
 
-Benchmarks of any size work: items are dealt into blocks of about
-``block_words`` words by a hash, one automaton (whose size that bounds) per
-block is broadcast, and the documents pass through the blocks one after the
-other in one scan.
+Memory does not grow with the benchmark: items are dealt into blocks of about
+``block_words`` words by a hash and read block by block; the automata of
+``at_once`` blocks, some 60 MB each at 100,000 words, are broadcast, the documents
+pass through them in one scan, and with more blocks to come what was found is
+written and the broadcasts are dropped before the next ones are built.
 
 Defined results: a null or empty text has no words and no hits; a null or
 wordless item has no windows; an item with a null id marks words but is not
@@ -19,6 +20,7 @@ output column are replaced by it; empty tables give empty results or no hits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,24 +29,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexforge.llm.automaton import SuffixAutomaton, merged
-from lexforge.llm.common import free_name, without
+from lexforge.llm.common import bounded_batches, discard, free_name, without, written
 from lexforge.llm.tokens import ALNUM, Tokens, chunks
+from lexforge.session import checkpoint_dir
 
 OUTPUT = ("n_words", "spans", "items", "n_hit")
 _TYPE = "n_words long, spans array<array<long>>, items array<string>"
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list]:
-    """Blocks of (id as string, words), each of about ``block_words`` words."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[bool, list]]:
+    """(last one, (id as string, words) of a block of about ``block_words`` words)."""
     rows = items.select(F.col(id_col).cast("string").alias("id"),
                         F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // (8 * block_words)))      # about 8 bytes a word
+    if n_blocks > 1:                                       # each block is read once
+        spark = items.sparkSession
+        path = f"{checkpoint_dir(spark).rstrip('/')}/items-{uuid.uuid4().hex}"
+        (rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
+         .write.partitionBy("block").parquet(path))
+        rows = spark.read.schema("id string, text binary, block long").parquet(path)
     for b in range(n_blocks):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b)
+        part = rows.where(F.col("block") == b) if n_blocks > 1 else rows
         block = [(r.id, bytes(r.text or b"")) for r in part.toLocalIterator()]
         t = Tokens([text for _, text in block], ALNUM, True)
-        yield [(key, t.words(t.first[i], t.first[i + 1])) for i, (key, _) in enumerate(block)]
+        yield b == n_blocks - 1, [(key, t.words(t.first[i], t.first[i + 1])) for i, (key, _) in enumerate(block)]
 
 
 def _scan(automaton) -> object:
@@ -73,20 +82,30 @@ def _scan(automaton) -> object:
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
                        text_col: str = "text", item_id: str = "item_id",
-                       item_text: str = "text", block_words: int = 500_000) -> DataFrame:
+                       item_text: str = "text", block_words: int = 100_000, at_once: int = 2) -> DataFrame:
     """``docs`` with n_words, spans (half-open word ranges hit), items (sorted ids) and n_hit."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = without(docs, [c for c in OUTPUT if c != text_col.lower()])
     found = free_name(out, "_found")
     state = F.struct(F.lit(0).cast("long").alias("n_words"),
                      F.array().cast("array<array<long>>").alias("spans"),
                      F.array().cast("array<string>").alias("items"))
     out = out.withColumn(found, state)
-    for block in item_blocks(items, item_id, item_text, block_words):
-        automaton = SuffixAutomaton([w for _, w in block], [k for k, _ in block], window)
-        scan = _scan(spark.sparkContext.broadcast(automaton))
-        out = out.withColumn(found, scan(F.col(text_col).cast("binary"), F.col(f"{found}.spans"),
-                                         F.col(f"{found}.items")))
+    held, table = [], None
+    for last, block in item_blocks(items, item_id, item_text, block_words):
+        held.append(spark.sparkContext.broadcast(
+            SuffixAutomaton([w for _, w in block], [k for k, _ in block], window)))
+        out = out.withColumn(found, _scan(held[-1])(F.col(text_col).cast("binary"), F.col(f"{found}.spans"),
+                                                    F.col(f"{found}.items")))
+        if len(held) == at_once and not last:
+            before, table = table, written(out)
+            out = table
+            for b in held:
+                b.destroy()
+            held = []
+            if before is not None:
+                discard(before)
     n_hit = F.aggregate(F.col("spans"), F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     return out.select("*", f"{found}.*").drop(found).withColumn("n_hit", n_hit)
 
