@@ -4,9 +4,10 @@ Texts are cut into pieces and words, and the contiguous phrases of up to
 ``max_words`` words of each language are counted:
 
 1. words, all of them: their sums per language and the frequent ones;
-2. pairs of frequent words, as 64-bit hashes.  A hash counts at least as often
-   as each of its pairs, so what stays below ``min_count`` is safely left out;
-3. pairs, triples, ... whose inner pairs all passed, by their exact words.
+2. pairs of frequent words, then longer phrases of such pairs, as hashes.  A
+   hash counts at least as often as each of its phrases, so what stays below
+   ``min_count`` is safely left out;
+3. phrases whose hashes all passed, by their exact words.
 
 A phrase occurs no more often than any phrase inside it, so nothing frequent is
 lost.  What tasks hold of steps 1 and 2 are bit maps of a fixed size
@@ -49,22 +50,27 @@ _FOLD = bytes(_FOLD)
 _GRAM = "lang string, phrase string, f long"
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """(language, folded text) of about SLICE bytes, cut at piece borders only."""
-    of_lang = defaultdict(list)
-    held = defaultdict(int)
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-        folded = (text or b"").translate(_FOLD)
-        lo = 0
-        while lo < len(folded):
-            hi = len(folded) if len(folded) - lo <= SLICE else folded.find(b"\n", lo + SLICE)
-            hi = len(folded) if hi < 0 else hi
-            of_lang[lang].append(folded[lo:hi])
-            held[lang] += hi - lo
-            lo = hi + 1
-            if held[lang] >= SLICE:
-                yield lang, b"\n".join(of_lang.pop(lang))
-                held[lang] = 0
+    of_lang: dict[str, list[bytes]] = defaultdict(list)
+    held: dict[str, int] = defaultdict(int)
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            folded = (text or b"").translate(_FOLD)
+            lo = 0
+            while lo < len(folded):
+                hi = len(folded) if len(folded) - lo <= SLICE else folded.find(b"\n", lo + SLICE)
+                hi = len(folded) if hi < 0 else hi
+                of_lang[lang].append(folded[lo:hi])
+                held[lang] += hi - lo
+                lo = hi + 1
+                if held[lang] >= SLICE:
+                    yield lang, b"\n".join(of_lang.pop(lang))
+                    held.pop(lang)
+        if sum(held.values()) > 4 * SLICE:          # many languages
+            for lang, parts in of_lang.items():
+                yield lang, b"\n".join(parts)
+            of_lang.clear(), held.clear()
     for lang, parts in of_lang.items():
         yield lang, b"\n".join(parts)
 
@@ -85,7 +91,8 @@ def _word_hashes(lang: str, distinct: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in distinct), dtype=np.uint64, count=len(distinct))
 
 
-def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of a phrase and the word after it."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -113,54 +120,106 @@ def _rows(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lang, folded in _slices(batch):
-            _, ids, distinct, border = _numbered(folded)
-            n = np.bincount(ids, minlength=len(distinct))
-            n[border] = 0
-            some = np.flatnonzero(n)
-            yield _rows(lang, [distinct[i] for i in some.tolist()], n[some])
+    for lang, folded in _slices(batches):
+        _, ids, distinct, border = _numbered(folded)
+        n = np.bincount(ids, minlength=len(distinct))
+        n[border] = 0
+        some = np.flatnonzero(n)
+        yield _rows(lang, [distinct[i] for i in some.tolist()], n[some])
 
 
 def _pairs(lang: str, ids: np.ndarray, distinct: list[bytes], border: int, frequent: np.ndarray):
-    """(starts, hashes) of the pairs of frequent words inside a piece."""
+    """(starts, hashes) of the pairs of frequent words inside a piece, and all words' hashes."""
     h = _word_hashes(lang, distinct)
     good = _has(frequent, h)
     good[border] = False
     at = np.flatnonzero(good[ids[:-1]] & good[ids[1:]])
-    return at, _pair_hashes(h[ids[at]], h[ids[at + 1]])
+    return at, _joined(h[ids[at]], h[ids[at + 1]]), h[ids]
+
 
+def _packed(h: list[np.ndarray], n: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Distinct hashes with their counts in the last ``bits`` bits; counts stop at what these hold."""
+    low = np.uint64((1 << bits) - 1)
+    keys, at = np.unique(np.concatenate(h) & ~low, return_inverse=True)
+    count = np.bincount(at, weights=np.concatenate(n), minlength=len(keys))
+    packed = keys | np.minimum(count, float(low)).astype(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64))], names=["packed"])
 
-def _count_pairs(frequent):
+
+def _count_hashes(hashes, bits: int):
+    """Counts of the hashes of each slice, folded over the task about 4 million at a time."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, folded in _slices(batch):
-                _, ids, distinct, border = _numbered(folded)
-                h, n = np.unique(_pairs(lang, ids, distinct, border, frequent.value)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "f"])
+        keys, counts, held = [], [], 0
+        for lang, folded in _slices(batches):
+            h, n = np.unique(hashes(lang, *_numbered(folded)[1:]), return_counts=True)
+            keys.append(h), counts.append(n)
+            held += len(h)
+            if held > 4_000_000:
+                yield _packed(keys, counts, bits)
+                keys, counts, held = [], [], 0
+        if keys:
+            yield _packed(keys, counts, bits)
     return count
 
 
-def _count_phrases(frequent, linked, max_words: int):
-    """Exact counts of phrases of 2 words and more whose pairs may all be frequent."""
+def _frequent_hashes(docs: DataFrame, hashes, min_count: int) -> DataFrame:
+    """(h) of the hashes that count ``min_count`` or more in all; the last bits of h are 0."""
+    bits = max(8, min_count.bit_length())          # so that a capped count is enough by itself
+    packed = docs.mapInArrow(_count_hashes(hashes, bits), "packed long")
+    key = F.shiftright("packed", bits)
+    # one column to shuffle; counts are folded by task already
+    return (packed.repartition(key).select(key.alias("key"), F.col("packed").bitwiseAND((1 << bits) - 1).alias("f"))
+            .groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+            .select(F.shiftleft("key", bits).alias("h")))
+
+
+def _pair_hashes(frequent):
+    def hashes(lang: str, ids: np.ndarray, distinct: list[bytes], border: int) -> np.ndarray:
+        return _pairs(lang, ids, distinct, border, frequent.value)[1]
+    return hashes
+
+
+def _longer_hashes(frequent, linked, max_words: int):
+    """Hashes of phrases of 3 words and more whose pairs may all be frequent."""
+    def hashes(lang: str, ids: np.ndarray, distinct: list[bytes], border: int) -> np.ndarray:
+        at, own, word = _pairs(lang, ids, distinct, border, frequent.value)
+        keep = _has(linked.value, own)
+        at, own = at[keep], own[keep]
+        joined = np.zeros(len(ids) + max_words, dtype=bool)
+        joined[at] = True
+        out = [own[:0]]
+        for m in range(3, max_words + 1):
+            more = joined[at + m - 2]
+            at, own = at[more], own[more]
+            own = _joined(own, word[at + m - 1])
+            out.append(own)
+        return np.concatenate(out)
+    return hashes
+
+
+def _count_phrases(frequent, linked, longer, max_words: int):
+    """Exact counts of phrases of 2 words and more that may be frequent."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, folded in _slices(batch):
-                words, ids, distinct, border = _numbered(folded)
-                at, h = _pairs(lang, ids, distinct, border, frequent.value)
-                at = at[_has(linked.value, h)]
-                joined = np.zeros(len(ids) + 1, dtype=bool)
-                joined[at] = True
-                own = ids[at]                     # number of the phrase so far, by its start
-                for m in range(2, max_words + 1):
-                    if m > 2:
-                        more = joined[at + m - 2]
-                        at, own = at[more], own[more]
-                    if not len(at):
-                        break
-                    _, first, own, n = np.unique(own * len(distinct) + ids[at + m - 1], return_index=True,
-                                                 return_inverse=True, return_counts=True)
-                    yield _rows(lang, [b" ".join(words[i:i + m]) for i in at[first].tolist()], n)
+        for lang, folded in _slices(batches):
+            words, ids, distinct, border = _numbered(folded)
+            at, h, word = _pairs(lang, ids, distinct, border, frequent.value)
+            keep = _has(linked.value, h)
+            at, h = at[keep], h[keep]
+            own = ids[at]                         # number of the phrase so far, by its start
+            for m in range(2, max_words + 1):
+                if m > 2:
+                    at, own, h = at[inside := at + m - 1 < len(ids)], own[inside], h[inside]
+                    h = _joined(h, word[at + m - 1])
+                    keep = _has(longer.value, h)
+                    at, own, h = at[keep], own[keep], h[keep]
+                if not len(at):
+                    break
+                _, first, own, n = np.unique(own * len(distinct) + ids[at + m - 1], return_index=True,
+                                             return_inverse=True, return_counts=True)
+                starts = at[first]
+                inner = ids[starts[:, None] + np.arange(m)]
+                real = (inner != border).all(axis=1)     # a hash may be frequent by chance
+                yield _rows(lang, [b" ".join(words[i:i + m]) for i in starts[real].tolist()], n[real])
     return count
 
 
@@ -184,12 +243,12 @@ def count_phrases(docs: DataFrame, max_words: int, min_count: int, word_bits: in
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     singles = words.where(F.col("f") >= min_count)
     frequent = sc.broadcast(_bitmap(_hashed(singles), word_bits))
-    pairs = (docs.mapInArrow(_count_pairs(frequent), "h long, f long")
-             .groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
-    linked = sc.broadcast(_bitmap(pairs, pair_bits))
-    longer = (docs.mapInArrow(_count_phrases(frequent, linked, max_words), _GRAM)
-              .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
-    return written(singles.unionByName(longer).select("lang", F.split("phrase", " ").alias("words"), "f")), total
+    linked = sc.broadcast(_bitmap(_frequent_hashes(docs, _pair_hashes(frequent), min_count), pair_bits))
+    longer = sc.broadcast(_bitmap(
+        _frequent_hashes(docs, _longer_hashes(frequent, linked, max_words), min_count), pair_bits))
+    phrases = (docs.mapInArrow(_count_phrases(frequent, linked, longer, max_words), _GRAM)
+               .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
+    return written(singles.unionByName(phrases).select("lang", F.split("phrase", " ").alias("words"), "f")), total
 
 
 def _prefix(words: str):

@@ -69,7 +69,7 @@ def test_full_bitmaps_and_slices_change_nothing(spark, monkeypatch):
         found, total = phrases.count_phrases(texts, 4, 5, bits, bits)
         sets.append(({(r.lang, tuple(r.words), r.f) for r in found.collect()}, {tuple(r) for r in total.collect()}))
     assert sets[0] == sets[1] and len(sets[0][0]) > 50
-    slices = phrases._slices(pa.RecordBatch.from_pydict({"lang": ["x"], "text": [b"ab cd.ef " * 100]}))
+    slices = phrases._slices([pa.RecordBatch.from_pydict({"lang": ["x"], "text": [b"ab cd.ef " * 100]})])
     assert b"\n".join(t for _, t in slices) == b"ab cd\nef " * 100
 
 
