@@ -6,9 +6,9 @@ the distance d from q to a node's centre and the node's covering radius r bound
 the inner products of everything below it by
 (|q|**2 + M**2 - (d -+ r)**2) / 2.
 
-* The top level is a net of at most ``centers`` rows of a bounded, seeded
-  sample; each row goes to its nearest centre.  Rows of one centre (and of one
-  of ``label_groups`` groups of labels) form a cell, cut into blocks of about
+* The top level is a net of rows of a bounded, seeded sample: one centre for
+  each ``block_rows`` rows, at most ``centers``.  Each row goes to its nearest
+  centre.  Rows of one centre form a cell, cut into blocks of about
   ``block_rows`` rows, so a cell that holds a third of all rows is many blocks.
 * Each block is one cover tree, built in its own task: the centres of a level
   are more than half the node's radius apart and cover it to half the radius.
@@ -184,30 +184,25 @@ class _Block:
 class HardNegativeIndex:
     """Cover trees over all rows of (row, id, label, v), written in blocks to the shared folder."""
 
-    def __init__(self, rows: DataFrame, centers: int = 128, sample: int = 4096, block_rows: int = 2048,
-                 label_groups: int = 16, seed: int = 11):
+    def __init__(self, rows: DataFrame, centers: int = 256, sample: int = 4096, block_rows: int = 2048, seed: int = 11):
         self.spark = rows.sparkSession
-        size = rows.select(F.max(F.size("v")).alias("dim"), F.max(_square("v")).alias("square")).first()
+        size = rows.select(F.max(F.size("v")).alias("dim"), F.max(_square("v")).alias("square"),
+                           F.count(F.lit(1)).alias("n")).first()
         self.dim, self.square = size["dim"] or 0, float(size["square"] or 0)
         # a bounded sample places the centres; every row is indexed
         drawn = rows.select("v").orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(sample).toPandas()["v"]
         x = _augmented(_matrix(list(drawn), self.dim), self.square)
-        chosen = _net(x, 0, 0.0, centers)[0] if len(x) else []
+        chosen = _net(x, 0, 0.0, min(centers, math.ceil(size["n"] / block_rows)))[0] if len(x) else []
         self.net = x[chosen]
         self.centers = self.spark.sparkContext.broadcast((self.net, self.dim, self.square))
-        group = F.pmod(F.xxhash64("label"), F.lit(label_groups)).cast("int")
         with small_batches(self.spark):
-            placed = written(rows.withColumns({"at": _nearest(self.centers)("v"), "grp": group})
-                             .select("*", "at.cell", "at.dist").drop("at"))
-        cells = (placed.groupBy("grp", "cell")
-                 .agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n"),
-                      F.min("label").alias("first"), F.max("label").alias("last")).toPandas()
-                 .sort_values(["grp", "cell"], ignore_index=True))       # at most label_groups * centers rows
+            placed = written(rows.withColumn("at", _nearest(self.centers)("v")).select("*", "at.cell", "at.dist").drop("at"))
+        cells = (placed.groupBy("cell").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
+                 .sort_values("cell", ignore_index=True))        # at most ``centers`` rows
         cells["blocks"] = np.ceil(cells["n"] / block_rows).astype(np.int64)
         self.cells = cells
-        kinds = "grp int, cell int, key int, blocks long"
         self.keys = self.spark.createDataFrame(
-            [(int(c.grp), int(c.cell), i, int(c.blocks)) for i, c in enumerate(cells.itertuples())], kinds)
+            [(int(c.cell), int(c.blocks)) for c in cells.itertuples()], "cell int, blocks long")
         self.index = written(_built(placed, self.keys, self.dim, self.square))
 
     def search(self, queries: DataFrame, k: int, seeds: int = 2, slice_rows: int = 1024) -> DataFrame:
@@ -224,11 +219,11 @@ class HardNegativeIndex:
     def _visited(self, queries: DataFrame, k: int, seeds: int, first: bool, slice_rows: int) -> DataFrame:
         route = _route(self.centers, self.spark.sparkContext.broadcast(self.cells), seeds, first)
         slices = max(1, math.ceil(queries.count() / slice_rows))
-        asked = (queries.withColumn("key", F.explode(route("v", "label", "same", "low", "high", "floor")))
-                 .join(F.broadcast(self.keys), "key")       # label_groups * centers rows at most
+        asked = (queries.withColumn("cell", F.explode(route("v", "low", "high", "floor")))
+                 .join(F.broadcast(self.keys), "cell")      # ``centers`` rows at most
                  .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                  .withColumn("slice", F.pmod(F.xxhash64("anchor", "turn"), F.lit(slices))))
-        asked = (asked.groupBy("key", "block", "slice")
+        asked = (asked.groupBy("cell", "block", "slice")
                  .agg(F.collect_list(F.struct("anchor", "turn", "v", "label", "same", "low", "high", "floor")).alias("asked")))
         square, dim = self.square, self.dim
 
@@ -244,7 +239,7 @@ class HardNegativeIndex:
                                 for a, s in zip(at.tolist(), score.tolist())]
                     made = pd.DataFrame(out, columns=["anchor", "turn", "score", "id", "row"])
                     yield made.astype({"id": "Int64"})
-        with_block = asked.join(self.index, ["key", "block"]).select("blob", "asked")
+        with_block = asked.join(self.index, ["cell", "block"]).select("blob", "asked")
         with small_batches(self.spark):
             return written(with_block.mapInPandas(answer, _HITS))
 
@@ -266,7 +261,7 @@ def _nearest(centers):
 
 
 def _built(placed: DataFrame, keys: DataFrame, dim: int, square: float) -> DataFrame:
-    """(key, block, blob), a cover tree with its rows for each block."""
+    """(cell, block, blob), a cover tree with its rows for each block."""
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(list(rows["v"]), dim)
         tree = CoverTree.build(_augmented(v, square))
@@ -274,11 +269,11 @@ def _built(placed: DataFrame, keys: DataFrame, dim: int, square: float) -> DataF
         buf = io.BytesIO()
         np.savez(buf, v=v.astype(small), row=rows["row"].to_numpy(np.int64), label=rows["label"].to_numpy(np.int64),
                  id=rows["id"].fillna(0).to_numpy(np.int64), no_id=rows["id"].isna().to_numpy(), **tree.dump())
-        return pd.DataFrame({"key": [key[0]], "block": [key[1]], "blob": [buf.getvalue()]})
-    spread = (placed.join(F.broadcast(keys), ["grp", "cell"])
+        return pd.DataFrame({"cell": [key[0]], "block": [key[1]], "blob": [buf.getvalue()]})
+    spread = (placed.join(F.broadcast(keys), "cell")
               .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))))
-    return (spread.select("key", "block", "row", "id", "label", "v").groupBy("key", "block")
-            .applyInPandas(one, "key int, block long, blob binary"))
+    return (spread.select("cell", "block", "row", "id", "label", "v").groupBy("cell", "block")
+            .applyInPandas(one, "cell int, block long, blob binary"))
 
 
 def _route(centers, cells, seeds: int, first: bool):
@@ -286,26 +281,19 @@ def _route(centers, cells, seeds: int, first: bool):
     @F.pandas_udf("array<int>")
     def route(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         net, dim, square = centers.value
-        c = cells.value
-        at, radius, grp = c["cell"].to_numpy(), c["radius"].to_numpy() * (1 + 1e-11), c["grp"].to_numpy()
-        lone = np.where(c["first"] == c["last"], c["first"], np.nan)
-        for v, label, same, low, high, floor in batches:
+        at, radius = cells.value["cell"].to_numpy(), cells.value["radius"].to_numpy() * (1 + 1e-11)
+        for v, low, high, floor in batches:
             out = []
-            for q, la, sa, lo, hi, fl in zip(_matrix(list(v), dim).astype(np.float64), label, same, low, high, floor):
-                ip = net[:, :-1] @ q
-                least, most = _bounds(float((q * q).sum()) + square, ip[at], radius)
+            for q, lo, hi, fl in zip(_matrix(list(v), dim).astype(np.float64), low, high, floor):
+                ip = net[at, :-1] @ q
+                least, most = _bounds(float((q * q).sum()) + square, ip, radius)
                 lo, hi = (-math.inf if pd.isna(lo) else lo), (math.inf if pd.isna(hi) else hi)
-                if sa:
-                    fits = (c["first"].to_numpy() <= la) & (c["last"].to_numpy() >= la)
-                else:
-                    fits = lone != la
-                fits = fits & (most >= lo) & (least <= hi)
-                by = np.argsort(-ip[at] if hi == math.inf else np.abs(ip[at] - hi), kind="stable")
-                by = by[fits[by]]
+                by = np.argsort(-ip if hi == math.inf else np.abs(ip - hi), kind="stable")
+                by = by[(most[by] >= lo) & (least[by] <= hi)]
                 rest = by[seeds:]
                 if not pd.isna(fl):
                     rest = rest[most[rest] >= fl]
-                out.append((by[:seeds] if first else rest).astype(np.int32))
+                out.append(at[by[:seeds] if first else rest].astype(np.int32))
             yield pd.Series(out, dtype=object)
     return route
 

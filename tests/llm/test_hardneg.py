@@ -45,7 +45,7 @@ def test_equals_brute_force(spark, clustered):
     data = rows(clustered=clustered)
     df = spark.createDataFrame(data, SCHEMA).repartition(4)
     got = hardneg.mine_hard_negatives(df, (F.col("vec_id") % 20 == 0) | F.col("vec_id").isin(501, 41), centers=8,
-                                      sample=64, block_rows=32, label_groups=3)
+                                      sample=64, block_rows=32)
     got = got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()
     want = brute(data, lambda i: i is not None and (i % 20 == 0 or i in (501, 41)))
     assert sorted(map(tuple, got), key=str) == want and len(want) > 100
