@@ -1324,6 +1324,23 @@ def a4_token_shard_scan(spark, sf):
     return t.select("shard", "file_idx", "row", "example_id", ids_str("ids").alias("ids"))
 
 
+@query("b1_output_policy", with_ctes(CTE_TOKENS, """
+SELECT 'keep' AS policy, shard, file_idx, row, example_id FROM tokens WHERE shard <> 1 OR row < 10
+UNION ALL SELECT 'reset' AS policy, shard, file_idx, row, example_id FROM tokens WHERE shard = 2"""))
+def b1_output_policy(spark, sf):
+    """B1: token files written again, some of them: without reset their folders are
+    replaced and all others kept, with reset nothing else is left."""
+    t = p1_tokens(spark, sf)
+    out = []
+    for policy, again in (("keep", t.where("shard = 1 AND row < 10")), ("reset", t.where("shard = 2"))):
+        base = _scratch(spark, policy)
+        files.write_token_shards(t, base)
+        files.write_token_shards(again, base, reset=policy == "reset")
+        out.append(files.read_token_shards(spark, base)
+                   .select(F.lit(policy).alias("policy"), "shard", "file_idx", "row", "example_id"))
+    return out[0].unionByName(out[1])
+
+
 @query("a3_file_listing", with_ctes(CTE_TOKENS, """
 SELECT DISTINCT shard, file_idx FROM tokens"""))
 def a3_file_listing(spark, sf):
