@@ -162,7 +162,7 @@ def fit(train: DataFrame, lang_col: str, clusters: int, per_language: int, seed:
 
 
 def identify(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col: str = "lang",
-             id_col: str = "doc_id", clusters: int = 4, per_language: int = 400, reach: float = 0.5,
+             id_col: str = "doc_id", clusters: int = 4, per_language: int = 400, reach: float = 0.4,
              seed: int = 5) -> DataFrame:
     """``docs`` with lang_pred, score (cosine) and rejected, fitted on the labelled
     rows that meet ``train_where``.
