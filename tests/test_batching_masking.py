@@ -231,3 +231,35 @@ def test_loader_batches_file_by_file(spark, monkeypatch, batch_size, chunk):
     assert counters == expect
     none = batching.loader_files(manifest.where("false"), batch_size)
     assert batching.file_counters(none, batch_size).count() == 0
+
+
+def _digests(df):
+    """How many md5 calls the plan of ``df`` makes for each row with an id array, cell by cell."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+
+
+def _plain_mask(r, cfg):
+    """Masked ids and selection of one row, cell by cell, as the module says."""
+    import hashlib
+    masked, selected = [], []
+    for i, x in enumerate(r.ids):
+        h = hashlib.md5(f"{cfg.seed}:{r.epoch}:{r.example_id}:{i}".encode()).hexdigest()
+        u = [int(h[8 * k:8 * k + 8], 16) / 2 ** 32 for k in range(4)]
+        on = x != cfg.pad_id and u[0] < cfg.mask_prob
+        random = cfg.prop_random > 0 and cfg.prop_mask < 1 and u[2] < cfg.prop_random / (1 - cfg.prop_mask)
+        selected.append(on)
+        masked.append(x if not on else cfg.mask_id if u[1] < cfg.prop_mask else
+                      cfg.vocab_low + int(u[3] * (cfg.vocab_high - cfg.vocab_low)) if random else x)
+    return masked, selected, [int(x != cfg.pad_id) for x in r.ids]
+
+
+@pytest.mark.parametrize("p,pm,pr,digests", [(0.15, 0.8, 0.1, 1), (0.5, 1.0, 0.0, 1), (0.5, 0.5, 0.5, 1), (0.15, 0.0, 0.0, 1),
+                                             (1.0, 0.0, 0.0, 0), (0.0, 0.8, 0.1, 0), (1.0, 1.0, 0.0, 0), (1.0, 0.5, 0.25, 1)])
+def test_masks_without_needless_digests(spark, p, pm, pr, digests):
+    rows = [(0, e, [5 + (e * 7 + i) % 40 if i < e % 9 else 1 for i in range(8)]) for e in range(300)]
+    df = spark.createDataFrame(rows, "epoch int, example_id long, ids array<int>")
+    cfg = masking.MaskConfig(mask_prob=p, prop_mask=pm, prop_random=pr, vocab_high=50, seed=4)
+    got = masking.mask_batches(df, cfg)
+    for r in got.collect():
+        assert (r.masked_ids, r.selected, r.attention_mask) == _plain_mask(r, cfg)
+    assert _digests(got) == digests
