@@ -10,13 +10,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexforge.session import checkpoint_dir, reliable_checkpoint
+from lexforge.session import ROW_GROUP, checkpoint_dir, reliable_checkpoint, written
 
 __all__ = ["bounded_batches", "discard", "free_name", "group_key", "hash_bitmap", "in_bitmap",
            "reliable_checkpoint", "running_in_group", "seeded_hash", "small_batches", "without", "written", "written_buckets"]
 
-ROW_GROUP = 16 << 20      # bytes that a writer of a scratch table holds
-
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without the columns an operator is about to add.
@@ -73,20 +71,6 @@ def running_in_group(df: DataFrame, group: str, order: str, value: Column, out:
             .withColumn(out, F.col(before) + F.sum(value).over(inside)).drop(cut, before))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table of its own in the shared folder (cuts the lineage).
-
-    The folder is the one ``spark.checkpoint.dir`` names, which every executor
-    shares; a lost executor costs no more than re-reading the table.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

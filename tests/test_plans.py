@@ -30,3 +30,16 @@ def test_p2_tokenizer_artifact(spark, tmp_dir):
     loaded, meta = files.load_tokenizer(spark, f"{tmp_dir}/tk")
     assert loaded.pieces == model.pieces[:140] and meta.seq_len == 32
     assert len(model.pieces) <= 140 and len(model.merges) > 0
+
+
+def test_token_table_is_split_and_encoded_once(spark):
+    """Texts are split and encoded before the in-shard order, which reads them several times."""
+    from lexforge.plans import corpus_shards as P1
+    docs = spark.createDataFrame([(i, f"One two {i}. Three four! " * (i % 4) if i % 5 else None) for i in range(60)],
+                                 "doc_id long, text string")
+    p = P1.ShardParams(n_shards=3, file_size=7, seq_len=4)
+    got = P1.token_table(docs, 12, p, keep_raw=True)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = P1.encode_sentences(P1.with_example_ids(P1.shard_sentences(docs, p), p), P1.word_vocab(docs, 12), p, keep_raw=True)
+    assert got.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(*got.columns).collect()))
