@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,42 @@ def test_dictionary_encoding_equals_the_word_encoder(spark, hot):
     want = {r.doc_id: r.x for r in df.select("doc_id", bpe.word_encoder(model)(F.col("words")).alias("x")).collect()}
     assert {r.doc_id: r.raw_ids for r in got.collect()} == want
     assert want[81] is None and want[82] == [] and len(want[80]) >= 500
+
+
+def _one_by_one(ids, merges, in_order):
+    rank = {(a, b): (r, a, b, m) for r, (a, b, m) in enumerate(merges)}
+    done = -1
+    while found := [h for h in map(rank.get, zip(ids, ids[1:])) if h is not None and (not in_order or h[0] > done)]:
+        done, a, b, m = min(found)
+        ids = bpe._merge_once(ids, a, b, m)
+    return ids
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_merges_of_a_whole_batch_equal_word_by_word(in_order):
+    rnd = random.Random(11)
+    words = [[rnd.randint(0, 3) for _ in range(rnd.choice([0, 1, 2, 5, 9, 30]))] for _ in range(300)] + [[1] * 41, [], [2] * 6]
+    flat, lengths = np.array(sum(words, []), dtype=np.int64), np.array([len(w) for w in words])
+    for n in (0, 1, 6, 25):
+        merges = [(rnd.randint(0, 3 + i), rnd.randint(0, 3 + i), 4 + i) for i in range(n)]
+        got, sizes = bpe._MergeTable(merges).merge(flat, lengths, in_order)
+        got = [x.tolist() for x in np.split(got, np.cumsum(sizes)[:-1])]
+        assert got == [_one_by_one(w, merges, in_order) for w in words]
+        empty = bpe._MergeTable(merges).merge(flat[:0], lengths[:0], in_order)
+        assert len(empty[0]) == len(empty[1]) == 0
+
+
+def test_pair_sums_equal_pair_counts(spark):
+    rnd = random.Random(3)
+    rows = [([rnd.randint(0, 4) for _ in range(rnd.choice([1, 2, 7]))], rnd.choice([1, 2, 2**55 + 1])) for _ in range(60)]
+    words = spark.createDataFrame(rows + [([5, 5, 5], 3)], "sym array<int>, freq long").repartition(3)
+    assert {tuple(r) for r in bpe.pair_sums(words).collect()} == {tuple(r) for r in bpe.pair_counts(words).collect()}
+    assert bpe.pair_sums(words.limit(0)).count() == 0
+
+
+def test_words_are_trained_and_encoded_by_many_tasks(spark):
+    counts = spark.range(300).select(F.col("id").cast("string").alias("word"), F.lit(1).alias("n")).groupBy("word").agg(
+        F.sum("n").alias("n"))
+    assert bpe.spread_words(counts).select(F.spark_partition_id()).distinct().count() > 1
+    ids = dictionary.build(counts, F.array("word"), bpe.BpeModel(pieces=["1"], kinds=["char"]))
+    assert ids.count() == 300 and ids.select(F.spark_partition_id()).distinct().count() > 1
