@@ -7,7 +7,10 @@ Texts are cut into pieces and words, and the contiguous phrases of up to
 2. pairs of frequent words, then longer phrases of such pairs, as hashes.  A
    hash counts at least as often as each of its phrases, so what stays below
    ``min_count`` is safely left out;
-3. phrases whose hashes all passed, by their exact words.
+3. phrases whose hashes all passed, by their exact words.  A task sums its
+   slices first and takes up to ``SPLITS`` splits of the input, where there are
+   more than cores.  It passes a phrase on once, not once a slice or a split,
+   unless its counts reach ``HELD`` bytes.
 
 A phrase occurs no more often than any phrase inside it, so nothing frequent is
 lost.  What tasks hold of steps 1 and 2 are bit maps of a fixed size
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,8 @@ from pyspark.sql import functions as F
 from lexforge.llm.common import small_batches, written
 
 SLICE = 1 << 21      # bytes of text handled at once; a piece is never cut
+HELD = 96 << 20      # bytes of summed counts that a task holds, about
+SPLITS = 8           # splits of the input whose phrases a task counts together, at most
 _FOLD = bytearray(range(256))
 _FOLD[0x41:0x5B] = range(0x61, 0x7B)
 for _c in b".,;:!?\n\x0b\x0c\r":
@@ -119,6 +125,32 @@ def _rows(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch
          pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
 
 
+def _by_task(counts: Iterable[tuple[str, list[bytes], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task's slices summed by phrase, passed on when they reach about HELD bytes."""
+    sums: dict[str, dict[bytes, int]] = defaultdict(dict)
+    size = 0
+    for lang, phrases, n in counts:
+        of = sums[lang]
+        for phrase, f in zip(phrases, n.tolist()):
+            if phrase in of:
+                of[phrase] += f
+            else:
+                of[phrase] = f
+                size += len(phrase) + 100
+        if size >= HELD:
+            yield from _rows_of(sums)
+            size = 0
+    yield from _rows_of(sums)
+
+
+def _rows_of(sums: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    while sums:
+        lang, of = sums.popitem()
+        rest = iter(of.items())
+        while part := list(islice(rest, 1 << 16)):
+            yield _rows(lang, [p for p, _ in part], np.array([f for _, f in part], dtype=np.int64))
+
+
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, folded in _slices(batches):
         _, ids, distinct, border = _numbered(folded)
@@ -199,7 +231,7 @@ def _longer_hashes(frequent, linked, max_words: int):
 
 def _count_phrases(frequent, linked, longer, max_words: int):
     """Exact counts of phrases of 2 words and more that may be frequent."""
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_slice(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
         for lang, folded in _slices(batches):
             words, ids, distinct, border = _numbered(folded)
             at, h, word = _pairs(lang, ids, distinct, border, frequent.value)
@@ -219,7 +251,10 @@ def _count_phrases(frequent, linked, longer, max_words: int):
                 starts = at[first]
                 inner = ids[starts[:, None] + np.arange(m)]
                 real = (inner != border).all(axis=1)     # a hash may be frequent by chance
-                yield _rows(lang, [b" ".join(words[i:i + m]) for i in starts[real].tolist()], n[real])
+                yield lang, [b" ".join(words[i:i + m]) for i in starts[real].tolist()], n[real]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_task(by_slice(batches))
     return count
 
 
@@ -246,7 +281,8 @@ def count_phrases(docs: DataFrame, max_words: int, min_count: int, word_bits: in
     linked = sc.broadcast(_bitmap(_frequent_hashes(docs, _pair_hashes(frequent), min_count), pair_bits))
     longer = sc.broadcast(_bitmap(
         _frequent_hashes(docs, _longer_hashes(frequent, linked, max_words), min_count), pair_bits))
-    phrases = (docs.mapInArrow(_count_phrases(frequent, linked, longer, max_words), _GRAM)
+    tasks = max(sc.defaultParallelism, -(-docs.rdd.getNumPartitions() // SPLITS))
+    phrases = (docs.coalesce(tasks).mapInArrow(_count_phrases(frequent, linked, longer, max_words), _GRAM)
                .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
     return written(singles.unionByName(phrases).select("lang", F.split("phrase", " ").alias("words"), "f")), total
 

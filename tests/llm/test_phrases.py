@@ -3,7 +3,9 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -81,3 +83,21 @@ def test_empty_tables_and_large_counts(spark):
     score = F.call_function("div", F.col("a").cast("decimal(20,0)") * F.lit(2_000_000).cast("decimal(10,0)"),
                             F.col("l").cast("decimal(20,0)") + F.col("r")).cast("long")
     assert big.select(score).first()[0] == 400_000
+
+
+def test_a_task_passes_a_phrase_on_once(monkeypatch):
+    """Counts of a task's slices are summed before they leave it."""
+    all_set = SimpleNamespace(value=np.full(1, 2**64 - 1, dtype=np.uint64))
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en", "fr"], "text": [b"a b c. d e " * 40, b"a b. " * 30]})] * 5
+    monkeypatch.setattr(phrases, "SLICE", 50)
+    want = Counter({("en", "a b"): 200, ("en", "b c"): 200, ("en", "a b c"): 200, ("en", "d e"): 200, ("en", "d e a"): 195,
+                    ("en", "e a"): 195, ("en", "d e a b"): 195, ("en", "e a b"): 195, ("en", "e a b c"): 195, ("fr", "a b"): 150})
+    for held, once in ((phrases.HELD, True), (1, False), (300, False)):
+        monkeypatch.setattr(phrases, "HELD", held)
+        got, n_rows = Counter(), 0
+        for b in phrases._count_phrases(all_set, all_set, all_set, 4)(iter(batches)):
+            assert b.schema.names == ["lang", "phrase", "f"]
+            for r in b.to_pylist():
+                got[r["lang"], r["phrase"]] += r["f"]
+                n_rows += 1
+        assert got == want and (n_rows == len(got)) == once
