@@ -88,6 +88,7 @@ def _numbered(folded: bytes) -> tuple[list[bytes], np.ndarray, list[bytes], int]
     border, blank = number[b"\n"], number[b""]
     words = folded.replace(b"\n", b" \n ").split(b" ")
     ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    number.default_factory = None        # it holds the dict, which would stay until a garbage collection
     keep = ids != blank
     return [w for w in words if w], ids[keep], list(number), border
 

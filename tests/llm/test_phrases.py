@@ -1,7 +1,9 @@
 """Phrase collocations against brute force."""
 
+import gc
 import random
 import re
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -101,3 +103,18 @@ def test_a_task_passes_a_phrase_on_once(monkeypatch):
                 got[r["lang"], r["phrase"]] += r["f"]
                 n_rows += 1
         assert got == want and (n_rows == len(got)) == once
+
+
+def test_words_of_a_slice_go_with_it():
+    """What numbers a slice's words is freed at once, not by the next garbage collection."""
+    folded = b" ".join(b"word%d" % i for i in range(20_000))
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(5):
+            phrases._numbered(folded)
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()
+        gc.enable()
