@@ -43,3 +43,15 @@ def test_token_table_is_split_and_encoded_once(spark):
     plain = P1.encode_sentences(P1.with_example_ids(P1.shard_sentences(docs, p), p), P1.word_vocab(docs, 12), p, keep_raw=True)
     assert got.count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(*got.columns).collect()))
+
+
+def test_word_vocabulary_is_a_top_k(spark, monkeypatch):
+    """Only the words of the vocabulary are put in order, by the same rule as the whole ranking."""
+    docs = spark.createDataFrame([(0, "b a c a B d"), (1, "c e e"), (2, None), (3, "")], "doc_id long, text string")
+    ranked = corpus_shards.vocab.most_common(corpus_shards.vocab.word_counts(docs, words=corpus_shards.word_tokens("text")))
+    words = [r.word for r in ranked.orderBy("rank").collect()]
+    monkeypatch.setattr(corpus_shards.vocab, "most_common", None)
+    for size in (2, 3, 5, 50):
+        got = corpus_shards.word_vocab(docs, size).orderBy("token_id").collect()
+        assert [(r.token_id, r.piece) for r in got] == list(enumerate(
+            corpus_shards.vocab.SPECIAL_TOKENS + words[:max(size - 3, 0)]))
