@@ -216,3 +216,34 @@ def test_words_are_trained_and_encoded_by_many_tasks(spark):
     assert bpe.spread_words(counts).select(F.spark_partition_id()).distinct().count() > 1
     ids = dictionary.build(counts, F.array("word"), bpe.BpeModel(pieces=["1"], kinds=["char"]))
     assert ids.count() == 300 and ids.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_encoding_a_corpus_caches_no_rows(spark, monkeypatch):
+    """Sentences go through tables: a cache of them stands in an executor's memory beside the Python workers."""
+    from lexforge.plans import corpus_shards
+    s = spark.createDataFrame([(0, "Abc abd. abc"), (1, ""), (2, None), (3, "abd xyz")], "example_id long, sentence string")
+    model = bpe.BpeModel(pieces=["[UNK]", "[PAD]", "[MASK]", "a", "b", "c</w>", "ab"], merges=[(3, 4, 6, 9)])
+    kept = []
+    monkeypatch.setattr(type(s), "persist", lambda df, *a: kept.append(df) or df)
+    monkeypatch.setattr(type(s), "cache", lambda df: kept.append(df) or df)
+    p = corpus_shards.ShardParams(seq_len=4)
+    for hot in (0, 1, 9):
+        out = corpus_shards.encode_sentences_bpe(s, model, p, keep_raw=True, hot=hot).orderBy("example_id").collect()
+        assert [r.raw_ids for r in out] == [[6, 5, 6, 0, 0, 6, 5], [], None, [6, 0, 0, 0, 0]]
+        assert [r.sentence for r in out] == ["Abc abd. abc", "", None, "abd xyz"]
+    assert not kept
+
+
+def test_pair_sums_are_added_up_while_they_are_held(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [([rnd.randint(0, 30) for _ in range(rnd.choice([1, 4, 9]))], rnd.randint(1, 9)) for _ in range(400)]
+    words = spark.createDataFrame(rows, "sym array<int>, freq long").coalesce(1)
+    want = {tuple(r) for r in bpe.pair_counts(words).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for held in (1, 200, 100_000):
+            monkeypatch.setattr(bpe, "HELD_PAIRS", held, raising=True)
+            assert {tuple(r) for r in bpe.pair_sums(words).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
