@@ -145,3 +145,16 @@ def test_selection_without_ranking(spark, monkeypatch):
         assert [r.doc_id for r in got] == order[:30]
     assert sampling.first_rows(df.where("false"), "doc_id", 5).count() == 0
     assert sampling.exact_sample(df.where("false"), "doc_id", 5, 1).count() == 0
+
+
+def test_positions_move_the_rows_once(spark):
+    """The rows are sorted by range; their places in the sorted partitions are no reason to shuffle them again."""
+    rows = [(g, i) for g in (None, 0, 1, 2) for i in range(0 if g == 2 else 200)]
+    df = spark.createDataFrame(rows, "g int, i int").repartition(5)
+    whole = ordered_running(df, ["g", "i"])
+    assert "Window" not in whole.select("g", "i", "pos")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.g, r.i) for r in whole.orderBy("pos").collect()] == want
+    assert sorted(r.pos for r in whole.collect()) == list(range(600))
+    each = ordered_running(df.where("g IS NOT NULL"), ["i"], ["g"], pos_col="at")
+    assert {(r.g, r.i): r["at"] for r in each.collect()} == {(g, i): i for g, i in rows if g is not None}
